@@ -52,3 +52,22 @@ def hot_buckets(keys: DataFrame, key: str, share: float = 0.01, buckets: int = B
     counted = keys.filter(F.col(key).isNotNull()).groupBy(key_bucket(F.col(key), buckets).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
     total = sum(r["n"] for r in counted)
     return sorted(r["b"] for r in counted if r["n"] > max(share * total, 1))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", hot: Sequence[int] | None = None, share: float = 0.01, slices: int = 32) -> DataFrame:
+    """Equi-join of `left`, which may hold a third of its rows under one key, with `right`, a table of unique keys.
+
+    Left rows in a hot bucket of the key are dealt to `slices` slices by the hash of column `spread`; right rows
+    of those buckets (a few of 4096) are repeated for each slice. Null keys join nothing and are not moved to
+    one task either. `how`: inner, left, left_semi or left_anti. Columns of `right` besides the key must not
+    clash with those of `left`.
+    """
+    if hot is None:
+        hot = hot_buckets(left.select(key), key, share)
+    bucket = key_bucket(F.col(key))
+    dealt = F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int")
+    is_hot = bucket.isin(list(hot)) if hot else F.lit(False)
+    salted = left.withColumn("_slice", F.when(F.col(key).isNull() | is_hot, dealt).otherwise(0))
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.withColumn("_slice", F.explode(every)) if hot else right.withColumn("_slice", F.lit(0))
+    return salted.join(repeated, [key, "_slice"], how).drop("_slice")
