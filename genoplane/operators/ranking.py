@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from genoplane.session import cut_lineage
 
 
-def distributed_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], weight: str | None = None) -> DataFrame:
-    """Add ``rank`` (1, 2, ...) per group by `order`, and ``running`` (total of `weight` so far) if asked.
+def distributed_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], weight: str | Sequence[str] | None = None) -> DataFrame:
+    """Add ``rank`` (1, 2, ...) per group by `order`, and running totals if asked.
+
+    For one `weight` the total so far is the column ``running``; for a list, ``running_<weight>`` each.
 
     The rows are range-partitioned by group and order, so a group that holds most rows spans many
     partitions. Each partition numbers its own sorted rows; only one row per partition and group (at most
@@ -25,15 +27,13 @@ def distributed_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column
     # the partition is part of the written row; groups are compared as text so that null joins with null
     ranged = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumns({f"_g{i}": F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("")) for i, g in enumerate(group)})
     rows = cut_lineage(ranged, "ranked")
-    total = F.sum(weight).alias("_sum") if weight else F.lit(0).alias("_sum")
-    parts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), total)
-    before = Window.partitionBy(*part[1:]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if group else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_rows_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    if weight:
-        parts = parts.withColumn("_sum_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    out = rows.join(parts.drop("_n", "_sum"), part).withColumn("rank", F.col("_at") - F.col("_first") + F.col("_rows_before") + 1)
-    if weight:
-        inside = Window.partitionBy(*part).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("running", F.sum(weight).over(inside) + F.col("_sum_before"))
-        out = out.drop("_sum_before")
-    return out.drop("_at", "_first", "_rows_before", *part)
+    weights = [] if weight is None else [weight] if isinstance(weight, str) else list(weight)
+    parts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), *[F.sum(w).alias(f"_sum_{w}") for w in weights])
+    before = Window.partitionBy(*part[1:]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = {"_rows_before": "_n"} | {f"_before_{w}": f"_sum_{w}" for w in weights}
+    parts = parts.withColumns({k: F.coalesce(F.sum(v).over(before), F.lit(0)) for k, v in earlier.items()})
+    out = rows.join(parts.drop(*earlier.values()), part).withColumn("rank", F.col("_at") - F.col("_first") + F.col("_rows_before") + 1)
+    inside = Window.partitionBy(*part).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    for w in weights:
+        out = out.withColumn("running" if isinstance(weight, str) else f"running_{w}", F.sum(w).over(inside) + F.col(f"_before_{w}"))
+    return out.drop("_at", "_first", *earlier, *part)
