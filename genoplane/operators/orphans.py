@@ -66,7 +66,7 @@ def orphans_as_of(references: DataFrame, deltas: DataFrame, hot: Sequence[int] |
     moves = deltas.select("key", "at", F.lit(1).alias("kind"), F.col("delta").cast("bigint").alias("delta"), F.greatest("delta", F.lit(0)).cast("bigint").alias("born"), no.cast("bigint").alias("row_id"), no.cast("bigint").alias("ever"))
     events = refs.unionByName(moves).withColumn("slice", F.when(is_hot, day))
     if hot:
-        sums = events.filter(is_hot & F.col("slice").isNotNull()).groupBy("key", "slice").agg(F.sum("delta").alias("delta"), F.sum("born").alias("born"))
+        sums = events.filter(is_hot).groupBy("key", "slice").agg(F.sum("delta").alias("delta"), F.sum("born").alias("born"))
         past = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         every = Window.partitionBy("key")
         opening = sums.select(
