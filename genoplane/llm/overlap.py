@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +32,11 @@ def _combine(position: int, done: list[Column], left: list[Column]) -> Column:
     return F.flatten(F.transform(left[0], lambda code: _combine(position, [*done, code], left[1:])))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row, not once per use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _ranked(token: Column, rarity: bytes) -> Column:
     """A token with its place in the global order: rare first, by the byte that the sketch has for its bucket."""
     at = F.pmod(token, F.lit(SKETCH)).cast("int") + 1
@@ -90,13 +95,19 @@ def near_vectors(training: DataFrame, evaluation: DataFrame, exact: str, feature
     probe = probe.select(best["t"].alias("token"), present.alias("length"), *columns)
 
     alternatives = [F.array(exact_code)] + [F.when(F.col(f).isNull() | (F.col(f) == 0), F.array(_cell(F.col(f), width))).otherwise(F.sequence(_cell(F.col(f), width, -reach), _cell(F.col(f), width, reach), F.lit(4).cast("bigint"))) for f in features]
-    index = evaluation.withColumns({f"_a{i}": a for i, a in enumerate(alternatives)})
-    for p in positions:
-        index = index.withColumn(f"_p{p}", F.transform(_combine(p, [], [F.col(f"_a{i}") for i in span(range(len(columns)), p)]), lambda t: _ranked(t, rarity)))
-    ends = [F.array_max(f"_p{p}") for p in positions]
-    index = index.withColumn("_end", F.least(*ends) if len(ends) > 1 else ends[0])
-    index = index.withColumn("_prefix", F.filter(F.concat(*[F.col(f"_p{p}") for p in positions]), lambda x: x <= F.col("_end")))
-    index = index.select(F.explode("_prefix").alias("x"), present.alias("length"), *columns).select(F.col("x.t").alias("token"), "length", *columns)
+    every = F.struct(*[a.alias(f"a{i}") for i, a in enumerate(alternatives)])
+
+    def prefix(a: Column) -> Column:
+        ranked = [F.transform(_combine(p, [], [a[f"a{i}"] for i in span(range(len(columns)), p)]), lambda t: _ranked(t, rarity)) for p in positions]
+        return _let(F.struct(*[r.alias(f"p{p}") for p, r in enumerate(ranked)]), cut)
+
+    def cut(r: Column) -> Column:
+        ends = [F.array_max(r[f"p{p}"]) for p in positions]
+        end = F.least(*ends) if len(ends) > 1 else ends[0]
+        return _let(end, lambda last: F.filter(F.concat(*[r[f"p{p}"] for p in positions]), lambda x: x <= last))
+
+    # explode_outer: explode would add a filter on its whole argument, to be run before the rows are made distinct
+    index = evaluation.select(F.explode_outer(_let(every, prefix)).alias("x"), present.alias("length"), *columns).select(F.col("x.t").alias("token"), "length", *columns)
 
     others = [F.first(c).alias(f"o_{c}") for c in columns]
     first = probe.groupBy("token", "length").agg(F.count(F.lit(1)).alias("n"), *others)
