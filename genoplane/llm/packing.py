@@ -2,98 +2,130 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import deque
+import heapq
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from genoplane.operators.ranking import distributed_rank
 from genoplane.session import cut_lineage
 
-MAX_MOVES = 2_000_000
+PLACED, WAITING, OFFERED, CLOSED = 0, 1, 2, 3
 
 
-class _Gaps:
-    """Open containers by remaining space: a sorted list of spaces, and for each the runs (first container, length)."""
+class LocalSweep:
+    """Best fit over rows that come in descending order of size or space, gaps before items of the same value.
+
+    `offers` is a stack of gaps with at least the current value, the smallest on top. An item takes the top; what
+    remains of the gap goes back on top if it holds another item of that size, else to `later`, from which it
+    returns when the values have come down to it.
+    """
 
     def __init__(self) -> None:
-        self.sizes: list[int] = []
-        self.runs: dict[int, deque[tuple[int, int]]] = {}
-
-    def add(self, space: int, first: int, length: int) -> None:
-        if space <= 0 or length <= 0:
-            return
-        if space not in self.runs:
-            insort(self.sizes, space)
-            self.runs[space] = deque()
-        self.runs[space].append((first, length))
-
-    def take(self, size: int, most: int) -> tuple[int, int, int] | None:
-        """(space, first container, length) of up to `most` containers with the least space that holds `size`."""
-        at = bisect_left(self.sizes, size)
-        if at == len(self.sizes):
+        self.offers: list[tuple[int, int]] = []  # (space, container)
+        self.later: list[tuple[int, int]] = []  # heap of (-space, container)
+
+    def reach(self, value: int) -> None:
+        while self.later and -self.later[0][0] >= value:
+            space, container = heapq.heappop(self.later)
+            self.offers.append((-space, container))
+
+    def gap(self, space: int, container: int) -> None:
+        self.reach(space)
+        self.offers.append((space, container))
+
+    def item(self, size: int) -> int | None:
+        """The container that takes an item of this size, or None where no gap holds it."""
+        self.reach(size)
+        if not self.offers:
             return None
-        space = self.sizes[at]
-        first, length = self.runs[space].popleft()
-        used = min(length, most)
-        if used < length:
-            self.runs[space].appendleft((first + used, length - used))
-        if not self.runs[space]:
-            del self.runs[space]
-            self.sizes.pop(at)
-        return space, first, used
-
-
-def best_fit_moves(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Best fit, largest first, over counts of items per size: (moves, number of containers).
-
-    A move (size, rank_from, rank_to, container_from) puts the items of one size with these ranks into
-    consecutive containers. Each step of the sweep takes the successor gap of the largest unplaced size, gives
-    it as many items of that size as it has containers (conflicts go by rank), and updates the gaps.
+        space, container = self.offers.pop()
+        if space - size >= size:
+            self.offers.append((space - size, container))
+        else:
+            heapq.heappush(self.later, (size - space, container))
+        return container
+
+
+def carried_pairs(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Match what the parts (number, offers, waiting items), in descending order of value, have left over.
+
+    Gaps of earlier parts hold every item of later ones. The waiting items of a part take the latest unused gaps
+    before it, by rank. Result: runs (item part, first item, gap part, last gap, length): item `first + k` takes
+    gap `last - k`. At most two runs per part.
     """
-    gaps, moves, containers = _Gaps(), [], 0
-    for size in sorted(counts, reverse=True):
-        done, n = 0, counts[size]
-        while done < n:
-            got = gaps.take(size, n - done)
-            if got is None:
-                # no gap holds this size: open containers that take as many of it as fit
-                fit = capacity // size
-                opened = -(-(n - done) // fit)
-                full = (n - done) // fit
-                for k in range(fit):
-                    length = full if done + full <= n else 0
-                    if length:
-                        moves.append((size, done, done + length, containers))
-                        done += length
-                gaps.add(capacity - fit * size, containers, full)
-                if opened > full:
-                    left = n - done
-                    for _ in range(left):
-                        moves.append((size, done, done + 1, containers + full))
-                        done += 1
-                    gaps.add(capacity - left * size, containers + full, 1)
-                containers += opened
-                continue
-            space, first, length = got
-            moves.append((size, done, done + length, first))
-            done += length
-            gaps.add(space - size, first, length)
-        if len(moves) > MAX_MOVES:
-            raise ValueError(f"more than {MAX_MOVES} moves: use a coarser size unit for this capacity")
-    return moves, containers
+    stack: list[list[int]] = []  # [part, number of unused offers]
+    runs = []
+    for part, offers, waiting in sorted(parts):
+        first = 0
+        while first < waiting and stack:
+            n = min(waiting - first, stack[-1][1])
+            runs.append((part, first, stack[-1][0], stack[-1][1] - 1, n))
+            first += n
+            stack[-1][1] -= n
+            if not stack[-1][1]:
+                stack.pop()
+        if offers:
+            stack.append([part, offers])
+    return runs
+
+
+def _superstep(state: DataFrame, item: str) -> DataFrame:
+    """Range-sort items and gaps together and sweep every part: rows of the state with kind, part and place among the leftovers."""
+    gaps_first = F.when(F.col("size").isNull(), 0).otherwise(1)
+    order = [F.col("value").desc(), F.col("rank_kind"), F.col("container"), F.col(item), F.col("piece")]
+    rows = state.withColumns({"value": F.coalesce("size", "space"), "rank_kind": gaps_first})
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("value", "rank_kind").withColumn("part", F.spark_partition_id())
+    schema = T.StructType([*state.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("place", T.LongType())])
+    columns = state.columns
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        local, waiting, part = LocalSweep(), 0, 0
+        for batch in batches:
+            kinds, places, containers, keep = [], [], [], []
+            spaces = batch["space"].to_numpy()
+            sizes = batch["size"].to_numpy()
+            is_gap = batch["size"].isna().to_numpy()
+            held = batch["container"].to_numpy()
+            for k in range(len(batch)):
+                if is_gap[k]:
+                    local.gap(int(spaces[k]), int(held[k]))
+                    continue
+                got = local.item(int(sizes[k]))
+                keep.append(k)
+                containers.append(got)
+                kinds.append(WAITING if got is None else PLACED)
+                places.append(waiting if got is None else None)
+                waiting += got is None
+            if len(batch):
+                part = int(batch["part"].iloc[0])
+            if keep:
+                out = batch.iloc[keep].copy()
+                out["container"] = pd.array(containers, dtype="Int64")
+                out["kind"], out["place"] = kinds, pd.array(places, dtype="Int64")
+                yield out[schema.names]
+        left = [(s, c, OFFERED, k) for k, (s, c) in enumerate(local.offers)] + [(-s, c, CLOSED, None) for s, c in local.later if s]
+        if left:
+            out = pd.DataFrame({c: pd.array([None] * len(left), dtype="object") for c in columns})
+            out["space"], out["container"] = [x[0] for x in left], [x[1] for x in left]
+            out["part"], out["kind"], out["place"] = part, [x[2] for x in left], pd.array([x[3] for x in left], dtype="Int64")
+            yield out[schema.names]
+
+    return rows.mapInPandas(sweep, schema)
 
 
 def pack_items(items: DataFrame, item: str, size: Column, capacity: int) -> DataFrame:
     """Put every item into a container: (item, piece, size, container, divided).
 
-    Bulk-synchronous best fit. Items are range-sorted by size and ranked within their size by a distributed
-    sort. All items of one size, and all containers with one remaining space, are interchangeable, so both are
-    held as classes: at most `capacity` sizes, whatever the number of items. The sweep matches the classes,
-    largest first, with their successor gaps, gives the containers of a gap to items in order of rank, updates
-    the gaps and repeats until all are placed; only size counts reach the driver. The moves of the sweep are
-    then applied to all items at once by a join on the size and the rank.
+    Bulk-synchronous best fit. The state is the unplaced items and the gaps (containers with space left). A
+    superstep range-sorts both by size, and each part of the range sweeps its rows from large to small: an item
+    takes its successor, the smallest gap that holds it. What the sweeps leave over is matched across parts by
+    rank (`carried_pairs`: only two counts per part reach the driver), the gaps are updated, and the next
+    superstep begins. Containers are opened when all free space is less than what is unplaced, or when no gap
+    holds the smallest item; as many as the rest would fill.
 
     No item is divided unless it exceeds the capacity: such an item fills containers of its own with pieces of
     exactly `capacity`, and what remains is packed like an item. Items of size 0 or null (size 0) take no space
@@ -102,24 +134,41 @@ def pack_items(items: DataFrame, item: str, size: Column, capacity: int) -> Data
     """
     if capacity < 1:
         raise ValueError("the capacity has to be positive")
-    sized = items.select(F.col(item), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("bigint").alias("_size"))
-    whole = F.floor(F.col("_size") / capacity).cast("bigint")
-    rest = F.col("_size") - whole * capacity
-    sized = sized.withColumns({"_whole": whole, "_rest": rest})
-    small = sized.select(F.col(item), "_whole", F.col("_rest").alias("size"), F.col("_size").alias("item_size"))
-    ranked = distributed_rank(small, ["size"], [F.col(item), F.col("_whole")])
-    ranked = cut_lineage(ranked, "sizes")
-    counts = {r["size"]: r["n"] for r in ranked.filter("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    moves, containers = best_fit_moves(counts, capacity)
     spark = items.sparkSession
-    placed = spark.createDataFrame(moves, "size bigint, rank_from bigint, rank_to bigint, container_from bigint")
-    divided = F.col("item_size") > capacity
-    at = F.col("rank") - 1
-    packed = ranked.filter("size > 0").join(placed, (ranked["size"] == placed["size"]) & (at >= F.col("rank_from")) & (at < F.col("rank_to")))
-    packed = packed.select(F.col(item), F.col("_whole").alias("piece"), ranked["size"], (F.col("container_from") + at - F.col("rank_from")).alias("container"), divided.alias("divided"))
-    empty = ranked.filter("item_size = 0").select(F.col(item), F.lit(0).cast("bigint").alias("piece"), "size", F.lit(0).cast("bigint").alias("container"), F.lit(False).alias("divided"))
+    sized = items.select(F.col(item), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("bigint").alias("item_size"))
+    sized = cut_lineage(sized.withColumn("whole", F.floor(F.col("item_size") / capacity).cast("bigint")), "sizes")
+    long = lambda name: F.lit(None).cast("bigint").alias(name)
+    todo = sized.select(F.col(item), F.col("whole").alias("piece"), (F.col("item_size") - F.col("whole") * capacity).alias("size"), (F.col("item_size") > capacity).alias("divided"), long("container"), long("space")).filter("size > 0")
+    no_item = [F.lit(None).cast(items.schema[item].dataType).alias(item), long("piece"), long("size"), F.lit(None).cast("boolean").alias("divided")]
+    state, placed, containers = todo, [], 0
+    while True:
+        at = state.agg(F.sum("size").alias("open"), F.min("size").alias("least"), F.coalesce(F.sum(F.when(F.col("size").isNull(), F.col("space"))), F.lit(0)).alias("free"), F.max(F.when(F.col("size").isNull(), F.col("space"))).alias("widest")).first()
+        if not at["open"]:
+            break
+        stuck = at["widest"] is None or at["widest"] < at["least"]
+        opened = max(0, -(-(at["open"] if stuck else at["open"] - at["free"]) // capacity))
+        if opened:
+            state = state.unionByName(spark.range(containers, containers + opened).select(*no_item, F.col("id").alias("container"), F.lit(capacity).cast("bigint").alias("space")))
+            containers += opened
+        swept = cut_lineage(_superstep(state, item), "swept")
+        parts = swept.groupBy("part").agg(F.count_if(F.col("kind") == OFFERED).alias("o"), F.count_if(F.col("kind") == WAITING).alias("w")).collect()
+        runs = carried_pairs([(r["part"], r["o"], r["w"]) for r in parts])
+        runs = F.broadcast(spark.createDataFrame(runs, "part int, first bigint, to_part int, last bigint, n bigint"))
+        columns = [item, "piece", "size", "divided"]
+        placed.append(swept.filter(F.col("kind") == PLACED).select(*columns, "container"))
+        waiting = swept.filter(F.col("kind") == WAITING).select(*columns, "part", "place")
+        within = (waiting["part"] == runs["part"]) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n"))
+        sent = waiting.join(runs, within, "left").select(*columns, F.col("to_part").alias("part"), (F.col("last") - F.col("place") + F.col("first")).alias("place"))
+        offers = swept.filter(F.col("kind") == OFFERED).select("part", "place", "container", "space")
+        taken = offers.join(sent.filter("part IS NOT NULL"), ["part", "place"], "left")
+        placed.append(taken.filter("size IS NOT NULL").select(*columns, "container"))
+        gaps = taken.select("container", (F.col("space") - F.coalesce("size", F.lit(0))).alias("space")).unionByName(swept.filter(F.col("kind") == CLOSED).select("container", "space"))
+        rest = sent.filter("part IS NULL").select(*columns, long("container"), long("space"))
+        state = cut_lineage(rest.unionByName(gaps.filter("space > 0").select(*no_item, "container", "space")), "state")
+    out = sized.filter("item_size = 0").select(F.col(item), F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("container"), F.lit(False).alias("divided"))
+    for p in placed:
+        out = out.unionByName(p)
     # full pieces: containers are numbered after the packed ones by a running total
-    large = distributed_rank(ranked.filter("_whole > 0").select(item, "_whole", "item_size", F.col("rank").alias("_tie")), [], [F.col(item), F.col("_tie")], weight="_whole")
-    full = large.select(F.col(item), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_whole") - 1)).alias("piece"), F.lit(capacity).cast("bigint").alias("size"), (F.col("running") - F.col("_whole")).alias("_before"), divided.alias("divided"))
-    full = full.select(item, "piece", "size", (F.lit(containers) + F.col("_before") + F.col("piece")).cast("bigint").alias("container"), "divided")
-    return packed.unionByName(empty).unionByName(full)
+    large = distributed_rank(sized.filter("whole > 0"), [], [F.col(item), F.col("whole")], weight="whole")
+    full = large.select(F.col(item), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece"), F.lit(capacity).cast("bigint").alias("size"), (F.col("running") - F.col("whole")).alias("_before"), (F.col("item_size") > capacity).alias("divided"))
+    return out.unionByName(full.select(item, "piece", "size", (F.lit(containers) + F.col("_before") + F.col("piece")).cast("bigint").alias("container"), "divided"))
