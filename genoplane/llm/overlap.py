@@ -130,6 +130,7 @@ def split_overlaps(records: DataFrame, record: str, part: str, genome: str, exac
     without records, give an empty result; repeated rows count as records of their own id.
     """
     columns = [exact, *features]
+    records = records.select(*dict.fromkeys([record, part, genome, *columns, *carry]))
     training, evaluation = records.filter(F.col(part) == "train"), records.filter(F.col(part) == "evaluation")
     near = near_vectors(training.select(*columns), evaluation.select(*columns), exact, features, tolerance)
     genomes = training.filter(F.col(genome).isNotNull()).select(genome).distinct()

@@ -73,7 +73,7 @@ def _capped(spark: SparkSession, sf_dir: str, temperature: float) -> DataFrame:
     rows = table(spark, sf_dir, "label_manifest").select("label_id", group_key(F.col("taxonomy_group")).alias("taxonomy_group"), tier_key(F.col("evidence_tier")).alias("tier"), "recorded_at")
     limits = table(spark, sf_dir, "contributor_limit").select(group_key(F.col("taxonomy_group")).alias("taxonomy_group"), "max_rows")
     score = F.when(F.col("tier") == "A", 8.0).when(F.col("tier") == "B", 4.0).when(F.col("tier") == "C", 2.0).otherwise(1.0)
-    return cap_contributors(rows, limits, "taxonomy_group", "label_id", score, [F.col("recorded_at").desc_nulls_last(), F.col("label_id").asc()], temperature)
+    return cap_contributors(rows, limits, "taxonomy_group", "label_id", score, [(F.col("recorded_at"), True), (F.col("label_id"), False)], temperature)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,8 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, category: list[str]
     fields = ", ".join(f"{c} string" for c in category)
     size = int(spec[0]["sample_rows"]) if spec else 0
     listed = spark.createDataFrame([(i, *[r[c] for c in category]) for i, r in enumerate(spec)], f"category int, {fields}")
-    units = rows.filter(F.col(unit).isNotNull()).join(F.broadcast(listed), category).groupBy("category", F.col(unit).alias("unit")).agg(F.min(row_id).alias("row_id"))
+    found = rows.select(*category, F.col(unit).alias("unit"), F.col(row_id).alias("row_id")).filter(F.col("unit").isNotNull())
+    units = found.join(F.broadcast(listed), category).groupBy("category", "unit").agg(F.min("row_id").alias("row_id"))
     key = hashed_uniform(F.lit(seed), F.col("category"), F.col("unit"))
     units = units.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(salts)))
     counts = {r["category"]: r["n"] for r in units.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -84,24 +85,26 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, category: list[str]
     return sample, report
 
 
-def cap_contributors(rows: DataFrame, limits: DataFrame, contributor: str, row_id: str, score: Column, ties: list[Column], temperature: float = 1.0, seed: int = 11) -> DataFrame:
+def cap_contributors(rows: DataFrame, limits: DataFrame, contributor: str, row_id: str, score: Column, ties: list[tuple[Column, bool]], temperature: float = 1.0, seed: int = 11) -> DataFrame:
     """Rank the rows of each limited contributor by random keys scaled by score, and mark the first max_rows as kept.
 
     Weighted reservoir sampling without replacement: a row with score w gets the key w x exp(gumbel), the
     logarithm form of an exponential key divided by w, and the rows with the largest keys are retained.
     `temperature` scales the random part: 1 draws in proportion to the score, 0 is the limit in which the best
-    scores are kept, with `ties` as the order among equal scores. `score` has to be positive.
+    scores are kept, with `ties` (column, descending; nulls last) as the order among equal scores, which should
+    be total. A null score, or one of 0 or less, ranks after all others.
 
     `limits`: (contributor, max_rows), one row each. Rows without contributor, or of one without limit, are
     kept and have no rank. Result: row_id, contributor, rank, kept. Ranks come from a range-partitioned sort,
-    so a contributor with most rows spans many tasks. Repeated rows count each; empty tables give no rows.
+    so a contributor with most rows spans many tasks. Repeated rows count each; empty tables give no rows;
+    other columns of `rows`, whatever their names, are not used.
     """
     u = hashed_uniform(F.lit(seed), F.col(row_id))
-    key = F.ln(score) + (F.lit(temperature) * -F.ln(-F.ln(u)) if temperature else F.lit(0.0))
-    limits = limits.select(F.col(contributor), F.col("max_rows"))
-    named = rows.withColumn("_key", key)
-    held = named.join(limits, contributor, "left_semi")
-    ranked = distributed_rank(held, [contributor], [F.col("_key").desc(), *ties]).join(limits, contributor)
-    ranked = ranked.select(row_id, contributor, "rank", (F.col("rank") <= F.col("max_rows")).alias("kept"))
-    free = named.join(limits, contributor, "left_anti").select(row_id, contributor, F.lit(None).cast("bigint").alias("rank"), F.lit(True).alias("kept"))
-    return ranked.unionByName(free)
+    key = F.ln(F.when(score > 0, score)) + (F.lit(temperature) * -F.ln(-F.ln(u)) if temperature else F.lit(0.0))
+    limits = limits.select(F.col(contributor).alias("_who"), F.col("max_rows").alias("_most"))
+    named = rows.select(F.col(row_id).alias("_id"), F.col(contributor).alias("_who"), key.alias("_key"), *[c.alias(f"_tie{i}") for i, (c, _) in enumerate(ties)])
+    order = [F.col("_key").desc_nulls_last(), *[F.col(f"_tie{i}").desc_nulls_last() if down else F.col(f"_tie{i}").asc_nulls_last() for i, (_, down) in enumerate(ties)]]
+    held = named.join(limits, "_who", "left_semi")
+    ranked = distributed_rank(held, ["_who"], order).join(limits, "_who").select("_id", "_who", "rank", (F.col("rank") <= F.col("_most")).alias("kept"))
+    free = named.join(limits, "_who", "left_anti").select("_id", "_who", F.lit(None).cast("bigint").alias("rank"), F.lit(True).alias("kept"))
+    return ranked.unionByName(free).select(F.col("_id").alias(row_id), F.col("_who").alias(contributor), "rank", "kept")
