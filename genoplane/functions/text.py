@@ -27,7 +27,7 @@ def is_blank(c: Column) -> Column:
 def visible(c: Column) -> Column:
     """Without invisible format characters, full-width and look-alike letters made plain, in lower case."""
     plain = F.translate(F.regexp_replace(c, r"\p{Cf}", ""), _WIDE + _CYRILLIC, _PLAIN + _LATIN)
-    return F.lower(plain)
+    return F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c))
 
 
 def accession_text(c: Column) -> Column:
@@ -56,6 +56,8 @@ def genome_key(c: Column) -> Column:
     bare = F.regexp_replace(s, r"[^\p{L}\p{N}]+", "")
     return (
         F.when(c.rlike(r"^GC[AF]_[0-9]{9}(\.[0-9]+)?$"), F.concat(F.lit("acc:"), _unzeroed(F.substring(c, 5, 9))))
+        # the plain writing of a named set gives what the general reading below would give
+        .when(c.rlike(rf"^(?!.*(?:gc[af]|assembly|accession|_(?:{_NUMBER_WORDS})_))[a-z]+_[a-z]+_[1-9][0-9]*$"), F.regexp_replace(c, "^([a-z]+)_([a-z]+)_", "set:$1$2:"))
         .when(c.isNull() | s.rlike(r"(?U)^\s*$"), F.lit(None).cast("string"))
         .when(number != "", F.concat(F.lit("acc:"), digits))
         .when((name != "") & (count != ""), F.concat(F.lit("set:"), name, F.lit(":"), count))
@@ -69,25 +71,21 @@ def word_key(c: Column) -> Column:
     Letter case, spacing, punctuation, invisible characters, a rank or tier word and a remark in brackets
     are dropped. Where the brackets hold all there is, their content counts.
     """
-    s = visible(c)
-    bare = F.regexp_replace(s, r"[\(\[][^\)\]]*[\)\]]", " ")
-    s = F.when(bare.rlike(r"[\p{L}\p{N}]"), bare).otherwise(s)
+    # each step uses the one before once: an expression that names its input twice is computed twice
+    s = F.regexp_replace(visible(c), r"(?=[\(\[])(?:(?<=[\p{L}\p{N}].{0,200})|(?=[^\)\]]*[\)\]].*[\p{L}\p{N}]))[\(\[][^\)\]]*[\)\]]", " ")
     s = F.regexp_replace(s, r"^[^\p{L}\p{N}]*[dkpcofgs]__", "")
     s = F.regexp_replace(s, rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(RANK_WORDS)})(?![\p{{L}}\p{{N}}])", "")
-    s = F.regexp_replace(s, r"[^\p{L}\p{N}]+", "")
-    return F.when(s != "", s)
+    return F.nullif(F.regexp_replace(s, r"[^\p{L}\p{N}]+", ""), F.lit(""))
 
 
 def tier_key(c: Column) -> Column:
     """``A``, ``B``, ``C``, or null for anything else."""
-    k = F.upper(word_key(c))
-    return F.when(k.isin("A", "B", "C"), k)
+    return F.nullif(F.regexp_extract(F.upper(word_key(c)), "^([ABC])$", 1), F.lit(""))
 
 
 def group_key(c: Column) -> Column:
     """The taxonomy group, or null where it is blank or unclassified."""
-    k = word_key(c)
-    return F.when(k != "unclassified", k)
+    return F.nullif(word_key(c), F.lit("unclassified"))
 
 
 def text_tokens(c: Column) -> Column:
