@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoplane.operators.ranking import distributed_rank
+from genoplane.session import cut_lineage
 
 MAX_TARGETS = 100_000
 
@@ -64,7 +65,8 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, category: list[str]
     found = rows.select(*category, F.col(unit).alias("unit"), F.col(row_id).alias("row_id")).filter(F.col("unit").isNotNull())
     units = found.join(F.broadcast(listed), category).groupBy("category", "unit").agg(F.min("row_id").alias("row_id"))
     key = hashed_uniform(F.lit(seed), F.col("category"), F.col("unit"))
-    units = units.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(salts)))
+    # counted, sampled for its ranges and sorted: the distinct units are written once for the three readers
+    units = cut_lineage(units.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(salts))), "units")
     counts = {r["category"]: r["n"] for r in units.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
     known = [{"category": i, "available": counts.get(i, 0), "share": (r["target_share"] or 0.0) * size, "min_rows": r["min_rows"] or 0} for i, r in enumerate(spec)]
     quota = feasible_quotas(known, size)
