@@ -23,8 +23,8 @@ def annotation_loci(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, D
     """
     parts = F.split("value", "\t", -1)
     rows = lines.filter(~is_blank(F.col("value")) & ~F.col("value").startswith("#")).withColumn("p", parts)
-    rows = rows.filter((F.size("p") == 9) & (F.col("p")[2] == "CDS"))
-    rows = rows.withColumns({"start": F.expr("try_cast(p[3] AS BIGINT)"), "end": F.expr("try_cast(p[4] AS BIGINT)")})
+    rows = rows.filter((F.size("p") == 9) & (F.get("p", F.lit(2)) == "CDS"))
+    rows = rows.withColumns({"start": F.expr("try_cast(get(p, 3) AS BIGINT)"), "end": F.expr("try_cast(get(p, 4) AS BIGINT)")})
     good = F.coalesce((F.col("start") >= 1) & (F.col("end") >= F.col("start")), F.lit(False))
     rejects = rows.filter(~good).select("accession", "line_no", "value")
     if strict:
@@ -32,11 +32,11 @@ def annotation_loci(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, D
         rows = rows.withColumn("start", F.when(good, F.col("start")).otherwise(F.raise_error(where).cast("bigint")))
     else:
         rows = rows.filter(good)
-    rows = rows.withColumns({"seqid": F.col("p")[0], "a": attribute_map(F.col("p")[8])})
-    rows = rows.withColumn("inferred_aliases", inferred_aliases(F.col("seqid"), F.col("p")[1], F.col("a"))).withColumn("direct_aliases", direct_aliases(F.col("a")))
+    rows = rows.withColumns({"seqid": F.get("p", F.lit(0)), "a": attribute_map(F.get("p", F.lit(8)))})
+    rows = rows.withColumn("inferred_aliases", inferred_aliases(F.col("seqid"), F.get("p", F.lit(1)), F.col("a"))).withColumn("direct_aliases", direct_aliases(F.col("a")))
     get = lambda k: F.try_element_at("a", F.lit(k))
     loci = rows.select(
-        "accession", F.col("line_no").alias("locus_row"), "seqid", F.lit("CDS").alias("feature_type"), "start", "end", F.col("p")[6].alias("strand"),
+        "accession", F.col("line_no").alias("locus_row"), "seqid", F.lit("CDS").alias("feature_type"), "start", "end", F.get("p", F.lit(6)).alias("strand"),
         locus_protein_id(F.col("seqid"), F.col("a"), F.col("inferred_aliases")).alias("protein_id"), get("locus_tag").alias("locus_tag"), get("ID").alias("gff_id"), get("Parent").alias("parent_id"),
         "direct_aliases", "inferred_aliases", F.sort_array(F.array_union("direct_aliases", "inferred_aliases")).alias("aliases"),
     )

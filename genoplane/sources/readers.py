@@ -75,7 +75,7 @@ def table_source(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def file_listing(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """(path, length, root_priority) of all files under the roots, without reading them."""
+    """(path, length, root_priority) of all files under the roots that are not empty, without reading them."""
     parts = [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(r).select("path", "length", F.lit(i).alias("root_priority")) for i, r in enumerate(roots)]
     out = parts[0]
     for p in parts[1:]:
@@ -117,7 +117,7 @@ def protein_sequences(spark: SparkSession, path: str | Sequence[str]) -> DataFra
 
 
 def valid_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, is_valid): the file is not empty and its first record has an id and a sequence."""
+    """(path, is_valid): the first record has an id and a sequence. The file source skips empty files: they have no row."""
     files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path", "length")
     first = protein_sequences(spark, path).filter("record_no = 0 AND protein_id <> '' AND sequence <> ''").select("path", F.lit(True).alias("has_record"))
     return files.join(first, "path", "left").select("path", ((F.col("length") > 0) & F.coalesce("has_record", F.lit(False))).alias("is_valid"))

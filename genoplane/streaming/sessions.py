@@ -30,32 +30,28 @@ def directed_gap_clusters(loci: DataFrame, max_gap: int, max_divergent_gap: int)
     """Clusters of a stream of loci (accession, seqid, start, end, strand) that arrive in order of position per contig.
 
     State per contig: the open cluster. A locus beyond the limit, which is smaller after a minus strand followed
-    by a plus strand, closes it; the last cluster of a contig is emitted when its state times out. Result:
-    accession, seqid, start, end, n_loci.
+    by a plus strand, closes it. Each batch gives, for the contigs in it, the clusters it closed and the one that
+    is open after it. Result (append mode): accession, seqid, start, end, n_loci, is_closed.
     """
-    schema = "accession string, seqid string, start bigint, end bigint, n_loci bigint"
+    schema = "accession string, seqid string, start bigint, end bigint, n_loci bigint, is_closed boolean"
     state = "start bigint, end bigint, n bigint, strand string"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        closed, open_ = [], group.get if group.exists else None
-        if not group.hasTimedOut:
-            rows = pd.concat(list(batches)).sort_values(["start", "end"], kind="stable")
-            for start, end, strand in zip(rows["start"], rows["end"], rows["strand"], strict=True):
-                if open_ is not None:
-                    limit = max_divergent_gap if open_[3] == "-" and strand == "+" else max_gap
-                    if start - open_[1] - 1 <= limit:
-                        open_ = (open_[0], max(open_[1], int(end)), open_[2] + 1, strand)
-                        continue
-                    closed.append((*key, *open_[:3]))
-                open_ = (int(start), int(end), 1, strand)
-            group.update(open_)
-            group.setTimeoutDuration(60_000)
-        else:
-            closed.append((*key, *open_[:3]))
-            group.remove()
-        yield pd.DataFrame(closed, columns=["accession", "seqid", "start", "end", "n_loci"])
-
-    return loci.groupBy("accession", "seqid").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        out, open_ = [], group.get if group.exists else None
+        rows = pd.concat(list(batches)).sort_values(["start", "end"], kind="stable")
+        for start, end, strand in zip(rows["start"], rows["end"], rows["strand"], strict=True):
+            if open_ is not None:
+                limit = max_divergent_gap if open_[3] == "-" and strand == "+" else max_gap
+                if start - open_[1] - 1 <= limit:
+                    open_ = (open_[0], max(open_[1], int(end)), open_[2] + 1, strand)
+                    continue
+                out.append((*key, *open_[:3], True))
+            open_ = (int(start), int(end), 1, strand)
+        group.update(open_)
+        out.append((*key, *open_[:3], False))
+        yield pd.DataFrame(out, columns=["accession", "seqid", "start", "end", "n_loci", "is_closed"])
+
+    return loci.groupBy("accession", "seqid").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def fold_into_state(path: str):
