@@ -155,9 +155,11 @@ def a20_oof_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with a feature column per element; in a shorter vector the last ones are null, which training refuses."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    first = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)]
-    return rows.select(F.col("vec_id").cast("string").alias("assembly_accession"), F.concat_ws("-", F.lit("g"), "label", F.col("vec_id") % 4).alias("source_genome_id"), F.when(F.col("label") < 5, "positive").otherwise("negative").alias("target_label"), *first)
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    elements = [F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)]
+    return rows.select(F.col("vec_id").cast("string").alias("assembly_accession"), F.concat_ws("-", F.lit("g"), "label", F.col("vec_id") % 4).alias("source_genome_id"), F.when(F.col("label") < 5, "positive").otherwise("negative").alias("target_label"), *elements)
 
 
 def _cv(spark: SparkSession, sf_dir: str, model: str, **options) -> DataFrame:
