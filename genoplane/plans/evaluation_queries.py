@@ -162,8 +162,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vec_id").cast("string").alias("assembly_accession"), F.concat_ws("-", F.lit("g"), "label", F.col("vec_id") % 4).alias("source_genome_id"), F.when(F.col("label") < 5, "positive").otherwise("negative").alias("target_label"), *elements)
 
 
-def _cv(spark: SparkSession, sf_dir: str, model: str, **options) -> DataFrame:
-    return cross_validate(_vectors(spark, sf_dir), [model], n_splits=3, n_repeats=1, **options).aggregate
+def _cv(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    return cross_validate(_vectors(spark, sf_dir), [model]).aggregate
 
 
 def m3_logreg_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ def m3_logreg_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m4_forest_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cv(spark, sf_dir, "random_forest", trees=50, max_depth=12)
+    return _cv(spark, sf_dir, "random_forest")
 
 
 def m5_svm_cv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Queries and commands that did less than the whole job."""
 
+import inspect
+from types import SimpleNamespace
+
 import pytest
 
 from genoplane.operators import models as M
@@ -17,3 +20,18 @@ def test_models_see_every_element_of_a_vector(spark, vectors):
     rows = E._vectors(spark, vectors)
     assert M.feature_names(rows) == [f"e{i}" for i in range(20)]
     assert all((r["e19"] == 1.0) == (r["target_label"] == "positive") for r in rows.collect())
+
+
+def test_model_queries_run_all_folds_repeats_and_trees(spark, vectors, monkeypatch):
+    calls = []
+    monkeypatch.setattr(E, "cross_validate", lambda df, models, **options: calls.append((models, options)) or SimpleNamespace(aggregate=df))
+    for query in (E.m3_logreg_cv, E.m4_forest_cv, E.m5_svm_cv):
+        query(spark, vectors)
+    for models, options in calls:
+        bound = inspect.signature(M.cross_validate).bind(None, models, **options)
+        bound.apply_defaults()
+        got = inspect.signature(M.train).bind(None, models[0], **bound.arguments["options"])
+        got.apply_defaults()
+        assert (bound.arguments["n_splits"], bound.arguments["n_repeats"]) == (5, 3)
+        assert (got.arguments["trees"], got.arguments["max_depth"]) == (300, 30)
+    assert [m for m, _ in calls] == [["logistic_regression"], ["random_forest"], ["svc"]]
