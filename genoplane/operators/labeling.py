@@ -28,11 +28,11 @@ PREVIEW = 10
 
 
 class LabelingError(ValueError):
-    """Inputs that break the contract; `report` has all that was found."""
+    """Inputs that break the contract; `report` has all that was found, `tables` by name the offending values and rows."""
 
-    def __init__(self, report: dict) -> None:
+    def __init__(self, report: dict, tables: dict[str, DataFrame] | None = None) -> None:
         super().__init__("; ".join(report["validation_errors"]))
-        self.report = report
+        self.report, self.tables = report, tables or {}
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,26 @@ def check_counts(df: DataFrame, checks: dict[str, Column], key: str) -> DataFram
     return long.unionByName(excess)
 
 
+def check_offenders(df: DataFrame, checks: dict[str, Column], key: str, row: Column) -> DataFrame:
+    """(check, value, row_id, n_rows) in long form: all that `check_counts` counts, by name.
+
+    A blank field is named by the row's id (`row`), everything else by the offending value, once with the number
+    of rows that have it; for repeated keys that is all their rows, of which the counts have all but one.
+    """
+    value = {name: F.col(name.partition(":")[2] or {"bad_accession": key, "bad_date": "label_date"}[name]) for name in checks}
+    none = F.lit(None).cast("string")
+    cells = [F.when(c, F.struct(F.lit(name).alias("check"), *((none.alias("value"), row.cast("string").alias("row_id")) if name.startswith("blank:") else (value[name].cast("string").alias("value"), none.alias("row_id"))))) for name, c in checks.items()]
+    found = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("check", "value", "row_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    repeated = duplicate_excess(df, key).select(F.lit(f"duplicate:{key}").alias("check"), F.col(key).alias("value"), none.alias("row_id"), F.col("n").alias("n_rows"))
+    return found.unionByName(repeated)
+
+
+def feature_row_checks() -> dict[str, Column]:
+    """Name and condition of each row-wise violation of a trimmed feature table."""
+    key = F.col("accession_id")
+    return {"blank:accession_id": key == "", "bad_accession": (key != "") & ~key.rlike(f"^{STRICT_ACCESSION}$")}
+
+
 def invalid_values(df: DataFrame, column: str, words: Sequence[str]) -> DataFrame:
     """(column_name, value, n_rows) of the values outside a vocabulary."""
     bad = df.filter((F.col(column) != "") & ~F.col(column).isin(*words))
@@ -141,7 +161,8 @@ def label_dataset(features: DataFrame, labels: DataFrame, strict_mismatches: boo
 
     All violations are gathered before LabelingError is raised with the report. Keys without partner are
     warnings, or errors with `strict_mismatches`. The joined table is ordered by accession. Two aggregates check
-    the inputs; the report holds counts and previews of at most PREVIEW values.
+    the inputs; the report holds counts and previews of at most PREVIEW values, and LabelingError has the table
+    `offenders` (see `check_offenders`; rows are named by their content as JSON).
     """
     report: dict = {"validation_errors": [], "validation_warnings": [], "generated_at": datetime.now(timezone.utc).isoformat()}
     errors, warnings = report["validation_errors"], report["validation_warnings"]
@@ -154,20 +175,23 @@ def label_dataset(features: DataFrame, labels: DataFrame, strict_mismatches: boo
     report["input_feature_rows"], report["input_label_rows"] = features.count(), labels.count()
     errors += [f"{name} are empty" for name, n in (("features", report["input_feature_rows"]), ("labels", report["input_label_rows"])) if not n]
     features, labels = trimmed(features), trimmed(labels)
+    named: list[DataFrame] = []
     if not missing:
         found = {r["check"]: r["n_rows"] for r in check_counts(labels, manifest_row_checks(extra_sources), "assembly_accession").collect()}
         errors += [f"manifest {k}: {n} rows" for k, n in found.items() if n]
+        if any(found.values()):
+            named.append(check_offenders(labels, manifest_row_checks(extra_sources), "assembly_accession", F.to_json(F.struct(*MANIFEST_COLUMNS))).select(F.lit("manifest").alias("table_name"), "*"))
         report["duplicate_label_key_count"] = found["duplicate:assembly_accession"]
         for row in histograms(labels, ["target_label", "evidence_tier", "dataset_role"]).collect():
             report.setdefault(f"{row['column_name']}_distribution", {})[row["value"]] = row["n_rows"]
     if "accession_id" in features.columns:
-        key = F.col("accession_id")
-        checks = {"blank:accession_id": key == "", "bad_accession": (key != "") & ~key.rlike(f"^{STRICT_ACCESSION}$")}
-        found = {r["check"]: r["n_rows"] for r in check_counts(features, checks, "accession_id").collect()}
+        found = {r["check"]: r["n_rows"] for r in check_counts(features, feature_row_checks(), "accession_id").collect()}
         errors += [f"features {k}: {n} rows" for k, n in found.items() if n]
+        if any(found.values()):
+            named.append(check_offenders(features, feature_row_checks(), "accession_id", F.to_json(F.struct("*"))).select(F.lit("features").alias("table_name"), "*"))
         report["duplicate_feature_key_count"] = found["duplicate:accession_id"]
     if errors:
-        raise LabelingError(report)
+        raise LabelingError(report, {"offenders": reduce(DataFrame.unionByName, named)} if named else None)
     lone = unmatched_keys(features, labels, "accession_id", "assembly_accession")
     for side in ("feature", "label"):
         one = lone.filter(F.col("side") == side)

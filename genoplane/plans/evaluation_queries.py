@@ -31,9 +31,17 @@ def v4_manifest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v6_feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("accession_id")
-    checks = {"blank:accession_id": key == "", "bad_accession": (key != "") & ~key.rlike(f"^{B.STRICT_ACCESSION}$")}
-    return B.check_counts(_features(spark, sf_dir), checks, "accession_id")
+    return B.check_counts(_features(spark, sf_dir), B.feature_row_checks(), "accession_id")
+
+
+def v4_manifest_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What v4_manifest_report counts, by value or label_id."""
+    return B.check_offenders(_labels(spark, sf_dir), B.manifest_row_checks(), "assembly_accession", F.col("label_id"))
+
+
+def v6_feature_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What v6_feature_report counts, by value or feature_row_id."""
+    return B.check_offenders(_features(spark, sf_dir), B.feature_row_checks(), "accession_id", F.col("feature_row_id"))
 
 
 def f9_invalid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +198,7 @@ def m10_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        v4_manifest_report, v6_feature_report, f9_invalid_values, a11_histograms, a14_duplicate_keys, u5_unmatched_keys, j8_labeled_join, f12_training_mask, f13_reference_warnings, a15_exclusion_reasons, a16_mixed_groups, v11_dataset_summary, w8_fold_manifest, v13_manifest_checks,
+        v4_manifest_report, v4_manifest_offenders, v6_feature_report, v6_feature_offenders, f9_invalid_values, a11_histograms, a14_duplicate_keys, u5_unmatched_keys, j8_labeled_join, f12_training_mask, f13_reference_warnings, a15_exclusion_reasons, a16_mixed_groups, v11_dataset_summary, w8_fold_manifest, v13_manifest_checks,
         a19_fold_metadata, a21_confusion, a23_auc_ap, a25_metric_aggregate, w6_model_ranking, a20_oof_coverage, m3_logreg_cv, m4_forest_cv, m5_svm_cv, m10_roundtrip,
     )
 }
@@ -233,12 +241,20 @@ def _metric_sql(by: str, name: str) -> str:
   coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS "precision", coalesce(tp::DOUBLE / nullif(positive_support, 0), 0) AS recall, coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM {name}_c JOIN {name}_u USING ({by}))"""
 
 
+def _offender_sql(source: str, checks: list[tuple[str, str]], key: str, row: str) -> str:
+    """The offenders of each check by row id (blank fields) or value, and the repeated keys."""
+    named = [(k, c, "NULL::VARCHAR", f"{row}::VARCHAR") if k.startswith("blank:") else (k, c, k.partition(":")[2] or {"bad_accession": key, "bad_date": "label_date"}[k], "NULL::VARCHAR") for k, c in checks]
+    return " UNION ALL ".join([*(f"SELECT '{k}' AS \"check\", {v} AS value, {r} AS row_id, count(*) AS n_rows FROM {source} WHERE {c} GROUP BY ALL" for k, c, v, r in named), f"SELECT 'duplicate:{key}', {key}, NULL::VARCHAR, count(*) FROM {source} WHERE {key} <> '' GROUP BY {key} HAVING count(*) > 1"])
+
+
 def _long(name: str, keys: str) -> str:
     return " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric, \"{m}\"::DOUBLE AS v FROM {name}" for m in M.SCORES + M.COUNTS)
 
 
 SQL = {
     "v4_manifest_report": f"WITH {_L} " + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", count(*) FILTER ({c}) AS n_rows FROM l" for k, c in _CHECKS) + " UNION ALL SELECT 'duplicate:assembly_accession', (count(*) - count(DISTINCT assembly_accession))::BIGINT FROM l WHERE assembly_accession <> ''",
+    "v4_manifest_offenders": f"WITH {_L} " + _offender_sql("l", _CHECKS, "assembly_accession", "label_id"),
+    "v6_feature_offenders": f"WITH {_F} " + _offender_sql("f", [("blank:accession_id", "accession_id = ''"), ("bad_accession", f"accession_id <> '' AND NOT {_ACC.format(c='accession_id')}")], "accession_id", "feature_row_id"),
     "v6_feature_report": f"WITH {_F} SELECT 'blank:accession_id' AS \"check\", count(*) FILTER (accession_id = '') AS n_rows FROM f UNION ALL SELECT 'bad_accession', count(*) FILTER (accession_id <> '' AND NOT {_ACC.format(c='accession_id')}) FROM f UNION ALL SELECT 'duplicate:accession_id', (count(*) - count(DISTINCT accession_id))::BIGINT FROM f WHERE accession_id <> ''",
     "f9_invalid_values": f"WITH {_L} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n_rows FROM l WHERE {c} <> '' AND {c} NOT IN ({w}) GROUP BY {c}" for c, w in _WORDS.items()),
     "a11_histograms": f"WITH {_L} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n_rows FROM l GROUP BY {c}" for c in ("target_label", "evidence_tier", "dataset_role")),

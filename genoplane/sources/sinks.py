@@ -39,14 +39,26 @@ def write_feature_matrix(df: DataFrame, path: str, expected: int | None = None)
     return names
 
 
-def write_report(report: Mapping, path: str) -> None:
-    """A JSON file with sorted keys on the driver, put in place at once."""
+def write_report(report: Mapping, path: str, rows: Mapping[str, DataFrame] | None = None) -> None:
+    """A JSON file with sorted keys on the driver, put in place at once.
+
+    Each frame of `rows` becomes a list of all its rows (bare values if it has one column), in place of an entry
+    of that name; it is written as it arrives, so the driver holds one part at a time.
+    """
+    rows = rows or {}
+    kept = {k: v for k, v in report.items() if k not in rows}
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     fd, temporary = tempfile.mkstemp(dir=target.parent, suffix=".tmp")
     try:
         with os.fdopen(fd, "w", encoding="utf-8") as f:
-            json.dump(report, f, ensure_ascii=False, indent=2, sort_keys=True, default=str)
+            f.write(json.dumps(kept, ensure_ascii=False, indent=2, sort_keys=True, default=str).removesuffix("}").rstrip())
+            for i, (name, frame) in enumerate(rows.items()):
+                f.write(f"{',' if kept or i else ''}\n  {json.dumps(name)}: [")
+                for j, r in enumerate(frame.toLocalIterator()):
+                    f.write(f"{',' if j else ''}\n    {json.dumps(r[0] if len(r) == 1 else r.asDict(), ensure_ascii=False, default=str)}")
+                f.write("\n  ]")
+            f.write("\n}")
         os.replace(temporary, target)
     except BaseException:
         Path(temporary).unlink(missing_ok=True)
@@ -72,13 +84,16 @@ def write_predictions(results: DataFrame, folder: str) -> None:
 
 
 def label_and_write(features: DataFrame, labels: DataFrame, full_path: str, training_path: str, report_path: str, **options) -> dict:
-    """Label a dataset and write table, training rows and report; a breach writes the report alone and is raised again."""
+    """Label a dataset and write table, training rows and report.
+
+    A breach writes the report alone, with all offending values and rows, and is raised again.
+    """
     from genoplane.operators.labeling import LabelingError, label_dataset
 
     try:
         result = label_dataset(features, labels, **options)
     except LabelingError as e:
-        write_report(e.report, report_path)
+        write_report(e.report, report_path, e.tables)
         raise
     write_table(result.full, full_path)
     write_table(result.training, training_path)

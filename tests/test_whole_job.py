@@ -1,12 +1,16 @@
 """Queries and commands that did less than the whole job."""
 
 import inspect
+import json
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
+from genoplane.operators import labeling as B
 from genoplane.operators import models as M
 from genoplane.plans import evaluation_queries as E
+from genoplane.sources import sinks as S
 
 
 @pytest.fixture
@@ -35,3 +39,23 @@ def test_model_queries_run_all_folds_repeats_and_trees(spark, vectors, monkeypat
         assert (bound.arguments["n_splits"], bound.arguments["n_repeats"]) == (5, 3)
         assert (got.arguments["trees"], got.arguments["max_depth"]) == (300, 30)
     assert [m for m, _ in calls] == [["logistic_regression"], ["random_forest"], ["svc"]]
+
+
+def manifest(spark, *changes):
+    sound = {c: "x" for c in B.MANIFEST_COLUMNS} | {"target_label": "positive", "evidence_tier": "A", "evidence_source": "literature", "dataset_role": "train_candidate", "label_date": "2024-01-31"}
+    rows = [sound | {"assembly_accession": f"GCF_{i:09d}.1"} | c for i, c in enumerate(changes, 1)]
+    return spark.createDataFrame([tuple(r[c] for c in B.MANIFEST_COLUMNS) for r in rows], ", ".join(f"{c} string" for c in B.MANIFEST_COLUMNS))
+
+
+def test_every_offender_is_named(spark, tmp_path):
+    bad = manifest(spark, {"label_date": "2024-02-30"}, {"label_date": "2024-02-30", "evidence_tier": "Z"}, {"organism_name": " "}, {"assembly_accession": "GCF_000000001.1"}, {"assembly_accession": "GCF_9"})
+    got = B.check_offenders(B.trimmed(bad), B.manifest_row_checks(), "assembly_accession", F.col("assembly_accession"))
+    assert {tuple(r) for r in got.collect()} == {
+        ("bad_date", "2024-02-30", None, 2), ("vocabulary:evidence_tier", "Z", None, 1), ("blank:organism_name", None, "GCF_000000003.1", 1), ("duplicate:assembly_accession", "GCF_000000001.1", None, 2), ("bad_accession", "GCF_9", None, 1),
+    }
+    features = spark.createDataFrame([("", 1.0), ("GCF_000000001.1", 2.0), ("GCF_000000001.1", 3.0)], "accession_id string, score double")
+    with pytest.raises(B.LabelingError):
+        S.label_and_write(features, bad, f"{tmp_path}/full.parquet", f"{tmp_path}/train.parquet", f"{tmp_path}/report.json")
+    rows = json.loads((tmp_path / "report.json").read_text())["offenders"]
+    assert sum(r["table_name"] == "manifest" for r in rows) == 5
+    assert {(r["check"], r["value"]) for r in rows if r["table_name"] == "features"} == {("blank:accession_id", None), ("duplicate:accession_id", "GCF_000000001.1")}
