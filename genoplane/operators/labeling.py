@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -40,6 +40,7 @@ class LabelingResult:
     full: DataFrame
     training: DataFrame
     report: dict
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def trimmed(df: DataFrame) -> DataFrame:
@@ -161,8 +162,9 @@ def label_dataset(features: DataFrame, labels: DataFrame, strict_mismatches: boo
 
     All violations are gathered before LabelingError is raised with the report. Keys without partner are
     warnings, or errors with `strict_mismatches`. The joined table is ordered by accession. Two aggregates check
-    the inputs; the report holds counts and previews of at most PREVIEW values, and LabelingError has the table
-    `offenders` (see `check_offenders`; rows are named by their content as JSON).
+    the inputs; the report holds counts and previews of at most PREVIEW values. `tables` of the result or of
+    LabelingError have the whole lists: keys without partner under their name in the report, and `offenders` (see
+    `check_offenders`; rows are named by their content as JSON).
     """
     report: dict = {"validation_errors": [], "validation_warnings": [], "generated_at": datetime.now(timezone.utc).isoformat()}
     errors, warnings = report["validation_errors"], report["validation_warnings"]
@@ -193,15 +195,17 @@ def label_dataset(features: DataFrame, labels: DataFrame, strict_mismatches: boo
     if errors:
         raise LabelingError(report, {"offenders": reduce(DataFrame.unionByName, named)} if named else None)
     lone = unmatched_keys(features, labels, "accession_id", "assembly_accession")
+    tables: dict[str, DataFrame] = {}
     for side in ("feature", "label"):
         one = lone.filter(F.col("side") == side)
+        tables[f"unmatched_{side}_accessions"] = one.select("accession").orderBy("accession")
         n = one.count()
         report[f"unmatched_{side}_count"] = n
         report[f"unmatched_{side}_accessions"] = [r["accession"] for r in one.orderBy("accession").limit(PREVIEW).collect()]
         if n:
             (errors if strict_mismatches else warnings).append(f"{n} {side} keys without partner")
     if errors:
-        raise LabelingError(report)
+        raise LabelingError(report, tables)
     full = joined(features, labels)
     counts = {r["reason"]: r["n_rows"] for r in exclusion_counts(full, tiers).collect()}
     report["training_ready_rows"], report["excluded_from_training_count"] = counts.pop("training_ready"), counts.pop("excluded")
@@ -209,4 +213,4 @@ def label_dataset(features: DataFrame, labels: DataFrame, strict_mismatches: boo
     report["training_exclusion_reasons"] = counts
     if n := reference_warnings(full, tiers).count():
         warnings.append(f"{n} rows are excluded only for a missing evidence reference")
-    return LabelingResult(full.orderBy("assembly_accession"), training_rows(full, tiers).orderBy("assembly_accession"), report)
+    return LabelingResult(full.orderBy("assembly_accession"), training_rows(full, tiers).orderBy("assembly_accession"), report, tables)

@@ -66,9 +66,9 @@ def write_report(report: Mapping, path: str, rows: Mapping[str, DataFrame] | Non
 
 
 def run_metadata(features: DataFrame, requested: int, failures: DataFrame, path: str) -> dict:
-    """Counts of a feature run and a preview of its failures, as JSON."""
-    report = {"requested": requested, "rows": features.count(), "columns": len(features.columns), "failed": failures.count(), "failures": [r.asDict() for r in failures.orderBy("accession").limit(100).collect()]}
-    write_report(report, path)
+    """Counts of a feature run, returned and written as JSON with all its failures."""
+    report = {"requested": requested, "rows": features.count(), "columns": len(features.columns), "failed": failures.count()}
+    write_report(report, path, {"failures": failures.orderBy("accession")})
     return report
 
 
@@ -84,9 +84,9 @@ def write_predictions(results: DataFrame, folder: str) -> None:
 
 
 def label_and_write(features: DataFrame, labels: DataFrame, full_path: str, training_path: str, report_path: str, **options) -> dict:
-    """Label a dataset and write table, training rows and report.
+    """Label a dataset and write table, training rows and report with all keys without partner.
 
-    A breach writes the report alone, with all offending values and rows, and is raised again.
+    A breach writes the report alone, with all offending values, rows and keys, and is raised again.
     """
     from genoplane.operators.labeling import LabelingError, label_dataset
 
@@ -97,5 +97,5 @@ def label_and_write(features: DataFrame, labels: DataFrame, full_path: str, trai
         raise
     write_table(result.full, full_path)
     write_table(result.training, training_path)
-    write_report(result.report, report_path)
+    write_report(result.report, report_path, result.tables)
     return result.report

@@ -59,3 +59,20 @@ def test_every_offender_is_named(spark, tmp_path):
     rows = json.loads((tmp_path / "report.json").read_text())["offenders"]
     assert sum(r["table_name"] == "manifest" for r in rows) == 5
     assert {(r["check"], r["value"]) for r in rows if r["table_name"] == "features"} == {("blank:accession_id", None), ("duplicate:accession_id", "GCF_000000001.1")}
+
+
+def test_reports_hold_every_unmatched_key_and_failure(spark, tmp_path):
+    labels = manifest(spark, *[{}] * 30)
+    keys = [f"GCA_{i:09d}.1" for i in range(25)]
+    features = spark.createDataFrame([(k, 1.0) for k in [*keys, "GCF_000000001.1"]], "accession_id string, score double")
+    S.label_and_write(features, labels, f"{tmp_path}/full.parquet", f"{tmp_path}/train.parquet", f"{tmp_path}/report.json")
+    report = json.loads((tmp_path / "report.json").read_text())
+    assert report["unmatched_feature_accessions"] == keys and len(report["unmatched_label_accessions"]) == report["unmatched_label_count"] == 29
+    with pytest.raises(B.LabelingError):
+        S.label_and_write(features, labels, f"{tmp_path}/f.parquet", f"{tmp_path}/t.parquet", f"{tmp_path}/strict.json", strict_mismatches=True)
+    assert json.loads((tmp_path / "strict.json").read_text())["unmatched_feature_accessions"] == keys
+    failures = spark.range(130).select(F.format_string("g%03d", "id").alias("accession"), F.lit("why").alias("error"))
+    S.run_metadata(features, 156, failures, f"{tmp_path}/run.json")
+    assert json.loads((tmp_path / "run.json").read_text())["failures"] == [{"accession": f"g{i:03d}", "error": "why"} for i in range(130)]
+    S.write_report({}, f"{tmp_path}/none.json", {"failures": failures.limit(0)})
+    assert json.loads((tmp_path / "none.json").read_text()) == {"failures": []}
