@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoplane.functions.text import is_blank
+from genoplane.functions.text import genome_key, word_key
 from genoplane.operators import folds as D
 from genoplane.operators import labeling as B
 from genoplane.operators import metrics as M
 from genoplane.operators.models import cross_validate, load_model, round_trip_mismatches, save_model, train
 from genoplane.plans.tables import table
-from genoplane.session import shared_dir
+from genoplane.session import cut_lineage, shared_dir
 
 SPLITS, REPEATS = 5, 3
 
@@ -83,13 +83,18 @@ def a15_exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.exclusion_counts(_joined(spark, sf_dir))
 
 
-def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "grouped_training_dataset").filter(F.col("target_label").isin("positive", "negative") & ~is_blank(F.col("source_genome_id")))
-    return rows.select(F.col("record_id").cast("string").alias("assembly_accession"), "source_genome_id", "target_label")
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records with genome and label in one writing each, null where blank."""
+    rows = table(spark, sf_dir, "grouped_training_dataset")
+    return rows.select(F.col("record_id").cast("string").alias("assembly_accession"), genome_key(F.col("source_genome_id")).alias("source_genome_id"), word_key(F.col("target_label")).alias("target_label"))
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("target_label").isin("positive", "negative") & F.col("source_genome_id").isNotNull())
 
 
 def _pure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _grouped(spark, sf_dir)
+    rows = cut_lineage(_labelled(_read(spark, sf_dir)), "grouped")
     return rows.join(D.mixed_groups(rows, "source_genome_id", "target_label").select("source_genome_id"), "source_genome_id", "left_anti")
 
 
@@ -102,11 +107,18 @@ def _manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def a16_mixed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.mixed_groups(_grouped(spark, sf_dir), "source_genome_id", "target_label")
+    return D.mixed_groups(_labelled(_read(spark, sf_dir)), "source_genome_id", "target_label")
 
 
 def v11_dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.dataset_summary(_grouped(spark, sf_dir), *_KEYS)
+    """The labelled records, and the rows that the folds put aside: without a binary label, labelled without genome, of mixed genomes."""
+    rows = cut_lineage(_read(spark, sf_dir), "grouped")
+    binary = F.coalesce(F.col("target_label").isin("positive", "negative"), F.lit(False))
+    aside = {"all_rows": F.count(F.lit(1)), "unlabelled_rows": F.count_if(~binary), "blank_group_rows": F.count_if(binary & F.col("source_genome_id").isNull())}
+    whole = rows.agg(*[c.alias(k) for k, c in aside.items()])
+    labelled = _labelled(rows)
+    mixed = labelled.join(D.mixed_groups(labelled, "source_genome_id", "target_label"), "source_genome_id", "left_semi").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return D.dataset_summary(labelled, *_KEYS).withColumns({k: whole.select(k).scalar() for k in aside} | {"mixed_rows": mixed})
 
 
 def w8_fold_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,16 @@ def test_reports_hold_every_unmatched_key_and_failure(spark, tmp_path):
     assert json.loads((tmp_path / "run.json").read_text())["failures"] == [{"accession": f"g{i:03d}", "error": "why"} for i in range(130)]
     S.write_report({}, f"{tmp_path}/none.json", {"failures": failures.limit(0)})
     assert json.loads((tmp_path / "none.json").read_text()) == {"failures": []}
+
+
+def test_folds_read_labels_and_genomes_in_any_writing(spark, tmp_path):
+    rows = [(10 * i + j, g, label) for i in range(16) for j, (g, label) in enumerate(zip((f"GCF_{100 + i:09d}.1", f"gca_{100 + i:09d}.2"), ("positive", " POSITIVE") if i < 8 else ("negative ", "Negative")))]
+    rows += [(900, "GCF_000000999.1", "positive"), (901, "GCA_000000999.2", "NEGATIVE"), (902, "  ", "positive"), (903, "GCF_000000100.1", None)]
+    spark.createDataFrame(rows, "record_id bigint, source_genome_id string, target_label string").write.parquet(f"{tmp_path}/grouped_training_dataset.parquet")
+    folds = E.w8_fold_manifest(spark, str(tmp_path)).collect()
+    assert {r["assembly_accession"] for r in folds} == {str(i) for i, *_ in rows[:32]} and len(folds) == 96
+    assert len({(r["repeat"], int(r["assembly_accession"]) // 10, r["fold"]) for r in folds}) == 48
+    assert [tuple(r) for r in E.a16_mixed_groups(spark, str(tmp_path)).collect()] == [("acc:999", 2)]
+    got = E.v11_dataset_summary(spark, str(tmp_path)).first()
+    assert [got[c] for c in ("all_rows", "n_rows", "n_groups", "unlabelled_rows", "blank_group_rows", "mixed_rows")] == [36, 34, 17, 1, 1, 2]
+    assert all(r["n_violations"] == 0 for r in E.v13_manifest_checks(spark, str(tmp_path)).collect())
