@@ -47,9 +47,10 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, category: list[str]
     specification of at most MAX_TARGETS rows, checked. Rows whose category is not listed, or that lack the
     unit, are not drawn. Repeated units count once per category (the row with the smallest id stands for them).
 
-    One pass keeps per category `salts` mergeable reservoirs of the smallest random keys; counts of units are
-    exact. After the final counts, quotas are made feasible (see `feasible_quotas`) and the merged reservoirs
-    trimmed to the smallest keys, which is a uniform draw. No reservoir exceeds the sample size.
+    The distinct units are written once and counted, and quotas are made feasible from the exact counts (see
+    `feasible_quotas`). All units are then sorted by a random key within category and one of `salts` parts, those
+    within the quota are ranked across the parts, and the smallest keys are kept, which is a uniform draw. This is
+    a full sort, not a reservoir with bounded state.
     Report per target row: available, wanted = max(min_rows, share x sample_rows), quota, drawn, exhausted
     (available < wanted). Empty rows give quotas of 0. Two target rows of one category are an error.
     """
@@ -90,7 +91,7 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, category: list[str]
 def cap_contributors(rows: DataFrame, limits: DataFrame, contributor: str, row_id: str, score: Column, ties: list[tuple[Column, bool]], temperature: float = 1.0, seed: int = 11) -> DataFrame:
     """Rank the rows of each limited contributor by random keys scaled by score, and mark the first max_rows as kept.
 
-    Weighted reservoir sampling without replacement: a row with score w gets the key w x exp(gumbel), the
+    Weighted sampling without replacement by a full sort: a row with score w gets the key w x exp(gumbel), the
     logarithm form of an exponential key divided by w, and the rows with the largest keys are retained.
     `temperature` scales the random part: 1 draws in proportion to the score, 0 is the limit in which the best
     scores are kept, with `ties` (column, descending; nulls last) as the order among equal scores, which should
