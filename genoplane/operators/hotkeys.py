@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from genoplane.functions.text import is_blank
 
 BUCKETS = 4096
+MIN_SLICES, MAX_SLICES = 32, 512
 
 
 def per_key_states(df: DataFrame, keys: Sequence[str], states: Sequence[Column]) -> DataFrame:
@@ -54,16 +55,19 @@ def hot_buckets(keys: DataFrame, key: str, share: float = 0.01, buckets: int = B
     return sorted(r["b"] for r in counted if r["n"] > max(share * total, 1))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", hot: Sequence[int] | None = None, share: float = 0.01, slices: int = 32) -> DataFrame:
-    """Equi-join of `left`, which may hold a third of its rows under one key, with `right`, a table of unique keys.
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", hot: Sequence[int] | None = None, share: float = 0.01, slices: int | None = None) -> DataFrame:
+    """Equi-join of `left`, which may hold a third of its rows under one key, with `right`.
 
     Left rows in a hot bucket of the key are dealt to `slices` slices by the hash of column `spread`; right rows
-    of those buckets (a few of 4096) are repeated for each slice. Null keys join nothing and are not moved to
-    one task either. `how`: inner, left, left_semi or left_anti. Columns of `right` besides the key must not
-    clash with those of `left`.
+    of those buckets (a few of BUCKETS) are repeated for each slice. By default there are as many slices as shuffle
+    partitions, within MIN_SLICES and MAX_SLICES: at most 1/share buckets are hot, so what is repeated stays in
+    proportion to `right`. Null keys join nothing and are not moved to one task either. `how`: inner, left,
+    left_semi or left_anti. Columns of `right` besides the key must not clash with those of `left`.
     """
     if hot is None:
         hot = hot_buckets(left.select(key), key, share)
+    if slices is None:
+        slices = min(max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), MIN_SLICES), MAX_SLICES)
     bucket = key_bucket(F.col(key))
     dealt = F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int")
     is_hot = bucket.isin(list(hot)) if hot else F.lit(False)

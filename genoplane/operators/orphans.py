@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoplane.operators.hotkeys import hot_buckets, key_bucket
+from genoplane.operators.hotkeys import hot_buckets, key_bucket, salted_join
+from genoplane.operators.ranking import distributed_rank
 
 
 def existence_deltas(rows: DataFrame, key: Column, start: str, end: str) -> DataFrame:
@@ -22,63 +23,77 @@ def existence_deltas(rows: DataFrame, key: Column, start: str, end: str) -> Data
     return held.select("key", F.inline(F.filter(change, lambda c: c["at"].isNotNull())))
 
 
+def signed_changes(references: DataFrame, existences: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Both kinds of signed changes (key, delta, *carry) in one table (key, refs, held, *carry); null keys are left out.
+
+    This is what every state of this module adds up: `refs` counts references to a key, `held` its existences.
+    """
+    zero = F.lit(0).cast("bigint")
+    delta = F.col("delta").cast("bigint")
+    of_references = references.select("key", delta.alias("refs"), zero.alias("held"), *carry)
+    of_existences = existences.select("key", zero.alias("refs"), delta.alias("held"), *carry)
+    return of_references.unionByName(of_existences).filter(F.col("key").isNotNull())
+
+
+def unresolved(refs: Column, held: Column) -> Column:
+    """A state with references and no existence."""
+    return (refs > 0) & (held <= 0)
+
+
 def apply_deltas(state: DataFrame | None, references: DataFrame, existences: DataFrame) -> DataFrame:
     """The state (key, refs, held) after further signed changes (key, delta) of references and of existences.
 
     States are sums, so they merge in any order and a batch may be folded in as it arrives. Rows without a
     key are no reference. Keys whose counts are both 0 are dropped.
     """
-    zero = F.lit(0).cast("bigint")
-    parts = [
-        references.select("key", F.col("delta").cast("bigint").alias("refs"), zero.alias("held")),
-        existences.select("key", zero.alias("refs"), F.col("delta").cast("bigint").alias("held")),
-    ] + ([state.select("key", "refs", "held")] if state is not None else [])
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
+    merged = signed_changes(references, existences)
+    if state is not None:
+        merged = merged.unionByName(state.select("key", "refs", "held"))
     out = merged.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("held").alias("held"))
     return out.filter((F.col("refs") != 0) | (F.col("held") != 0))
 
 
 def current_orphans(state: DataFrame) -> DataFrame:
     """Keys with references and no existence: (key, refs)."""
-    return state.filter((F.col("refs") > 0) & (F.col("held") <= 0)).select("key", "refs")
+    return state.filter(unresolved(F.col("refs"), F.col("held"))).select("key", "refs")
 
 
 def orphans_as_of(references: DataFrame, deltas: DataFrame, hot: Sequence[int] | None = None, share: float = 0.01) -> DataFrame:
     """References (key, at, row_id) whose key had no existence when they were made, with the reason.
 
-    References and signed changes of a key are put in order of time, changes first at equal times, and the
-    changes are added up: a reference at a sum of 0 is an orphan. Result: row_id, key, at, reason, which is
-    ``deleted`` (the key existed before), ``later`` (it appears later) or ``missing`` (it never does).
+    A reference is a signed change of +1 to its key's reference count, and the signed changes of `deltas` (key, at,
+    delta) go to its existence count (`signed_changes`). The changes of a key are put in order of time, existences
+    first at equal times, and added up to the running state (refs, held); a reference whose state has references
+    and no existence is an orphan. Result: row_id, key, at, reason, which is ``deleted`` (the key existed before),
+    ``later`` (it appears later) or ``missing`` (it never does).
 
-    A key in one of the `hot` buckets is cut into days: each day gets its opening balance from the day sums
-    before it, so no task holds more than a day of one hot key. A reference without time is an orphan; one
-    without key is no case. Repeated rows each count. Empty tables give an empty result.
+    Keys outside the `hot` buckets are added up in a window per key. The changes of hot keys are range-partitioned
+    by key and time and added up across the parts (`distributed_rank`), so no task holds a hot key or a day of one.
+    A reference without time is an orphan; one without key is no case. Repeated rows each count. Empty tables give
+    an empty result.
     """
     references = references.filter(F.col("key").isNotNull())
     if hot is None:
         hot = hot_buckets(references.select("key").unionAll(deltas.select("key")), "key", share)
-    day = F.to_date("at")
+    row_id = F.lit(None).cast(references.schema["row_id"].dataType)
+    events = signed_changes(
+        references.select("key", "at", "row_id", F.lit(1).alias("delta"), F.lit(1).alias("kind"), F.lit(0).alias("born")),
+        deltas.select("key", "at", row_id.alias("row_id"), "delta", F.lit(0).alias("kind"), F.greatest("delta", F.lit(0)).cast("int").alias("born")),
+        ("at", "row_id", "kind", "born"),
+    )
+    order = [F.col("at").asc_nulls_first(), F.col("kind")]
+    states = ("refs", "held", "born")
+    orphan = (F.col("kind") == 1) & (unresolved(F.col("running_refs"), F.col("running_held")) | F.col("at").isNull())
+    columns = ("row_id", "key", "at", "running_born", "ever_born")
     is_hot = key_bucket(F.col("key")).isin(list(hot)) if hot else F.lit(False)
-    no = F.lit(None)
-    refs = references.select("key", "at", F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("delta"), F.lit(0).cast("bigint").alias("born"), F.col("row_id").cast("bigint").alias("row_id"), no.cast("bigint").alias("ever"))
-    moves = deltas.select("key", "at", F.lit(1).alias("kind"), F.col("delta").cast("bigint").alias("delta"), F.greatest("delta", F.lit(0)).cast("bigint").alias("born"), no.cast("bigint").alias("row_id"), no.cast("bigint").alias("ever"))
-    events = refs.unionByName(moves).withColumn("slice", F.when(is_hot, day))
+    whole = Window.partitionBy("key")
+    so_far = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = {f"running_{c}": F.sum(c).over(so_far) for c in states} | {"ever_born": F.sum("born").over(whole)}
+    found = events.filter(~is_hot).withColumns(sums).filter(orphan).select(*columns)
     if hot:
-        sums = events.filter(is_hot).groupBy("key", "slice").agg(F.sum("delta").alias("delta"), F.sum("born").alias("born"))
-        past = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        every = Window.partitionBy("key")
-        opening = sums.select(
-            "key", F.lit(None).cast(references.schema["at"].dataType).alias("at"), F.lit(0).alias("kind"), F.coalesce(F.sum("delta").over(past), F.lit(0)).alias("delta"), F.coalesce(F.sum("born").over(past), F.lit(0)).alias("born"), no.cast("bigint").alias("row_id"), F.sum("born").over(every).alias("ever"), "slice",
-        )
-        events = events.unionByName(opening)
-    whole = Window.partitionBy("key", "slice")
-    so_far = whole.orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    held = events.withColumns({
-        "held": F.sum("delta").over(so_far),
-        "born_before": F.sum("born").over(so_far),
-        "ever_born": F.coalesce(F.max("ever").over(whole), F.sum("born").over(whole)),
-    })
-    reason = F.when(F.col("born_before") > 0, "deleted").when(F.col("ever_born") > 0, "later").otherwise("missing")
-    return held.filter((F.col("kind") == 2) & ((F.col("held") <= 0) | F.col("at").isNull())).select("row_id", "key", "at", reason.alias("reason"))
+        warm = distributed_rank(events.filter(is_hot), ["key"], order, weight=states).filter(orphan)
+        ever = deltas.filter(is_hot).groupBy("key").agg(F.count_if(F.col("delta") > 0).alias("ever_born"))
+        warm = salted_join(warm, ever, "key", "row_id", "left", hot).withColumn("ever_born", F.coalesce("ever_born", F.lit(0)))
+        found = found.unionByName(warm.select(*columns))
+    reason = F.when(F.col("running_born") > 0, "deleted").when(F.col("ever_born") > 0, "later").otherwise("missing")
+    return found.select("row_id", "key", "at", reason.alias("reason"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from genoplane.functions.text import accession_text, group_key, is_blank, word_key
 from genoplane.operators.hotkeys import frequent_keys, per_key_states
 from genoplane.operators.orphans import apply_deltas, current_orphans, existence_deltas, orphans_as_of
+from genoplane.operators.wording import read_words
 from genoplane.plans.tables import table
 
 # table, its id, key and time; the table referred to, its key, start and end
@@ -62,7 +63,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_taxonomy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels, label words and time span per taxonomy group, however written; null is the rows without group."""
-    labels = table(spark, sf_dir, "label_manifest").select(group_key(F.col("taxonomy_group")).alias("group_name"), word_key(F.col("target_label")).alias("label"), accession_text(F.col("assembly_accession")).alias("accession"), "recorded_at")
+    labels = read_words(table(spark, sf_dir, "label_manifest"), {"group_name": ("taxonomy_group", group_key), "label": ("target_label", word_key)})
+    labels = labels.select("group_name", "label", accession_text(F.col("assembly_accession")).alias("accession"), "recorded_at")
     count = lambda word: F.count_if(F.col("label") == word)
     return per_key_states(
         labels,

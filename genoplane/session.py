@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def build_session(app: str = "genoplane", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and Arrow transfer; `conf` overrides any setting."""
@@ -26,49 +23,49 @@ def build_session(app: str = "genoplane", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local folder where the session names none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where the session names none, a local session (tests, one machine) gets a folder of its own; on a cluster that
+    is an error, since every executor would write to a disk that the others cannot read.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="genoplane-")
     spark.conf.set("spark.checkpoint.dir", own)
+    _file_system(spark, own).deleteOnExit(_path(spark, own))
     return own
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:
-            pass
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def cut_lineage(df: DataFrame, stem: str = "cut") -> DataFrame:
     """Write `df` as a table into the shared folder and read it back.
 
     The written table survives the loss of executors and is columnar, so later readers prune columns and
-    the optimizer knows its size. It stays until `release` or the end of the driver process.
+    the optimizer knows its size. It stays until `release`, or until the driver's JVM ends: the file system is
+    told to delete it then, which works after the session has been stopped too.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _file_system(spark, path).deleteOnExit(_path(spark, path))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._genoplane_path = path
     return out
 
 
-def release(df: DataFrame | None) -> None:
-    """Remove the table behind a frame that `cut_lineage` returned; nothing may read it afterwards."""
-    path = getattr(df, "_genoplane_path", None)
-    if path:
-        spark = df.sparkSession
-        _remove(spark, path)
-        _written[:] = [x for x in _written if x[1] != path]
+def release(*tables: DataFrame | None) -> None:
+    """Remove the tables behind frames that `cut_lineage` returned; nothing may read them afterwards."""
+    for df in tables:
+        path = getattr(df, "_genoplane_path", None)
+        if path:
+            _file_system(df.sparkSession, path).delete(_path(df.sparkSession, path), True)
