@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,8 @@ from pyspark.sql import types as T
 from genoplane.operators.ranking import distributed_rank
 from genoplane.session import cut_lineage
 
-PLACED, WAITING, OFFERED, CLOSED = 0, 1, 2, 3
+PLACED, WAITING, GAP = 0, 1, 2
+BINS = 65_536
 
 
 class LocalSweep:
@@ -21,12 +24,14 @@ class LocalSweep:
 
     `offers` is a stack of gaps with at least the current value, the smallest on top. An item takes the top; what
     remains of the gap goes back on top if it holds another item of that size, else to `later`, from which it
-    returns when the values have come down to it.
+    returns when the values have come down to it. Where two items want one gap, the one of higher rank, the first in
+    the order, gets it. `fresh` containers (numbers from, below) of full capacity lie beneath all gaps.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, capacity: int = 0, fresh: tuple[int, float] = (0, 0)) -> None:
         self.offers: list[tuple[int, int]] = []  # (space, container)
         self.later: list[tuple[int, int]] = []  # heap of (-space, container)
+        self.capacity, (self.next, self.end) = capacity, fresh
 
     def reach(self, value: int) -> None:
         while self.later and -self.later[0][0] >= value:
@@ -41,91 +46,163 @@ class LocalSweep:
         """The container that takes an item of this size, or None where no gap holds it."""
         self.reach(size)
         if not self.offers:
-            return None
+            if self.next >= self.end:
+                return None
+            self.offers.append((self.capacity, self.next))
+            self.next += 1
         space, container = self.offers.pop()
         if space - size >= size:
             self.offers.append((space - size, container))
-        else:
+        elif space > size:
             heapq.heappush(self.later, (size - space, container))
         return container
 
+    def left(self) -> list[tuple[int, int]]:
+        """(space, container) of all gaps, unopened containers with a known end included."""
+        unopened = [(self.capacity, c) for c in range(self.next, int(self.end))] if self.end != math.inf else []
+        return [*self.offers, *((-s, c) for s, c in self.later), *unopened]
+
+
+@dataclass(frozen=True)
+class Deal:
+    """The plan of one superstep: the parts of each size, where gaps go, and which containers a part may open."""
+
+    n_parts: int
+    bins: list[tuple[int, int, int]]  # bin, first part, number of parts
+    moves: list[tuple[int, float, float, int]]  # home part, share from, share to, part
+    fresh: list[tuple[int, float]]  # per part: container numbers from, below
+
 
-def carried_pairs(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Match what the parts (number, offers, waiting items), in descending order of value, have left over.
+def deal(items: Sequence[tuple[int, int, int, float]], gaps: Sequence[tuple[int, int]], n_bins: int, n_parts: int, first: int, budget: float) -> Deal:
+    """Cut the sizes into parts of about equally many items and deal the gaps and new containers to them.
 
-    Gaps of earlier parts hold every item of later ones. The waiting items of a part take the latest unused gaps
-    before it, by rank. Result: runs (item part, first item, gap part, last gap, length): item `first + k` takes
-    gap `last - k`. At most two runs per part.
+    `items`: (bin, items, tokens, containers that they need at least by themselves) of the open items, `gaps`: (bin,
+    space), both with greater bins for greater values. Parts are numbered from the largest items down; a bin with
+    more items than a part takes several. A gap belongs to the part of its own size, where it finds its successor; what
+    space a part has beyond its tokens goes on to the next parts with tokens not provided for. New containers,
+    numbered from `first`, `budget` in all, go to the parts from the largest items down, as many as they need: the
+    small items that are left without fill gaps later. With an unlimited budget there has to be one part.
     """
-    stack: list[list[int]] = []  # [part, number of unused offers]
-    runs = []
-    for part, offers, waiting in sorted(parts):
-        first = 0
-        while first < waiting and stack:
-            n = min(waiting - first, stack[-1][1])
-            runs.append((part, first, stack[-1][0], stack[-1][1] - 1, n))
-            first += n
-            stack[-1][1] -= n
-            if not stack[-1][1]:
-                stack.pop()
-        if offers:
-            stack.append([part, offers])
-    return runs
-
-
-def _superstep(state: DataFrame, item: str) -> DataFrame:
-    """Range-sort items and gaps together and sweep every part: rows of the state with kind, part and place among the leftovers."""
-    gaps_first = F.when(F.col("size").isNull(), 0).otherwise(1)
-    order = [F.col("value").desc(), F.col("rank_kind"), F.col("container"), F.col(item), F.col("piece")]
-    rows = state.withColumns({"value": F.coalesce("size", "space"), "rank_kind": gaps_first})
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("value", "rank_kind").withColumn("part", F.spark_partition_id())
-    schema = T.StructType([*state.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("place", T.LongType())])
-    columns = state.columns
+    count = sum(n for _, n, _, _ in items)
+    per_part = max(1, -(-count // n_parts))
+    bins, need, want, at, filled = {}, [0.0], [0.0], 0, 0
+    for b, n, tokens, alone in sorted(items, reverse=True):
+        if filled and filled + n > per_part:
+            at, filled = at + 1, 0
+            need.append(0.0)
+            want.append(0.0)
+        k = max(1, round(n / per_part))
+        bins[b] = (at, k)
+        need[at:] = [need[at] + tokens / k] + [tokens / k] * (k - 1)
+        want[at:] = [want[at] + alone / k] + [alone / k] * (k - 1)
+        at, filled = at + k - 1, filled + n if k == 1 else per_part
+    n_parts, every, below = at + 1, [], (at, 1)
+    # a gap whose bin has no items goes to the greatest smaller ones
+    for b in range(n_bins + 1):
+        below = bins.get(b, below)
+        every.append((b, *below))
+    home = {b: (p, k) for b, p, k in every}
+    space = [0.0] * n_parts
+    for b, s in gaps:
+        p, k = home[b]
+        for j in range(p, p + k):
+            space[j] += s / k
+    room, moves = list(need), []
+    for p in range(n_parts):
+        left, sent = space[p], []
+        for q in range(p, n_parts):
+            if left <= 0:
+                break
+            if (x := min(left, room[q])) > 0:
+                sent.append([q, x])
+                room[q] -= x
+                left -= x
+        if left > 0:
+            if not sent:
+                sent.append([p, 0.0])
+            sent[-1][1] += left
+        total, done = sum(x for _, x in sent), 0.0
+        for q, x in sent:
+            moves.append((p, done / total, (done + x) / total, q))
+            done += x
+    fresh: list[tuple[int, float]] = []
+    for p in range(n_parts):
+        n = budget if budget == math.inf else min(budget, math.ceil(want[p]))
+        n = budget if p == n_parts - 1 else n
+        fresh.append((first, first + n))
+        if budget != math.inf:
+            first, budget = first + int(n), budget - n
+    return Deal(n_parts, every, moves, fresh)
+
+
+def _uniform(*parts: Column) -> Column:
+    return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+
+
+def _bin(value: Column, capacity: int, n_bins: int) -> Column:
+    return value if n_bins == capacity else F.floor(value.cast("double") * n_bins / capacity).cast("bigint")
+
+
+def _superstep(items: DataFrame, gaps: DataFrame | None, plan: Deal, capacity: int, n_bins: int, turn: int) -> DataFrame:
+    """Send items and gaps to their parts, sort each part from large to small and sweep it; rows with their kind."""
+    spark = items.sparkSession
+    of_bins = F.broadcast(spark.createDataFrame(plan.bins, "bin bigint, first_part int, n_parts int"))
+    long = lambda name: F.lit(None).cast("bigint").alias(name)
+
+    def home(df: DataFrame, value: str, salt: Column) -> DataFrame:
+        placed = df.withColumn("bin", _bin(F.col(value), capacity, n_bins)).join(of_bins, "bin")
+        return placed.withColumn("part", F.col("first_part") + F.floor(_uniform(F.lit(turn), salt) * F.col("n_parts")).cast("int")).drop("bin", "first_part", "n_parts")
+
+    state = home(items, "size", F.struct("key", "piece")).withColumns({"container": long("container"), "space": long("space")})
+    if gaps is not None:
+        moves = F.broadcast(spark.createDataFrame(plan.moves, "home int, lo double, hi double, to int"))
+        at = home(gaps, "space", F.col("container")).withColumn("u", _uniform(F.lit(~turn), F.col("container")))
+        moved = at.join(moves, (F.col("part") == F.col("home")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+        state = state.unionByName(moved.select("container", "space", F.col("to").alias("part")), allowMissingColumns=True)
+    order = [F.col("part"), F.coalesce("size", "space").desc(), F.col("size").isNotNull(), F.col("container"), F.col("key"), F.col("piece")]
+    state = state.repartitionById(plan.n_parts, F.col("part")).sortWithinPartitions(*order)
+    schema = T.StructType([*(f for f in state.schema if f.name != "part"), T.StructField("kind", T.IntegerType())])
+    fresh = plan.fresh
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        local, waiting, part = LocalSweep(), 0, 0
+        local: LocalSweep | None = None
         for batch in batches:
-            kinds, places, containers, keep = [], [], [], []
-            spaces = batch["space"].to_numpy()
-            sizes = batch["size"].to_numpy()
-            is_gap = batch["size"].isna().to_numpy()
-            held = batch["container"].to_numpy()
-            for k in range(len(batch)):
+            if local is None and len(batch):
+                local = LocalSweep(capacity, fresh[int(batch["part"].iloc[0])])
+            is_gap = batch["size"].isna().tolist()
+            values = batch["size"].where(batch["size"].notna(), batch["space"]).astype("int64").tolist()
+            held = batch["container"].tolist()
+            got: list[int | None] = []
+            for k, value in enumerate(values):
                 if is_gap[k]:
-                    local.gap(int(spaces[k]), int(held[k]))
-                    continue
-                got = local.item(int(sizes[k]))
-                keep.append(k)
-                containers.append(got)
-                kinds.append(WAITING if got is None else PLACED)
-                places.append(waiting if got is None else None)
-                waiting += got is None
-            if len(batch):
-                part = int(batch["part"].iloc[0])
-            if keep:
-                out = batch.iloc[keep].copy()
-                out["container"] = pd.array(containers, dtype="Int64")
-                out["kind"], out["place"] = kinds, pd.array(places, dtype="Int64")
-                yield out[schema.names]
-        left = [(s, c, OFFERED, k) for k, (s, c) in enumerate(local.offers)] + [(-s, c, CLOSED, None) for s, c in local.later if s]
-        if left:
-            out = pd.DataFrame({c: pd.array([None] * len(left), dtype="object") for c in columns})
-            out["space"], out["container"] = [x[0] for x in left], [x[1] for x in left]
-            out["part"], out["kind"], out["place"] = part, [x[2] for x in left], pd.array([x[3] for x in left], dtype="Int64")
+                    local.gap(value, int(held[k]))
+                else:
+                    got.append(local.item(value))
+            out = batch[[not g for g in is_gap]].copy()
+            out["container"] = pd.array(got, dtype="Int64")
+            out["size"] = out["size"].astype("int64")
+            out["kind"] = [WAITING if c is None else PLACED for c in got]
+            yield out[schema.names]
+        if local is not None and (left := local.left()):
+            out = pd.DataFrame({c: pd.array([None] * len(left), dtype="object") for c in schema.names})
+            out["space"], out["container"], out["kind"] = [x[0] for x in left], [x[1] for x in left], GAP
             yield out[schema.names]
 
-    return rows.mapInPandas(sweep, schema)
+    return state.mapInPandas(sweep, schema)
 
 
-def pack_items(items: DataFrame, item: str, size: Column, capacity: int) -> DataFrame:
+def pack_items(items: DataFrame, item: str, size: Column, capacity: int, rows_per_part: int = 10_000, max_parts: int | None = None, reserve: float = 0.04) -> DataFrame:
     """Put every item into a container: (item, piece, size, container, divided).
 
-    Bulk-synchronous best fit. The state is the unplaced items and the gaps (containers with space left). A
-    superstep range-sorts both by size, and each part of the range sweeps its rows from large to small: an item
-    takes its successor, the smallest gap that holds it. What the sweeps leave over is matched across parts by
-    rank (`carried_pairs`: only two counts per part reach the driver), the gaps are updated, and the next
-    superstep begins. Containers are opened when all free space is less than what is unplaced, or when no gap
-    holds the smallest item; as many as the rest would fill.
+    Bulk-synchronous best fit. A superstep range-sorts the unplaced items and the gaps (containers with space left)
+    by size, each part of the range sweeps its rows from large to small, and an item takes its successor, the
+    smallest gap that holds it; items that want the same gap get it by rank. Gaps are updated, those that hold no
+    unplaced item are dropped, and the next superstep begins. The plan of a superstep (`deal`) comes from histograms
+    of sizes and spaces with at most BINS bins: parts of equally many items, surplus gaps moved on to the parts that
+    lack space, and at first as many new containers as all items need at least, given to the larger items. The
+    smallest items, `reserve` of all tokens, join when nearly all others are placed, and fill what they left. A
+    superstep has a part per `rows_per_part` open items, at most `max_parts` (the session's shuffle partitions); one
+    that is down to a single part opens what containers it still needs and places all.
 
     No item is divided unless it exceeds the capacity: such an item fills containers of its own with pieces of
     exactly `capacity`, and what remains is packed like an item. Items of size 0 or null (size 0) take no space
@@ -135,40 +212,56 @@ def pack_items(items: DataFrame, item: str, size: Column, capacity: int) -> Data
     if capacity < 1:
         raise ValueError("the capacity has to be positive")
     spark = items.sparkSession
-    sized = items.select(F.col(item), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("bigint").alias("item_size"))
+    most = max_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bins = min(capacity, BINS)
+    sized = items.select(F.col(item).alias("key"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("bigint").alias("item_size"))
     sized = cut_lineage(sized.withColumn("whole", F.floor(F.col("item_size") / capacity).cast("bigint")), "sizes")
-    long = lambda name: F.lit(None).cast("bigint").alias(name)
-    todo = sized.select(F.col(item), F.col("whole").alias("piece"), (F.col("item_size") - F.col("whole") * capacity).alias("size"), (F.col("item_size") > capacity).alias("divided"), long("container"), long("space")).filter("size > 0")
-    no_item = [F.lit(None).cast(items.schema[item].dataType).alias(item), long("piece"), long("size"), F.lit(None).cast("boolean").alias("divided")]
-    state, placed, containers = todo, [], 0
-    while True:
-        at = state.agg(F.sum("size").alias("open"), F.min("size").alias("least"), F.coalesce(F.sum(F.when(F.col("size").isNull(), F.col("space"))), F.lit(0)).alias("free"), F.max(F.when(F.col("size").isNull(), F.col("space"))).alias("widest")).first()
-        if not at["open"]:
-            break
-        stuck = at["widest"] is None or at["widest"] < at["least"]
-        opened = max(0, -(-(at["open"] if stuck else at["open"] - at["free"]) // capacity))
-        if opened:
-            state = state.unionByName(spark.range(containers, containers + opened).select(*no_item, F.col("id").alias("container"), F.lit(capacity).cast("bigint").alias("space")))
-            containers += opened
-        swept = cut_lineage(_superstep(state, item), "swept")
-        parts = swept.groupBy("part").agg(F.count_if(F.col("kind") == OFFERED).alias("o"), F.count_if(F.col("kind") == WAITING).alias("w")).collect()
-        runs = carried_pairs([(r["part"], r["o"], r["w"]) for r in parts])
-        runs = F.broadcast(spark.createDataFrame(runs, "part int, first bigint, to_part int, last bigint, n bigint"))
-        columns = [item, "piece", "size", "divided"]
+    columns = ["key", "piece", "size", "divided"]
+    todo = sized.select("key", F.col("whole").alias("piece"), (F.col("item_size") - F.col("whole") * capacity).alias("size"), (F.col("item_size") > capacity).alias("divided")).filter("size > 0")
+
+    def histogram(df: DataFrame, value: str, *by: str) -> list[tuple]:
+        alone = F.sum(1 / F.floor(F.lit(capacity) / F.col(value)))
+        got = df.groupBy(*by, _bin(F.col(value), capacity, n_bins).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("t"), alone.alias("a"), F.min(value).alias("least"))
+        return sorted(tuple(r) for r in got.collect())
+
+    open_, small = histogram(todo, "size"), 0
+    total, acc = sum(r[2] for r in open_), 0
+    while small < len(open_) and acc + open_[small][2] <= reserve * total:
+        acc += open_[small][2]
+        small += 1
+    back, open_ = open_[:small], open_[small:]
+    is_back = _bin(F.col("size"), capacity, n_bins) < (open_[0][0] if open_ else 0)
+    work, later, gaps, of_gaps = todo.filter(~is_back), todo.filter(is_back), None, []
+    at_first, containers, turn, placed = sum(r[1] for r in open_), 0, 0, []
+    while open_ or back:
+        if back and sum(r[1] for r in open_) <= max(rows_per_part, at_first // 20):
+            work, open_, back = work.unionByName(later), sorted(open_ + back), []
+        n_open, least = sum(r[1] for r in open_), min(r[4] for r in open_ + back)
+        n_parts = min(max(1, -(-n_open // rows_per_part)), most)
+        of_gaps = [r for r in of_gaps if r[0] >= open_[0][0]]
+        tokens = sum(r[2] for r in open_ + (back if turn == 0 else []))
+        # where no gap holds an open item; items above half the capacity need a container each
+        budget = max(-(-tokens // capacity), sum(r[1] for r in open_ if r[4] > capacity // 2)) if not of_gaps else 0
+        budget = math.inf if n_parts == 1 else budget
+        plan = deal([r[:4] for r in open_], [(r[0], r[2]) for r in of_gaps], n_bins, n_parts, containers, budget)
+        offered = gaps.filter(F.col("space") >= least) if gaps is not None else None
+        swept = cut_lineage(_superstep(work, offered, plan, capacity, n_bins, turn), "swept")
         placed.append(swept.filter(F.col("kind") == PLACED).select(*columns, "container"))
-        waiting = swept.filter(F.col("kind") == WAITING).select(*columns, "part", "place")
-        within = (waiting["part"] == runs["part"]) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n"))
-        sent = waiting.join(runs, within, "left").select(*columns, F.col("to_part").alias("part"), (F.col("last") - F.col("place") + F.col("first")).alias("place"))
-        offers = swept.filter(F.col("kind") == OFFERED).select("part", "place", "container", "space")
-        taken = offers.join(sent.filter("part IS NOT NULL"), ["part", "place"], "left")
-        placed.append(taken.filter("size IS NOT NULL").select(*columns, "container"))
-        gaps = taken.select("container", (F.col("space") - F.coalesce("size", F.lit(0))).alias("space")).unionByName(swept.filter(F.col("kind") == CLOSED).select("container", "space"))
-        rest = sent.filter("part IS NULL").select(*columns, long("container"), long("space"))
-        state = cut_lineage(rest.unionByName(gaps.filter("space > 0").select(*no_item, "container", "space")), "state")
-    out = sized.filter("item_size = 0").select(F.col(item), F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("container"), F.lit(False).alias("divided"))
+        work, gaps = swept.filter(F.col("kind") == WAITING).select(*columns), swept.filter(F.col("kind") == GAP).select("container", "space")
+        after = histogram(swept.filter(F.col("kind") != PLACED).withColumn("value", F.coalesce("size", "space")), "value", "kind")
+        open_, of_gaps = [r[1:] for r in after if r[0] == WAITING], [r[1:] for r in after if r[0] == GAP]
+        if budget == math.inf:
+            containers = max(containers, (placed[-1].agg(F.max("container")).first()[0] or 0) + 1)
+        else:
+            containers += budget
+        if sum(r[1] for r in open_) > 0.8 * n_open:  # the parts do not hold what fits together: take fewer
+            most = max(1, n_parts // 2)
+        turn += 1
+    out = sized.filter("item_size = 0").select("key", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("size"), F.lit(False).alias("divided"), F.lit(0).cast("bigint").alias("container"))
     for p in placed:
         out = out.unionByName(p)
     # full pieces: containers are numbered after the packed ones by a running total
-    large = distributed_rank(sized.filter("whole > 0"), [], [F.col(item), F.col("whole")], weight="whole")
-    full = large.select(F.col(item), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece"), F.lit(capacity).cast("bigint").alias("size"), (F.col("running") - F.col("whole")).alias("_before"), (F.col("item_size") > capacity).alias("divided"))
-    return out.unionByName(full.select(item, "piece", "size", (F.lit(containers) + F.col("_before") + F.col("piece")).cast("bigint").alias("container"), "divided"))
+    large = distributed_rank(sized.filter("whole > 0"), [], [F.col("key"), F.col("whole")], weight="whole")
+    full = large.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece"), F.lit(capacity).cast("bigint").alias("size"), (F.col("item_size") > capacity).alias("divided"), (F.lit(containers) + F.col("running") - F.col("whole")).alias("before"))
+    full = full.select("key", "piece", "size", "divided", (F.col("before") + F.col("piece")).cast("bigint").alias("container"))
+    return out.unionByName(full).select(F.col("key").alias(item), "piece", "size", "container", "divided")

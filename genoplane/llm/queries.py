@@ -12,6 +12,7 @@ from genoplane.llm.packing import pack_items
 from genoplane.llm.sampling import cap_contributors, proportional_sample
 from genoplane.llm.splits import assign_splits, component_states, mixed_components, record_components
 from genoplane.llm.splitting import split_texts
+from genoplane.operators.wording import read_words
 from genoplane.plans.tables import table
 
 FEATURES = ("feature_a", "feature_c", "feature_d", "feature_e", "feature_f", "feature_g", "feature_h")
@@ -19,15 +20,8 @@ EVALUATION = ("externaltest", "acceptancetest", "edgecase")
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
-def _role(c: Column) -> Column:
-    """word_key, with the common writing read directly."""
-    plain = c.isin("train_candidate", "external_test", "acceptance_test", "edge_case")
-    return F.when(plain, F.translate(c, "_", "")).otherwise(word_key(c))
-
-
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "grouped_training_dataset")
-    rows = rows.withColumn("role", _role(F.col("dataset_role")))
+    rows = read_words(table(spark, sf_dir, "grouped_training_dataset"), {"role": ("dataset_role", word_key)})
     rows = rows.withColumn("part", F.when(F.col("role") == "traincandidate", "train").when(F.col("role").isin(*EVALUATION), "evaluation"))
     rows = rows.withColumn("genome", genome_key(F.col("source_genome_id")))
     return split_overlaps(rows, "record_id", "part", "genome", "feature_b", FEATURES, ("role", "genome"))
@@ -43,10 +37,14 @@ def p1_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(spark, sf_dir).groupBy("role", "genome").agg(F.count(F.lit(1)).alias("n_records"), n(F.col("by_genome")).alias("n_same_genome"), n(F.col("by_features")).alias("n_same_features"))
 
 
+CATEGORY = {"taxonomy_group": group_key, "target_label": word_key, "evidence_tier": tier_key}
+
+
 def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "label_manifest").select("label_id", group_key(F.col("taxonomy_group")).alias("taxonomy_group"), word_key(F.col("target_label")).alias("target_label"), tier_key(F.col("evidence_tier")).alias("evidence_tier"), accession_text(F.col("assembly_accession")).alias("accession"))
-    targets = table(spark, sf_dir, "sample_target").select(group_key(F.col("taxonomy_group")).alias("taxonomy_group"), word_key(F.col("target_label")).alias("target_label"), tier_key(F.col("evidence_tier")).alias("evidence_tier"), "target_share", "min_rows", "sample_rows")
-    return proportional_sample(rows, targets, ["taxonomy_group", "target_label", "evidence_tier"], "accession", "label_id")
+    rows = read_words(table(spark, sf_dir, "label_manifest"), {c: (c, reading) for c, reading in CATEGORY.items()})
+    rows = rows.select("label_id", *CATEGORY, accession_text(F.col("assembly_accession")).alias("accession"))
+    targets = table(spark, sf_dir, "sample_target").select(*[reading(F.col(c)).alias(c) for c, reading in CATEGORY.items()], "target_share", "min_rows", "sample_rows")
+    return proportional_sample(rows, targets, list(CATEGORY), "accession", "label_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +55,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark, sf_dir)[1].drop("category")
+    return _sample(spark, sf_dir)[1]
 
 
 def p3_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,31 +67,35 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark, sf_dir)[0].withColumnRenamed("row_id", "label_id")
 
 
-def _capped(spark: SparkSession, sf_dir: str, temperature: float) -> DataFrame:
-    rows = table(spark, sf_dir, "label_manifest").select("label_id", group_key(F.col("taxonomy_group")).alias("taxonomy_group"), tier_key(F.col("evidence_tier")).alias("tier"), "recorded_at")
+def _capped(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
+    rows = read_words(table(spark, sf_dir, "label_manifest"), {"taxonomy_group": ("taxonomy_group", group_key), "tier": ("evidence_tier", tier_key)})
+    rows = rows.select("label_id", "taxonomy_group", "tier", "recorded_at")
     limits = table(spark, sf_dir, "contributor_limit").select(group_key(F.col("taxonomy_group")).alias("taxonomy_group"), "max_rows")
-    score = F.when(F.col("tier") == "A", 8.0).when(F.col("tier") == "B", 4.0).when(F.col("tier") == "C", 2.0).otherwise(1.0)
-    return cap_contributors(rows, limits, "taxonomy_group", "label_id", score, [(F.col("recorded_at"), True), (F.col("label_id"), False)], temperature)
+    if weighted:
+        score = F.when(F.col("tier") == "A", 8.0).when(F.col("tier") == "B", 4.0).when(F.col("tier") == "C", 2.0).otherwise(1.0)
+        return cap_contributors(rows, limits, "taxonomy_group", "label_id", score)
+    grade = F.when(F.col("tier") == "A", 3).when(F.col("tier") == "B", 2).when(F.col("tier") == "C", 1).otherwise(0)
+    return cap_contributors(rows, limits, "taxonomy_group", "label_id", None, [(grade, True), (F.col("recorded_at"), True), (F.col("label_id"), False)])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _capped(spark, sf_dir, 0.0).filter("not kept").select("label_id")
+    return _capped(spark, sf_dir, False).filter(~F.col("kept")).select("label_id")
 
 
 def p4_kept_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _capped(spark, sf_dir, 0.0).groupBy("taxonomy_group").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_left_out"))
+    return _capped(spark, sf_dir, False).groupBy("taxonomy_group").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_left_out"))
 
 
 def p4_weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The random form: each group's cap is drawn without replacement in proportion to the tier's score."""
-    return _capped(spark, sf_dir, 1.0).filter("kept").select("label_id", "taxonomy_group")
+    return _capped(spark, sf_dir, True).filter("kept").select("label_id", "taxonomy_group")
 
 
 def _connected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[int]]:
-    rows = table(spark, sf_dir, "grouped_training_dataset")
+    rows = read_words(table(spark, sf_dir, "grouped_training_dataset"), {"label": ("target_label", word_key)})
     text = F.col("source_genome_id")
     seen = visible(text)
-    rows = rows.select("record_id", genome_key(text).alias("a"), genome_key(F.col("assembly_accession")).alias("b"), F.when(~is_blank(seen), text).alias("text"), word_key(F.col("target_label")).alias("label"))
+    rows = rows.select("record_id", genome_key(text).alias("a"), genome_key(F.col("assembly_accession")).alias("b"), F.when(~is_blank(seen), text).alias("text"), "label")
     return record_components(rows, "record_id", "a", "b", "text", "label")
 
 
@@ -129,7 +131,8 @@ def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir)[0].filter("divided").select("doc_id").distinct()
+    """Documents that came out in more than one piece."""
+    return _packed(spark, sf_dir)[0].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +149,8 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str, weighting: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", word_key(F.col("source")).alias("source"), text_tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text_tokens(F.col("text")).alias("tokens"))
+    docs = read_words(docs, {"source": ("source", word_key)})
     spec = table(spark, sf_dir, "source_weight").select(word_key(F.col("source")).alias("source"), "weight", "max_repeats", "total_tokens")
     target = None
     if weighting == "tempered":
@@ -155,9 +159,9 @@ def _mixed(spark: SparkSession, sf_dir: str, weighting: str) -> tuple[DataFrame,
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = _mixed(spark, sf_dir, "given")[1].filter("short").select(F.col("source").alias("k"), "mix_tokens")
+    short = _mixed(spark, sf_dir, "given")[1].filter("short").select(F.col("source").alias("k"))
     spec = table(spark, sf_dir, "source_weight").select("source")
-    return spec.join(short, word_key(F.col("source")) == F.col("k")).filter(F.col("mix_tokens") >= 0).select("source")
+    return spec.join(short, word_key(F.col("source")) == F.col("k"), "left_semi")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genoplane.llm.reservoirs import STATE_ROWS, ascending, partial_reservoirs
 from genoplane.operators.ranking import distributed_rank
 from genoplane.session import cut_lineage
 
 MAX_TARGETS = 100_000
+_MANY = 1 << 62
 
 
 def hashed_uniform(*parts: Column) -> Column:
@@ -40,19 +45,25 @@ def feasible_quotas(targets: list[dict], total: int) -> dict[int, int]:
     return quota
 
 
-def proportional_sample(rows: DataFrame, targets: DataFrame, category: list[str], unit: str, row_id: str, seed: int = 7, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+def proportional_sample(rows: DataFrame, targets: DataFrame, category: list[str], unit: str, row_id: str, seed: int = 7, slack: float = 1.5, state_rows: int = STATE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Draw a sample whose category shares follow `targets`; returns (sample, report).
 
     `targets` has the category columns, target_share, min_rows and sample_rows (the same in each row); it is a
     specification of at most MAX_TARGETS rows, checked. Rows whose category is not listed, or that lack the
     unit, are not drawn. Repeated units count once per category (the row with the smallest id stands for them).
 
-    The distinct units are written once and counted, and quotas are made feasible from the exact counts (see
-    `feasible_quotas`). All units are then sorted by a random key within category and one of `salts` parts, those
-    within the quota are ranked across the parts, and the smallest keys are kept, which is a uniform draw. This is
-    a full sort, not a reservoir with bounded state.
-    Report per target row: available, wanted = max(min_rows, share x sample_rows), quota, drawn, exhausted
-    (available < wanted). Empty rows give quotas of 0. Two target rows of one category are an error.
+    Every unit of a category has a random key (a hash). One pass fills a reservoir per category and task with the
+    units of smallest keys (`partial_reservoirs`); the states are merged per unit and written. A reservoir holds
+    `slack` times what its target wants, so one that is not full holds all units of its category: their number is
+    then exact, and the category is exhausted if it is below what is wanted. Quotas are made feasible after these
+    counts (`feasible_quotas`). Where what exhausted categories leave over asks more of a full reservoir than it
+    holds, the pass is repeated for those categories alone with a larger one. The reservoirs are then trimmed to
+    the smallest keys up to the quota, a uniform draw; the trim ranks over range partitions, so a category with
+    most of the sample spans many tasks.
+
+    Report per target row: available (all distinct units), wanted = max(min_rows, share x sample_rows), held (units
+    in the reservoir), quota, drawn, exhausted (held < wanted). Empty rows give quotas of 0. Two target rows of one
+    category are an error.
     """
     spark = rows.sparkSession
     spec = [r.asDict() for r in targets.limit(MAX_TARGETS + 1).collect()]
@@ -62,52 +73,93 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, category: list[str]
         raise ValueError("a category is listed twice")
     fields = ", ".join(f"{c} string" for c in category)
     size = int(spec[0]["sample_rows"]) if spec else 0
-    listed = spark.createDataFrame([(i, *[r[c] for c in category]) for i, r in enumerate(spec)], f"category int, {fields}")
+    wanted = {i: float(max(r["min_rows"] or 0, (r["target_share"] or 0.0) * size)) for i, r in enumerate(spec)}
+    listed = spark.createDataFrame([(i, *[r[c] for c in category]) for i, r in enumerate(spec)], f"slot int, {fields}")
     found = rows.select(*category, F.col(unit).alias("unit"), F.col(row_id).alias("row_id")).filter(F.col("unit").isNotNull())
-    units = found.join(F.broadcast(listed), category).groupBy("category", "unit").agg(F.min("row_id").alias("row_id"))
-    key = hashed_uniform(F.lit(seed), F.col("category"), F.col("unit"))
-    # counted, sampled for its ranges and sorted: the distinct units are written once for the three readers
-    units = cut_lineage(units.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(salts))), "units")
-    counts = {r["category"]: r["n"] for r in units.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
-    known = [{"category": i, "available": counts.get(i, 0), "share": (r["target_share"] or 0.0) * size, "min_rows": r["min_rows"] or 0} for i, r in enumerate(spec)]
-    quota = feasible_quotas(known, size)
-    quotas = spark.createDataFrame([(i, q) for i, q in quota.items()], "category int, quota bigint")
-    own = units.join(F.broadcast(quotas), "category")
-    inner = Window.partitionBy("category", "salt").orderBy("key", "unit")
-    kept = own.withColumn("place", F.row_number().over(inner)).filter(F.col("place") <= F.col("quota"))
-    # the merged order is ranked over range partitions, so a category with most of the sample spans many tasks
-    merged = distributed_rank(kept.select("category", "row_id", "unit", "key", "quota"), ["category"], [F.col("key"), F.col("unit")])
-    drawn = merged.filter(F.col("rank") <= F.col("quota"))
-    sample = drawn.join(F.broadcast(listed), "category").select("row_id", *category)
-    reached = drawn.groupBy("category").agg(F.count(F.lit(1)).alias("drawn"))
-    plan = spark.createDataFrame(
-        [(i, *[r[c] for c in category], k["available"], float(max(k["min_rows"], k["share"])), quota[i]) for (i, r), k in zip(enumerate(spec), known, strict=True)],
-        f"category int, {fields}, available bigint, wanted double, quota bigint",
-    )
-    report = plan.join(reached, "category", "left").select(*category, "category", "available", "wanted", "quota", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("available") < F.col("wanted")).alias("exhausted"))
+    found = found.join(F.broadcast(listed), category).select("slot", *[F.xxhash64(F.lit(seed + i), "slot", "unit").alias(f"key{i}") for i in (0, 1)], "unit", "row_id")
+    order = ["key0", "key1", "unit"]
+
+    def fill(capacity: dict[int, int]) -> DataFrame:
+        own = found if len(capacity) == len(spec) else found.filter(F.col("slot").isin(list(capacity)))
+        states = partial_reservoirs(own, "slot", [*order, "row_id"], capacity, 3, state_rows)
+        return cut_lineage(states.groupBy("slot", *order).agg(F.min("row_id").alias("row_id")), "reservoirs")
+
+    capacity = {i: math.ceil(slack * w) + 1 for i, w in wanted.items()}
+    parts = {tuple(capacity): fill(capacity)} if spec else {}
+    held: dict[int, int] = {}
+    quota: dict[int, int] = {}
+    grown = list(capacity)
+    while grown:
+        for r in parts[tuple(grown)].groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect():
+            held[r["slot"]] = r["n"]
+        known = [{"category": i, "available": held.get(i, 0) if held.get(i, 0) < capacity[i] else _MANY, "share": (r["target_share"] or 0.0) * size, "min_rows": r["min_rows"] or 0} for i, r in enumerate(spec)]
+        quota = feasible_quotas(known, size)
+        grown = [i for i in capacity if held.get(i, 0) >= capacity[i] and quota[i] > capacity[i]]
+        if grown:
+            capacity |= {i: math.ceil(1.1 * quota[i]) for i in grown}
+            parts = {tuple(x for x in k if x not in grown): v.filter(~F.col("slot").isin(grown)) for k, v in parts.items()} | {tuple(grown): fill({i: capacity[i] for i in grown})}
+    merged = reduce(DataFrame.unionByName, parts.values()) if parts else found.select("slot", *order, "row_id").filter("false")
+    plan = spark.createDataFrame([(i, wanted[i], quota[i]) for i in wanted], "slot int, wanted double, quota bigint")
+    ranked = distributed_rank(merged.join(F.broadcast(plan.select("slot", "quota")), "slot"), ["slot"], [F.col(c) for c in order])
+    drawn = ranked.filter(F.col("rank") <= F.col("quota"))
+    sample = drawn.join(F.broadcast(listed), "slot").select("row_id", *category)
+    every = found.groupBy("slot").agg(F.count_distinct("unit").alias("available"))
+    reached = drawn.groupBy("slot").agg(F.count(F.lit(1)).alias("drawn"))
+    full = ranked.groupBy("slot").agg(F.count(F.lit(1)).alias("held"))
+    report = plan.join(listed, "slot").join(full, "slot", "left").join(reached, "slot", "left").join(every, "slot", "left")
+    n = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    report = report.select(*category, n("available").alias("available"), "wanted", n("held").alias("held"), "quota", n("drawn").alias("drawn"), (n("held") < F.col("wanted")).alias("exhausted"))
     return sample, report
 
 
-def cap_contributors(rows: DataFrame, limits: DataFrame, contributor: str, row_id: str, score: Column, ties: list[tuple[Column, bool]], temperature: float = 1.0, seed: int = 11) -> DataFrame:
-    """Rank the rows of each limited contributor by random keys scaled by score, and mark the first max_rows as kept.
+def cap_contributors(rows: DataFrame, limits: DataFrame, contributor: str, row_id: str, score: Column | None, levels: list[tuple[Column, bool]] = (), seed: int = 11, state_rows: int = STATE_ROWS) -> DataFrame:
+    """Keep the max_rows best rows of each limited contributor: (row_id, contributor, rank, kept).
+
+    Weighted sampling without replacement: a row with score w draws the key w / exponential (in logarithms, ln w +
+    gumbel), and the cap-size largest keys of a contributor are kept. `levels` (column, descending; missing values
+    last) put a fixed order above the draw: they are the limit of scores so far apart that no draw bridges them,
+    and the drawn keys decide among rows of equal levels. A null score, or one of 0 or less, draws behind all others;
+    without score all draw alike.
 
-    Weighted sampling without replacement by a full sort: a row with score w gets the key w x exp(gumbel), the
-    logarithm form of an exponential key divided by w, and the rows with the largest keys are retained.
-    `temperature` scales the random part: 1 draws in proportion to the score, 0 is the limit in which the best
-    scores are kept, with `ties` (column, descending; nulls last) as the order among equal scores, which should
-    be total. A null score, or one of 0 or less, ranks after all others.
+    One pass fills a reservoir per contributor and task (`partial_reservoirs`), whose merged states are ranked over
+    range partitions, so a contributor with most rows spans many tasks. The key of the last kept row is the
+    contributor's threshold; a second pass leaves out what lies beyond it, with no shuffle of the rows left out.
+    Of rows that equal the threshold in key and id, as many are kept as there is room for.
 
-    `limits`: (contributor, max_rows), one row each. Rows without contributor, or of one without limit, are
-    kept and have no rank. Result: row_id, contributor, rank, kept. Ranks come from a range-partitioned sort,
-    so a contributor with most rows spans many tasks. Repeated rows count each; empty tables give no rows;
-    other columns of `rows`, whatever their names, are not used.
+    `limits`: (contributor, max_rows), one row each, at most MAX_TARGETS, checked; null limits keep all. Rows without
+    contributor, or of one without limit, are kept. The rank is that of kept rows of limited contributors, else
+    null. Repeated rows count each; empty tables give no rows; other columns of `rows`, whatever their names, are
+    not used.
     """
-    u = hashed_uniform(F.lit(seed), F.col(row_id))
-    key = F.ln(F.when(score > 0, score)) + (F.lit(temperature) * -F.ln(-F.ln(u)) if temperature else F.lit(0.0))
-    limits = limits.select(F.col(contributor).alias("_who"), F.col("max_rows").alias("_most"))
-    named = rows.select(F.col(row_id).alias("_id"), F.col(contributor).alias("_who"), key.alias("_key"), *[c.alias(f"_tie{i}") for i, (c, _) in enumerate(ties)])
-    order = [F.col("_key").desc_nulls_last(), *[F.col(f"_tie{i}").desc_nulls_last() if down else F.col(f"_tie{i}").asc_nulls_last() for i, (_, down) in enumerate(ties)]]
-    held = named.join(limits, "_who", "left_semi")
-    ranked = distributed_rank(held, ["_who"], order).join(limits, "_who").select("_id", "_who", "rank", (F.col("rank") <= F.col("_most")).alias("kept"))
-    free = named.join(limits, "_who", "left_anti").select("_id", "_who", F.lit(None).cast("bigint").alias("rank"), F.lit(True).alias("kept"))
-    return ranked.unionByName(free).select(F.col("_id").alias(row_id), F.col("_who").alias(contributor), "rank", "kept")
+    spark = rows.sparkSession
+    spec = [(r[0], r[1]) for r in limits.select(contributor, "max_rows").limit(MAX_TARGETS + 1).collect()]
+    if len(spec) > MAX_TARGETS or len({who for who, _ in spec}) < len(spec):
+        raise ValueError(f"contributors are repeated, or more than {MAX_TARGETS}")
+    spec = [(who, max(int(most), 0)) for who, most in spec if who is not None and most is not None]
+    kinds = {f"level{i}": c for i, (c, _) in enumerate(levels)}
+    w = F.lit(1.0) if score is None else score
+    draw = F.coalesce(F.ln(F.when(w > 0, w)), F.lit(float("-inf"))) - F.ln(-F.ln(hashed_uniform(F.lit(seed), F.col(row_id))))
+    named = rows.select(F.col(row_id).alias("id"), F.col(contributor).alias("who"), (-draw).alias("draw"), *[c.alias(k) for k, c in kinds.items()])
+    kind = dict(named.dtypes)
+    steps = [c for i, (_, down) in enumerate(levels) for c in ascending(F.col(f"level{i}"), kind[f"level{i}"], down, f"step{i}")]
+    named = named.select("who", *steps, "draw", *ascending(F.col("id"), kind["id"], False, "last"), "id")
+    order = [c for c in named.columns if c not in ("who", "id")]
+    slots = F.broadcast(spark.createDataFrame([(i, *s) for i, s in enumerate(spec)], f"slot int, who {kind['who']}, most bigint"))
+    limited = named.join(slots, "who")
+    capacity = {i: most for i, (_, most) in enumerate(spec)}
+    states = partial_reservoirs(limited.drop("most"), "slot", order, capacity, 0, state_rows)
+    ranked = distributed_rank(states.join(slots.select("slot", "most"), "slot"), ["slot"], [F.col(c) for c in order]).filter(F.col("rank") <= F.col("most"))
+    kept = ranked.select("id", "who", "rank", F.lit(True).alias("kept"))
+    # one row per contributor: the key of its last kept row, and how many kept rows have that very key
+    edge = ranked.filter(F.col("rank") == F.col("most")).select("slot", *[F.col(c).alias(f"e_{c}") for c in order])
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"e_{c}") for c in order])
+    beyond = reduce(lambda tail, c: (F.col(c) > F.col(f"e_{c}")) | ((F.col(c) == F.col(f"e_{c}")) & tail), order[::-1][1:], F.col(order[-1]) > F.col(f"e_{order[-1]}"))
+    out = [F.col("id"), F.col("who"), F.lit(None).cast("bigint").alias("rank"), F.lit(False).alias("kept")]
+    met = limited.join(F.broadcast(edge), "slot", "left")
+    later = met.filter((F.col("most") == 0) | beyond).select(*out)
+    taken = ranked.join(F.broadcast(edge), "slot").filter(same).groupBy("slot").agg(F.count(F.lit(1)).alias("taken"))
+    copies = met.filter(same).groupBy("slot", "id", "who").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(taken), "slot").filter("n > taken")
+    copies = copies.select("id", "who", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("taken")))).select(*out)
+    free = named.join(slots, "who", "left_anti").select("id", "who", F.lit(None).cast("bigint").alias("rank"), F.lit(True).alias("kept"))
+    every = reduce(DataFrame.unionByName, [kept, later, copies, free])
+    return every.select(F.col("id").alias(row_id), F.col("who").alias(contributor), "rank", "kept")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from genoplane.operators.hotkeys import hot_buckets, salted_join
 from genoplane.operators.ranking import distributed_rank
 from genoplane.session import cut_lineage, release
 
+MAX_BROADCAST = 100_000
+
 
 def _heads(vertex: Column, seed: int, turn: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), vertex), F.lit(2)) == 0
@@ -20,14 +24,19 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
 
 
-def connected_components(edges: DataFrame, seed: int = 3, max_rounds: int = 500) -> DataFrame:
+def connected_components(edges: DataFrame, seed: int = 3, max_rounds: int = 500, salt_from: int = 200_000) -> DataFrame:
     """(vertex, component) for every vertex of `edges` (u, v); the component is one of its vertices.
 
     Random-mate contraction. Each round has two joins of the shrinking edge table: pendant vertices fold into
     their only neighbour (a biased coin: a vertex of degree 1 always mates, so a star, however large, goes in
     one round), then every vertex draws a coin and tails with a neighbour of heads collapse into the smallest
-    such neighbour. Edges are renamed and made distinct, and the rounds go on until none is left. The merges
-    of each step are written to the shared folder; the labels are unwound from the last step to the first.
+    such neighbour. Edges are renamed and made distinct, and the rounds go on until none is left. A hub with many
+    neighbours that are not pendant is dealt to slices in the joins (`salted_join`); tables below `salt_from` edges
+    fit into one task whatever their keys and are joined as they are, with the same result.
+
+    The merges (child, parent) of each step are written to the shared folder. Labels are unwound by pointer
+    doubling over the merges after the first step, of which few are left, so that a vertex is at its root after
+    the logarithm of the number of steps; the children of the first step, most of all vertices, look theirs up once.
 
     Self-loops only name their vertex, repeated edges count once, edges with a null end are no edges. No edges
     give an empty result.
@@ -38,41 +47,42 @@ def connected_components(edges: DataFrame, seed: int = 3, max_rounds: int = 500)
     live = cut_lineage(named.filter(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "edges")
     steps: list[DataFrame] = []
     for turn in range(max_rounds):
-        if live.isEmpty():
+        n = live.count()
+        if not n:
             break
         sides = _both_ways(live).groupBy("x").agg(F.count(F.lit(1)).alias("degree"), F.min("y").alias("y")).filter("degree = 1")
-        pairs = sides.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.count(F.lit(1)).alias("ends"), F.max("x").alias("child"))
+        pairs = sides.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.max("x").alias("child"))
         # where both ends are pendant the greater one folds
         folded = cut_lineage(pairs.select("u", "v", "child", F.when(F.col("child") == u, v).otherwise(u).alias("parent")), "folded")
-        steps.append(folded)
         core = live.join(folded.select("u", "v"), ["u", "v"], "left_anti")
         mates = _both_ways(core).filter(~_heads(F.col("x"), seed, turn) & _heads(F.col("y"), seed, turn))
         mates = cut_lineage(mates.groupBy(F.col("x").alias("child")).agg(F.min("y").alias("parent")), "mates")
-        steps.append(mates)
-        renamed = core.join(mates.select(F.col("child").alias("u"), F.col("parent").alias("pu")), "u", "left").join(mates.select(F.col("child").alias("v"), F.col("parent").alias("pv")), "v", "left")
+        steps += [folded.select("child", "parent"), mates]
+        hot = hot_buckets(_both_ways(core).select("x"), "x") if n >= salt_from else []
+        renamed = core
+        for end, other in (("u", "v"), ("v", "u")):
+            renamed = salted_join(renamed, mates.select(F.col("child").alias(end), F.col("parent").alias(f"p{end}")), end, other, "left", hot)
         renamed = renamed.select(F.coalesce("pu", "u").alias("a"), F.coalesce("pv", "v").alias("b")).filter("a <> b")
         after = cut_lineage(renamed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
         release(live)
         live = after
     else:
         raise RuntimeError(f"edges left after {max_rounds} rounds")
-    labels: DataFrame | None = None
-    for step in reversed(steps):
-        own = step.select(F.col("child").alias("vertex"), "parent")
-        if labels is not None:
-            if own.isEmpty():
-                continue
-            own = own.join(labels.select(F.col("vertex").alias("parent"), "component"), "parent", "left").select("vertex", F.coalesce("component", "parent").alias("component"))
-        else:
-            own = own.select("vertex", F.col("parent").alias("component"))
-        part = cut_lineage(own, "labels")
-        labels = part if labels is None else labels.unionByName(part)
-    if labels is None:
+    if not steps:
         return loops.select("vertex", F.col("vertex").alias("component"))
-    roots = labels.select(F.col("component").alias("vertex")).distinct().select("vertex", F.col("vertex").alias("component"))
-    labels = labels.unionByName(roots)
-    for step in steps:
-        release(step)
+    later = cut_lineage(reduce(DataFrame.unionByName, steps[1:]), "parents")
+    n = later.count()
+    reach = 1  # a parent is this many merges away, or a root
+    while reach < len(steps):
+        above = later.select(F.col("child").alias("parent"), F.col("parent").alias("further"))
+        later = salted_join(later, above, "parent", "child", "left", None if n >= salt_from else [])
+        later = cut_lineage(later.select("child", F.coalesce("further", "parent").alias("parent")), "parents")
+        reach *= 2
+    above = later.select(F.col("child").alias("parent"), F.col("parent").alias("further"))
+    first = salted_join(steps[0], above, "parent", "child", "left", None if steps[0].count() >= salt_from else [])
+    labels = first.select(F.col("child").alias("vertex"), F.coalesce("further", "parent").alias("component"))
+    labels = cut_lineage(labels.unionByName(later.select(F.col("child").alias("vertex"), F.col("parent").alias("component"))), "labels")
+    labels = labels.unionByName(labels.select(F.col("component").alias("vertex")).distinct().select("vertex", F.col("vertex").alias("component")))
     alone = loops.join(labels, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component"))
     return labels.unionByName(alone)
 
@@ -108,35 +118,62 @@ def mixed_components(nodes: DataFrame, rows: DataFrame, hot: list[int]) -> DataF
     return out.filter(F.col("record") != F.col("first_record")).select("first_record", "record")
 
 
-def assign_splits(nodes: DataFrame, rows: DataFrame, hot: list[int], shares: Mapping[str, float], giant: float = 0.01, seed: int = 5) -> DataFrame:
-    """(record, split): connected sets go to the splits of `shares` (in order; the first is the largest) as a whole.
+def deal_sets(sizes: Sequence[tuple[int, int, int]], shares: Mapping[str, float]) -> list[tuple[int, int, list[int]]]:
+    """How many of the `count` sets of `n` records of a stratum go to each split: (stratum, n, counts), from (stratum, n, count).
 
-    Sets are stratified by the share of positive labels (fifths) and put in hashed order within a stratum; their
-    cumulative number of records, against the stratum's total, decides the split, so each split has close to
-    its share of every stratum. Sets above `giant` of all records go to the first split, and what they take is
-    deducted from that split's share of their stratum. Records without any key are sets of one record.
+    Largest sets first: sets of one size are divided in proportion to the records that the splits still lack of
+    their share of the stratum, the largest remainders rounded up, and a split that has its share gets none unless
+    all have. What a stratum gives a split too much or too little is set off in the next one; the strata with
+    the largest sets come first, as they leave most to be set off.
+    """
+    names = list(shares)
+    by_stratum: dict[int, list[tuple[int, int]]] = {}
+    for stratum, n, count in sizes:
+        by_stratum.setdefault(stratum, []).append((n, count))
+    owed, out = [0.0] * len(names), []
+    for stratum in sorted(by_stratum, key=lambda k: (-max(by_stratum[k])[0], k)):
+        groups = sorted(by_stratum[stratum], reverse=True)
+        total = sum(n * count for n, count in groups)
+        lack = [shares[x] * total + o for x, o in zip(names, owed, strict=True)]
+        for n, count in groups:
+            room = [max(x, 0.0) for x in lack]
+            room = room if sum(room) else [shares[x] for x in names]
+            exact = [count * x / sum(room) for x in room]
+            got = [int(x) for x in exact]
+            for _ in range(count - sum(got)):
+                i = max(range(len(names)), key=lambda i: (min(exact[i] - got[i], 1.0) if room[i] > 0 else -1.0, room[i] - n * got[i]))
+                got[i] += 1
+            lack = [x - n * k for x, k in zip(lack, got, strict=True)]
+            out.append((stratum, n, got))
+        owed = lack
+    return out
+
+
+def assign_splits(nodes: DataFrame, rows: DataFrame, hot: list[int], shares: Mapping[str, float], seed: int = 5) -> DataFrame:
+    """(record, split): connected sets go to the splits of `shares` as a whole.
+
+    Sets are stratified by the share of positive labels (fifths) and dealt by weight, the largest first, by one rule
+    for all sizes (`deal_sets`): it needs the number of sets per stratum and size, a histogram with at most the
+    root of twice the number of records sizes per stratum. Sets of equal stratum and size are put in hashed order and
+    the first ones go to the first split, and so on. A set larger than what every split lacks goes where most is
+    lacking, so a share that cannot be met is exceeded by one set at most. Records without any key are sets of one
+    record; no records give no rows.
     """
     names = list(shares)
     free = rows.filter(F.col("node").isNull()).select(F.concat(F.lit("record:"), F.col("record").cast("string")).alias("component"), F.lit(1).cast("bigint").alias("n"), F.when(F.col("label") == "positive", 1).otherwise(0).cast("bigint").alias("positives"))
     sets = component_states(nodes).select("component", "n", "positives").unionByName(free)
     sets = sets.withColumn("stratum", F.floor(F.least(F.col("positives") / F.col("n") * 5, F.lit(4))).cast("int")).withColumn("ticket", F.xxhash64(F.lit(seed), "component"))
-    total = sets.agg(F.sum("n").alias("t")).scalar()
-    sets = sets.withColumn("is_giant", F.col("n") > F.lit(giant) * total)
-    ranked = distributed_rank(sets, ["stratum", "is_giant"], [F.col("ticket"), F.col("component")], weight="n")
-    whole = ranked.groupBy("stratum").agg(F.sum("n").alias("rows_all"), F.sum(F.when(F.col("is_giant"), F.col("n")).otherwise(0)).alias("rows_giant"))
-    placed = ranked.join(F.broadcast(whole), "stratum")  # five strata
-    small = F.col("rows_all") - F.col("rows_giant")
-    lead = F.greatest(F.lit(0.0), shares[names[0]] * F.col("rows_all") - F.col("rows_giant"))
-    rest = F.greatest(small - lead, F.lit(0.0))
-    other = sum(shares[x] for x in names[1:]) or 1.0
-    middle = F.col("running") - F.col("n") / 2
-    split = F.when(F.col("is_giant") | (middle <= lead), names[0])
-    edge, acc = lead, 0.0
-    for name in names[1:-1]:
-        acc += shares[name]
-        edge = lead + rest * (acc / other)
-        split = split.when(middle <= edge, name)
-    placed = placed.select("component", split.otherwise(names[-1]).alias("split"))
+    sets = cut_lineage(sets.select("component", "n", "stratum", "ticket"), "sets")
+    sizes = [(r["stratum"], r["n"], r["c"]) for r in sets.groupBy("stratum", "n").agg(F.count(F.lit(1)).alias("c")).collect()]
+    plan = sets.sparkSession.createDataFrame([(s, n, *accumulate(got)) for s, n, got in deal_sets(sizes, shares)], "stratum int, n bigint, " + ", ".join(f"upto{i} bigint" for i in range(len(names))))
+    ranked = distributed_rank(sets, ["stratum", "n"], [F.col("ticket"), F.col("component")]).withColumn("kind", F.col("n") * 8 + F.col("stratum"))
+    plan = plan.select((F.col("n") * 8 + F.col("stratum")).alias("kind"), *[f"upto{i}" for i in range(len(names))])
+    # most sets have one of the smallest sizes
+    ranked = ranked.join(F.broadcast(plan), "kind") if len(sizes) <= MAX_BROADCAST else salted_join(ranked, plan, "kind", "component")
+    split = F.lit(names[-1])
+    for i in range(len(names) - 2, -1, -1):
+        split = F.when(F.col("rank") <= F.col(f"upto{i}"), names[i]).otherwise(split)
+    placed = ranked.select("component", split.alias("split"))
     by_node = nodes.select("node", "component").join(placed, "component").select("node", "split")
     hung = salted_join(rows.filter(F.col("node").isNotNull()).select("record", "node", "label"), by_node, "node", "record", hot=hot).select("record", "label", "split")
     alone = rows.filter(F.col("node").isNull()).select("record", "label", F.concat(F.lit("record:"), F.col("record").cast("string")).alias("component")).join(placed, "component").select("record", "label", "split")

@@ -40,6 +40,11 @@ def longest_stretch(data: bytes) -> int:
     return max(longest, len(data) - start)
 
 
+def inside_stretch(data: bytes, at: int) -> bool:
+    """Whether a cut at `at` has no delimiter on either side."""
+    return 0 < at < len(data) and _trailing(data, 0, at) is None and _DELIMITER.match(data, at) is None
+
+
 def _segments(data: bytes, start: int, end: int, level: int, room: int, hard: int) -> Iterator[tuple[int, int]]:
     """(end, strength of the boundary there) of the atomic segments of data[start:end].
 
@@ -150,8 +155,9 @@ def split_texts(docs: DataFrame, doc: str, text: str, max_tokens: int, overlap:
 
     Texts within the limit, empty and null ones give no rows. Pieces are numbered from 0, each within the
     limit; `overlap` is the number of bytes shared with the piece before, `body` the text of the piece. `cut` is
-    ``forced`` if the text has a stretch larger than max_tokens without any blank, tab, line feed, carriage
-    return or one of ``. ! ? ; 。``, else ``natural``. Whole texts are processed, of any length; documents are
+    ``forced`` if some piece begins inside a stretch without any blank, tab, line feed, carriage return or one of
+    ``. ! ? ; 。``, else ``natural``. The merging never cuts a stretch of at most max_tokens, and one above that fits
+    into no piece, so this says whether the text has a stretch above the limit. Whole texts are processed, of any length; documents are
     independent, so repeated ids give the pieces of each row. Only texts above the limit leave the JVM.
     """
     large = docs.select(F.col(doc), F.col(text).alias("body")).filter(text_tokens(F.col("body")) > max_tokens)
@@ -165,8 +171,8 @@ def split_texts(docs: DataFrame, doc: str, text: str, max_tokens: int, overlap:
             rows = []
             for key, body in zip(batch[doc], batch["body"], strict=True):
                 data = body.encode()
-                cut = "forced" if longest_stretch(data) > max_tokens else "natural"
                 pieces = split_bytes(data, max_tokens, overlap)
+                cut = "forced" if any(inside_stretch(data, c) for _, c, _ in pieces) else "natural"
                 rows += [(key, k, len(pieces), e - s, c - s, cut, data[s:e].decode()) for k, (s, c, e) in enumerate(pieces)]
             yield pd.DataFrame(rows, columns=schema.names)
 

@@ -60,3 +60,16 @@ def test_edges(spark):
     run = lambda d: sorted(r["record"] for r in split_overlaps(d, "record", "part", "genome", "b", FEATURES).collect())
     assert run(df) == [2, 3]
     assert run(df.filter("part = 'train'")) == run(df.filter("part = 'evaluation'")) == run(df.filter("false")) == []
+
+
+def test_infinite_values_agree_with_their_like(spark):
+    inf = float("inf")
+    rows = [(1, "train", None, 1, inf, 1.0, -inf, 1.0), (2, "evaluation", None, 1, inf, 1.001, -inf, 1.0), (3, "evaluation", None, 1, -inf, 1.0, -inf, 1.0), (4, "evaluation", None, 1, 1e300, 1.0, -inf, 1.0), (5, "evaluation", None, 1, 1e-320, 1.0, 1.0, None)]
+    got = split_overlaps(spark.createDataFrame(rows, SCHEMA), "record", "part", "genome", "b", FEATURES).collect()
+    assert sorted(r["record"] for r in got) == [2]
+
+
+def test_copies_of_one_vector_on_most_rows(spark):
+    rows = [(i, "train" if i % 2 else "evaluation", None, 1, 5.0, 6.0, 7.0, 8.0) for i in range(600)] + [(1000 + i, "evaluation", None, 1, 5.0, 6.0 + i, 7.0, 8.0) for i in range(1, 50)]
+    got = split_overlaps(spark.createDataFrame(rows, SCHEMA), "record", "part", "genome", "b", FEATURES).collect()
+    assert len(got) == 300 and all(r["by_features"] and not r["by_genome"] for r in got)

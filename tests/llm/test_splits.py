@@ -1,7 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
-from genoplane.llm.splits import assign_splits, connected_components, mixed_components, record_components
+from genoplane.llm.splits import assign_splits, connected_components, deal_sets, mixed_components, record_components
 
 
 def union_find(edges):
@@ -44,6 +44,16 @@ def test_components_of_stars_chains_cycles_and_pairs(spark):
     assert components_of(spark, []) == []
 
 
+def test_hubs_with_neighbours_that_are_not_pendant(spark):
+    rng = random.Random(8)
+    edges = [("hub", f"n{i}") for i in range(200)] + [(f"n{i}", f"n{rng.randint(0, 199)}") for i in range(200)] + [(f"m{i}", f"m{rng.randint(0, 150)}") for i in range(80)]
+    df = spark.createDataFrame(edges, "u string, v string")
+    got = defaultdict(set)
+    for r in connected_components(df, salt_from=1).collect():
+        got[r["component"]].add(r["vertex"])
+    assert sorted(map(sorted, got.values())) == union_find(edges)
+
+
 SCHEMA = "record bigint, a string, b string, text string, label string"
 
 
@@ -94,3 +104,21 @@ def test_empty_and_unconnected_records(spark):
     assert mixed_components(*empty).collect() == [] and assign_splits(*empty, {"train": 0.8, "test": 0.2}).collect() == []
     lone = record_components(spark.createDataFrame([(1, None, None, None, None), (2, None, None, " ", "positive")], SCHEMA), "record", "a", "b", "text", "label")
     assert mixed_components(*lone).collect() == [] and assign_splits(*lone, {"train": 0.8, "test": 0.2}).count() == 2
+
+
+def test_large_sets_are_dealt_like_small_ones():
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    filled = lambda out: [sum(n * got[i] for _, n, got in out) for i in range(3)]
+    assert filled(deal_sets([(0, 100, 8), (0, 50, 4)], shares)) == [800, 100, 100]
+    assert filled(deal_sets([(0, 300, 1), (0, 1, 700)], shares)) == [800, 100, 100]
+    assert filled(deal_sets([(1, 900, 1), (1, 1, 100), (2, 1, 1000)], shares)) == [1600, 200, 200]
+    out = deal_sets([(0, 1000, 1)], shares)
+    assert filled(out) == [1000, 0, 0] and deal_sets([], shares) == []
+    assert all(sum(got) == c for (_, _, got), c in zip(deal_sets([(0, 7, 5), (0, 3, 11)], shares), (5, 11), strict=True))
+
+
+def test_giants_do_not_spoil_the_shares(spark):
+    rows = [(i, f"g{i // 300}" if i < 1500 else f"s{i}", None, None, "positive" if i % 2 else "negative") for i in range(5000)]
+    parts = record_components(spark.createDataFrame(rows, SCHEMA), "record", "a", "b", "text", "label")
+    got = Counter(r["split"] for r in assign_splits(*parts, {"train": 0.8, "validation": 0.1, "test": 0.1}).collect())
+    assert got == {"train": 4000, "validation": 500, "test": 500}
