@@ -17,27 +17,33 @@ def nonempty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """Without outer white space of any kind: blanks, tabs, line feeds, and those of other scripts."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def split_values(c: Column) -> Column:
     """The trimmed, non-empty items of a comma-separated value; an empty array for null."""
-    items = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    items = F.transform(F.split(F.coalesce(c, F.lit("")), ","), stripped)
     return F.filter(items, lambda x: x != "")
 
 
 def cross_reference_accessions(c: Column) -> Column:
     """Accessions of the items in the namespaces genbank and refseq (any letter case)."""
     trusted = F.filter(split_values(c), lambda x: F.lower(F.substring_index(x, ":", 1)).isin("genbank", "refseq") & x.contains(":"))
-    return F.filter(F.transform(trusted, lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", ""))), lambda x: x != "")
+    return F.filter(F.transform(trusted, lambda x: stripped(F.regexp_replace(x, "^[^:]*:", ""))), lambda x: x != "")
 
 
 def percent_decoded(c: Column) -> Column:
-    """%XX decoded as UTF-8; a plus sign stays, and a malformed text stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    """%XX decoded as UTF-8, bytes that are none replaced; a plus sign stays, and so does a percent sign that begins no escape."""
+    safe = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(safe), c)
 
 
 def attribute_map(c: Column) -> Column:
     """``k=v;k=v`` as a map: split at the first ``=``, keys trimmed, values decoded; of repeated keys the last counts."""
     items = F.filter(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: x.contains("="))
-    pairs = F.transform(items, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), percent_decoded(F.trim(F.regexp_replace(x, "^[^=]*=", ""))).alias("v")))
+    pairs = F.transform(items, lambda x: F.struct(stripped(F.substring_index(x, "=", 1)).alias("k"), percent_decoded(stripped(F.regexp_replace(x, "^[^=]*=", ""))).alias("v")))
     keep = lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda later: later["k"] == p["k"])
     return F.map_from_entries(F.filter(pairs, keep))
 
@@ -45,7 +51,7 @@ def attribute_map(c: Column) -> Column:
 def direct_aliases(attributes: Column) -> Column:
     """Sorted names of the protein sequence itself: protein ids, trusted cross references, and an accession-like Name."""
     proteins = split_values(F.try_element_at(attributes, F.lit("protein_id")))
-    name = F.trim(F.coalesce(F.try_element_at(attributes, F.lit("Name")), F.lit("")))
+    name = stripped(F.coalesce(F.try_element_at(attributes, F.lit("Name")), F.lit("")))
     own = F.when((name != "") & (F.array_contains(proteins, name) | name.rlike(_ACCESSION_LIKE)), F.array(name)).otherwise(F.array().cast("array<string>"))
     return F.sort_array(F.array_distinct(F.concat(proteins, cross_reference_accessions(F.try_element_at(attributes, F.lit("Dbxref"))), own)))
 
@@ -58,7 +64,7 @@ def _numbered(seqid: Column, raw_id: Column) -> Column:
 def inferred_aliases(seqid: Column, source: Column, attributes: Column) -> Column:
     """Sorted names of the feature (locus tag, ID, Parent, rebuilt gene-caller ids) that are not direct aliases."""
     values = F.flatten(F.array(*[split_values(F.try_element_at(attributes, F.lit(k))) for k in ("locus_tag", "ID", "Parent")]))
-    bare = F.transform(F.filter(values, lambda x: x.startswith("cds-") & (F.length(x) > 4)), lambda x: F.substring(x, 5, 1_000_000))
+    bare = F.transform(F.filter(values, lambda x: x.startswith("cds-") & (F.length(x) > 4)), lambda x: F.regexp_replace(x, "^cds-", ""))
     rebuilt = _numbered(seqid, F.try_element_at(attributes, F.lit("ID")))
     by_caller = (F.lower(source) == "prodigal") | F.map_contains_key(attributes, F.lit("partial")) | F.map_contains_key(attributes, F.lit("start_type"))
     called = F.when(by_caller & rebuilt.isNotNull(), F.array(rebuilt)).otherwise(F.array().cast("array<string>"))
@@ -100,21 +106,24 @@ def standard_name(path: Column) -> Column:
     The rules hold in order; all but archives need an accession, and a trailing .gz is kept.
     """
     file = F.substring_index(path, "/", -1)
-    low = F.lower(file)
-    gz = F.when(low.endswith(".gz"), ".gz").otherwise("")
-    base = F.regexp_replace(low, r"\.gz$", "")
-    acc = accession_in_path(path, name_first=True)
-    to = lambda folder, tail: F.struct(F.lit(folder).alias("folder"), F.concat(acc, F.lit(tail), gz).alias("name"))
-    return (
-        F.when(low.endswith(".zip"), F.struct(F.lit("zip").alias("folder"), F.coalesce(F.concat(acc, F.lit(".zip")), file).alias("name")))
-        .when(acc.isNull(), F.lit(None))
-        .when(base.contains("dataset_catalog.json"), to("metadata", "_dataset_catalog.json"))
-        .when(base.contains("md5sum.txt"), to("metadata", "_md5sum.txt"))
-        .when(base.rlike(r"\.(fna|fa|fasta)$") & ~base.contains("protein"), to("genomes", "_genomic.fna"))
-        .when(base.endswith(".faa") | base.contains("protein"), to("genomes", "_protein.faa"))
-        .when(base.rlike(r"\.gff3?$"), to("genomes", "_genomic.gff"))
-        .when(base.endswith(".jsonl") | base.contains("assembly_report") | base.contains("assembly_data_report"), to("metadata", "_assembly_report.jsonl"))
-    )
+    parts = F.struct(file.alias("file"), F.lower(file).alias("low"), F.regexp_replace(F.lower(file), r"\.gz$", "").alias("base"), accession_in_path(path, name_first=True).alias("acc"))
+
+    def named(v: Column) -> Column:
+        low, base, acc = v["low"], v["base"], v["acc"]
+        to = lambda folder, tail: F.struct(F.lit(folder).alias("folder"), F.concat(acc, F.lit(tail), F.when(low.endswith(".gz"), ".gz").otherwise("")).alias("name"))
+        return (
+            F.when(low.endswith(".zip"), F.struct(F.lit("zip").alias("folder"), F.coalesce(F.concat(acc, F.lit(".zip")), v["file"]).alias("name")))
+            .when(acc.isNull(), F.lit(None))
+            .when(base.contains("dataset_catalog.json"), to("metadata", "_dataset_catalog.json"))
+            .when(base.contains("md5sum.txt"), to("metadata", "_md5sum.txt"))
+            .when(base.rlike(r"\.(fna|fa|fasta)$") & ~base.contains("protein"), to("genomes", "_genomic.fna"))
+            .when(base.endswith(".faa") | base.contains("protein"), to("genomes", "_protein.faa"))
+            .when(base.rlike(r"\.gff3?$"), to("genomes", "_genomic.gff"))
+            .when(base.endswith(".jsonl") | base.contains("assembly_report") | base.contains("assembly_data_report"), to("metadata", "_assembly_report.jsonl"))
+        )
+
+    # the parts of a path are computed once, not once per rule
+    return F.get(F.transform(F.array(parts), named), F.lit(0))
 
 
 def is_iso_date(c: Column) -> Column:

@@ -47,21 +47,32 @@ def genome_key(c: Column) -> Column:
     separators inside numbers, leading zeros, the letter O for zero, quotes, remarks, invisible and
     full-width characters make no difference. Anything else is compared by its letters and digits.
     """
-    s = visible(c)
-    number = F.regexp_extract(s, _ACCESSION_NUMBER, 1)
-    digits = _unzeroed(F.translate(F.regexp_replace(number, "[^0-9o]", ""), "o", "0"))
-    named = F.regexp_replace(s, rf"(?<=\S)\s*[\(\[].*$|(?<![a-z])(?:{_NUMBER_WORDS})(?![a-z])", "")
-    name = F.regexp_replace(named, "[^a-z]", "")
-    count = _unzeroed(F.regexp_extract(named, "([0-9]+)", 1))
-    bare = F.regexp_replace(s, r"[^\p{L}\p{N}]+", "")
+
+    def read(s: Column) -> Column:
+        number = F.regexp_extract(s, _ACCESSION_NUMBER, 1)
+        named = F.regexp_replace(s, rf"(?<=\S)\s*[\(\[].*$|(?<![a-z])(?:{_NUMBER_WORDS})(?![a-z])", "")
+
+        def key(v: Column) -> Column:
+            digits = _unzeroed(F.translate(F.regexp_replace(v["number"], "[^0-9o]", ""), "o", "0"))
+            name = F.regexp_replace(v["named"], "[^a-z]", "")
+            count = _unzeroed(F.regexp_extract(v["named"], "([0-9]+)", 1))
+            bare = F.regexp_replace(s, r"[^\p{L}\p{N}]+", "")
+            return (
+                F.when(s.rlike(r"(?U)^\s*$"), F.lit(None).cast("string"))
+                .when(v["number"] != "", F.concat(F.lit("acc:"), digits))
+                .when((name != "") & (count != ""), F.concat(F.lit("set:"), name, F.lit(":"), count))
+                .otherwise(F.concat(F.lit("raw:"), F.when(bare == "", F.trim(s)).otherwise(bare)))
+            )
+
+        return F.get(F.transform(F.array(F.struct(number.alias("number"), named.alias("named"))), key), F.lit(0))
+
+    # Plain writings are read by two expressions. The general reading is a lambda, which keeps it out of the generated
+    # method: with it, that grows beyond what the JVM compiles, and every row pays for it.
     return (
         F.when(c.rlike(r"^GC[AF]_[0-9]{9}(\.[0-9]+)?$"), F.concat(F.lit("acc:"), _unzeroed(F.substring(c, 5, 9))))
-        # the plain writing of a named set gives what the general reading below would give
         .when(c.rlike(rf"^(?!.*(?:gc[af]|assembly|accession|_(?:{_NUMBER_WORDS})_))[a-z]+_[a-z]+_[1-9][0-9]*$"), F.regexp_replace(c, "^([a-z]+)_([a-z]+)_", "set:$1$2:"))
-        .when(c.isNull() | s.rlike(r"(?U)^\s*$"), F.lit(None).cast("string"))
-        .when(number != "", F.concat(F.lit("acc:"), digits))
-        .when((name != "") & (count != ""), F.concat(F.lit("set:"), name, F.lit(":"), count))
-        .otherwise(F.concat(F.lit("raw:"), F.when(bare == "", F.trim(s)).otherwise(bare)))
+        .when(c.isNull(), F.lit(None).cast("string"))
+        .otherwise(F.get(F.transform(F.array(visible(c)), read), F.lit(0)))
     )
 
 
@@ -71,8 +82,9 @@ def word_key(c: Column) -> Column:
     Letter case, spacing, punctuation, invisible characters, a rank or tier word and a remark in brackets
     are dropped. Where the brackets hold all there is, their content counts.
     """
-    # each step uses the one before once: an expression that names its input twice is computed twice
-    s = F.regexp_replace(visible(c), r"(?=[\(\[])(?:(?<=[\p{L}\p{N}].{0,200})|(?=[^\)\]]*[\)\]].*[\p{L}\p{N}]))[\(\[][^\)\]]*[\)\]]", " ")
+    seen = visible(c)
+    bare = F.regexp_replace(seen, r"[\(\[][^\)\]]*[\)\]]", " ")
+    s = F.when(bare.rlike(r"[\p{L}\p{N}]"), bare).otherwise(seen)
     s = F.regexp_replace(s, r"^[^\p{L}\p{N}]*[dkpcofgs]__", "")
     s = F.regexp_replace(s, rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(RANK_WORDS)})(?![\p{{L}}\p{{N}}])", "")
     return F.nullif(F.regexp_replace(s, r"[^\p{L}\p{N}]+", ""), F.lit(""))

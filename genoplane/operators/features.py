@@ -141,11 +141,17 @@ class GenomeFeaturizer:
         docs = hits.select(self.genome, F.explode(tokens(F.col("gene_family"))).alias("term")).groupBy(self.genome, "term").agg(F.count(F.lit(1)).alias("tf"))
         return docs.join(genomes.select(self.genome), self.genome, "left_semi")
 
+    def _whole(self, genomes: DataFrame) -> DataFrame:
+        """With the category and number columns that are missing, all null: their features are constant then, but there."""
+        missing = {c: "string" for c in self.category_columns} | {c: "double" for c in self.numeric_columns}
+        return genomes.withColumns({c: F.lit(None).cast(kind) for c, kind in missing.items() if c not in genomes.columns})
+
     def fit(self, genomes: DataFrame, hits: DataFrame) -> GenomeFeaturizer:
+        genomes = self._whole(genomes)
         n = genomes.count()
         counts = self._families(genomes, hits)
         vocabulary = [(r["term"], r["idf"]) for r in fit_vocabulary(counts, n, self.max_terms).collect()]  # at most max_terms rows
-        buckets = {c: [(r["category"], r["bucket"]) for r in fit_categories(genomes, c, self.min_frequency).filter(F.col("bucket") != "infrequent").collect()] for c in self.category_columns if c in genomes.columns}
+        buckets = {c: [(r["category"], r["bucket"]) for r in fit_categories(genomes, c, self.min_frequency).filter(F.col("bucket") != "infrequent").collect()] for c in self.category_columns}
         rare = {c: fit_categories(genomes, c, self.min_frequency).filter(F.col("bucket") == "infrequent").select("category") for c in buckets}
         self._state = {"vocabulary": vocabulary or [("dummy_pfam", 1.0)], "buckets": buckets, "rare": rare, "scaling": fit_scaling(genomes, self.numeric_columns) if self.numeric_columns else {}}
         return self
@@ -153,14 +159,14 @@ class GenomeFeaturizer:
     def transform(self, genomes: DataFrame, hits: DataFrame, clusters: DataFrame) -> DataFrame:
         if not self._state:
             raise NotFitted("fit before transform")
-        g, spark = self.genome, genomes.sparkSession
+        g, spark, genomes = self.genome, genomes.sparkSession, self._whole(genomes)
         status = F.coalesce("status", F.lit("SUCCESS")) if "status" in genomes.columns else F.lit("SUCCESS")
         out = genomes.select(F.col(g), status.alias("status"))
         out = out.join(marker_features(genomes, hits, genome=g), g).join(cluster_features(genomes, clusters, genome=g), g)
         vocabulary = spark.createDataFrame(self._state["vocabulary"], "term string, idf double")
         weights = tfidf(self._families(genomes, hits), vocabulary, g)
         terms = [t for t, _ in self._state["vocabulary"]]
-        wide = weights.groupBy(g).agg(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("weight"))), F.lit(0.0)).alias(f"pfam_tfidf_{t}") for t in terms])
+        wide = weights.groupBy(g).pivot("term", terms).agg(F.first("weight")).select(g, *[F.col(f"`{t}`").alias(f"pfam_tfidf_{t}") for t in terms])
         out = out.join(wide, g, "left").fillna(0.0, [f"pfam_tfidf_{t}" for t in terms])
         for c, pairs in self._state["buckets"].items():
             known = one_hot(genomes, g, c, pairs)

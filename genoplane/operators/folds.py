@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genoplane.functions.text import is_blank
+from genoplane.operators.hotkeys import salted_join
 from genoplane.operators.ranking import distributed_rank
+from genoplane.session import cut_lineage
+
+MAX_SIZES = 20_000
 
 
 class LeakageError(ValueError):
@@ -44,7 +50,7 @@ def check_dataset(frame: DataFrame, accession: str, group: str, label: str, n_sp
         raise LeakageError("repeated column names")
     if missing := [c for c in columns if c not in frame.columns]:
         raise LeakageError(f"missing columns: {missing}")
-    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    blank = lambda c: is_blank(F.col(c))
     got = frame.agg(*[F.count_if(blank(c)).alias(c) for c in columns], F.count_if(~F.col(label).isin(*classes)).alias("_other")).first()
     if bad := [c for c in columns if got[c]]:
         raise LeakageError(f"blank values in {bad}")
@@ -61,27 +67,73 @@ def check_dataset(frame: DataFrame, accession: str, group: str, label: str, n_sp
     return summary
 
 
+def level_loads(loads: Sequence[int], size: int, count: int, first: int) -> list[int]:
+    """How many of `count` groups of `size` rows each fold gets if one after the other goes to the fold with the fewest rows.
+
+    Of equally loaded folds the one that comes first, counted on from fold `first`, is taken. Found by bisecting the
+    level up to which folds are filled, not group by group.
+    """
+    k = len(loads)
+    upto = lambda level: [max(0, -((x - level) // size)) if level > x else 0 for x in loads]
+    lo, hi = min(loads), max(loads) + size * (count + 1)
+    while hi - lo > 1:  # the highest level that does not take more than there are
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if sum(upto(mid)) <= count else (lo, mid)
+    got = upto(lo)
+    turn = sorted(range(k), key=lambda f: (loads[f] + got[f] * size, (f - first) % k))
+    for f in turn[: count - sum(got)]:
+        got[f] += 1
+    return got
+
+
+def deal_groups(sizes: Sequence[tuple[str, int, int]], n_splits: int, repeat: int) -> list[tuple[str, int, list[int]]]:
+    """(label, size, groups up to and with each fold) of a repeat, from (label, size, count): per label the largest groups first, each to the fold with the fewest rows of the label."""
+    out = []
+    for i, label in enumerate(sorted({s[0] for s in sizes})):
+        loads = [0] * n_splits
+        for _, size, count in sorted((s for s in sizes if s[0] == label), key=lambda s: -s[1]):
+            got = level_loads(loads, size, count, (repeat + i) % n_splits)
+            loads = [x + size * g for x, g in zip(loads, got, strict=True)]
+            out.append((label, size, list(accumulate(got))))
+    return out
+
+
 def assign_folds(frame: DataFrame, group: str, label: str, n_splits: int, n_repeats: int, seed: int = 42) -> DataFrame:
-    """(repeat, fold, group, label): the label-pure groups of each class are dealt to folds, large ones first.
+    """(repeat, fold, group, label): the label-pure groups of each class are dealt to folds of about equally many rows.
 
-    Within a repeat and class, groups are ordered by size (descending) and a digest of seed and name, and dealt
-    round robin; with at least n_splits groups per class, every fold has both classes. A group is in one fold
-    of a repeat. The order is a distributed rank, so a class may have any number of groups.
+    Per class the largest groups come first, and each goes to the fold with the fewest rows of the class so far; with at
+    least n_splits groups per class, every fold has both classes. This needs the number of groups per class and size
+    alone, a histogram with at most the root of twice the number of rows sizes per class (`deal_groups`); groups of
+    equal size are ordered by a digest of seed, repeat and name and dealt in that order. A group is in one fold of
+    a repeat. The order is a distributed rank, so a class may have any number of groups.
     """
-    groups = frame.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
+    groups = cut_lineage(frame.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n")), "groups")
+    sizes = [(r[label], r["_n"], r["c"]) for r in groups.groupBy(label, "_n").agg(F.count(F.lit(1)).alias("c")).collect()]
+    plan = [(r, *row) for r in range(1, n_repeats + 1) for row in deal_groups(sizes, n_splits, r)]
+    plan = frame.sparkSession.createDataFrame(plan, f"repeat int, {label} string, _n bigint, _upto array<bigint>")
     each = groups.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(n_repeats))))
     digest = F.md5(F.concat((F.lit(seed - 1) + F.col("repeat")).cast("string"), F.lit("|"), F.col(group)))
-    ranked = distributed_rank(each.withColumn("_d", digest), ["repeat", label], [F.col("n").desc(), F.col("_d"), F.col(group)])
-    return ranked.select("repeat", (F.pmod(F.col("rank") - 1, F.lit(n_splits)) + 1).cast("int").alias("fold"), group, label)
+    ranked = distributed_rank(each.withColumn("_d", digest), ["repeat", label, "_n"], [F.col("_d"), F.col(group)])
+    placed = ranked.join(F.broadcast(plan) if len(sizes) <= MAX_SIZES else plan, ["repeat", label, "_n"])
+    fold = F.size(F.filter("_upto", lambda upto: upto < F.col("rank"))) + 1
+    return placed.select("repeat", fold.alias("fold"), group, label)
 
 
 def fold_manifest(frame: DataFrame, accession: str, group: str, label: str, n_splits: int, n_repeats: int, seed: int = 42) -> DataFrame:
-    """(repeat, fold, split, accession, group, label) of the validation rows of every fold."""
+    """(repeat, fold, split, accession, group, label) of the validation rows of every fold; `sorted_manifest` puts them in order.
+
+    Rows of groups that hold much of the table are dealt to slices in the join with the folds.
+    """
     folds = assign_folds(frame, group, label, n_splits, n_repeats, seed)
-    rows = frame.select(accession, group, label).join(folds.drop(label), group)
+    rows = salted_join(frame.select(accession, group, label), folds.drop(label), group, accession)
     return rows.select("repeat", "fold", F.lit("validation").alias("split"), accession, group, label)
 
 
+def sorted_manifest(manifest: DataFrame, accession: str) -> DataFrame:
+    """A manifest in the order in which it is published: repeat, fold, accession."""
+    return manifest.orderBy("repeat", "fold", accession)
+
+
 def fold_rows(frame: DataFrame, manifest: DataFrame, repeat: int, fold: int, accession: str, group: str) -> tuple[DataFrame, DataFrame]:
     """(training, validation) rows of a fold: validation by accession; training is what shares no group with it."""
     own = manifest.filter((F.col("repeat") == repeat) & (F.col("fold") == fold))
@@ -131,6 +183,25 @@ def fold_counts(frame: DataFrame, manifest: DataFrame, group: str, label: str, p
     )
 
 
+def check_fold_counts(counts: Mapping[tuple[int, str], int], folds: Iterable[int], classes: Sequence[str] = ("positive", "negative")) -> None:
+    """Raise LeakageError where the validation or the training side of a fold, given the rows per (fold, label) of a repeat, is empty or lacks a class."""
+    for fold in folds:
+        for name, own in (("validation", lambda f: f == fold), ("training", lambda f: f != fold)):
+            n = {c: sum(v for (f, label), v in counts.items() if label == c and own(f)) for c in classes}
+            if not sum(n.values()):
+                raise LeakageError(f"no {name} rows in fold {fold}")
+            if lacking := [c for c in classes if not n[c]]:
+                raise LeakageError(f"{name} rows of fold {fold} without {lacking}")
+
+
+def check_fold(training: DataFrame, validation: DataFrame, group: str, label: str, classes: Sequence[str] = ("positive", "negative")) -> None:
+    """Raise LeakageError where a side of a fold is empty or lacks a class, or where the sides share a group."""
+    counts = {(i, r[0]): r[1] for i, side in enumerate((training, validation)) for r in side.groupBy(label).count().collect()}
+    check_fold_counts(counts, [1], classes)
+    if not shared_groups(training, validation, group).isEmpty():
+        raise LeakageError("training and validation share a group")
+
+
 def shared_groups(training: DataFrame, validation: DataFrame, group: str) -> DataFrame:
     """Groups on both sides of a split."""
     return training.select(group).intersect(validation.select(group))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from genoplane.config import Alignment
 from genoplane.functions.identifiers import coverage
+from genoplane.session import cut_lineage
 
 HIT_SCHEMA = T.StructType(
     [T.StructField("accession", T.StringType()), T.StructField("profile_file", T.StringType()), T.StructField("target_protein", T.StringType()), T.StructField("target_len", T.IntegerType()), T.StructField("gene_family", T.StringType()), T.StructField("hmm_len", T.IntegerType())]
@@ -75,22 +76,43 @@ def resolve_overlaps(hits: DataFrame, keys: Sequence[str], start: str, end: str,
 
 
 Search = Callable[[Iterable[tuple[str, str]], bytes], Iterable[tuple]]
+MAX_PROFILE_BYTES = 512 << 20
 
 
-def search_proteins(proteins: DataFrame, profiles: Sequence[tuple[str, bytes]], search: Search) -> DataFrame:
-    """Run a search tool over protein batches: rows of HIT_SCHEMA, which keeps its columns without any hit.
+def search_genomes(proteins: DataFrame, profiles: Sequence[tuple[str, bytes]], open_search: Callable[[], Search]) -> tuple[DataFrame, DataFrame]:
+    """Run a search tool over protein batches: (hits of HIT_SCHEMA, failures (accession, error)).
 
-    `search(sequences, profile)` gets an iterable of (protein id, sequence) and the profile's bytes, and yields
-    hit tuples from target_protein on. Profiles (a few MB of public models) are shipped with the task; each
-    task runs its tool single-threaded, and a genome's failure is its task's alone. No tool is bundled.
+    `open_search` is called once per task and gives the tool: `search(sequences, profile)` gets the (protein id,
+    sequence) pairs of a genome in a batch and a profile's bytes, and yields hit tuples from target_protein on.
+    Profiles (public models, MBs; at most MAX_PROFILE_BYTES, checked) are broadcast. A genome on which the tool fails
+    is a failure with the error's text and has no hits at all; the others are not affected. A tool that cannot be
+    opened fails the job. Rows without accession are searched under null. No tool is bundled.
     """
+    if (size := sum(len(p) for _, p in profiles)) > MAX_PROFILE_BYTES:
+        raise ValueError(f"profiles of {size} bytes")
+    shared = proteins.sparkSession.sparkContext.broadcast(list(profiles))
+    schema = T.StructType([*HIT_SCHEMA.fields, T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search = None
         for batch in batches:
+            search = search or open_search()
             rows = []
-            for accession, group in batch.groupby("accession", sort=False):
+            for accession, group in batch.groupby("accession", sort=False, dropna=False):
                 sequences = list(zip(group["protein_id"], group["sequence"], strict=True))
-                rows += [(accession, name, *hit) for name, profile in profiles for hit in search(sequences, profile)]
-            yield pd.DataFrame(rows, columns=HIT_SCHEMA.names)
+                accession = None if pd.isna(accession) else accession
+                try:
+                    rows += [(accession, name, *hit, None) for name, profile in shared.value for hit in search(sequences, profile)]
+                except Exception as e:
+                    rows.append((accession, *[None] * (len(HIT_SCHEMA) - 1), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    found = cut_lineage(proteins.select("accession", "protein_id", "sequence").mapInPandas(run, schema), "searched")
+    failures = found.filter("error IS NOT NULL").groupBy("accession").agg(F.min("error").alias("error"))
+    hits = found.filter("error IS NULL").join(failures, found["accession"].eqNullSafe(failures["accession"]), "left_anti")
+    return hits.select(*HIT_SCHEMA.names), failures
 
-    return proteins.select("accession", "protein_id", "sequence").mapInPandas(run, HIT_SCHEMA)
+
+def search_proteins(proteins: DataFrame, profiles: Sequence[tuple[str, bytes]], search: Search) -> DataFrame:
+    """The hits of `search_genomes` with a tool that needs no opening."""
+    return search_genomes(proteins, profiles, lambda: search)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoplane.functions.identifiers import attribute_map, direct_aliases, inferred_aliases, locus_protein_id
+from genoplane.functions.identifiers import attribute_map, direct_aliases, inferred_aliases, locus_protein_id, stripped
 from genoplane.functions.text import is_blank
 
 
@@ -48,7 +48,7 @@ def with_alias_columns(loci: DataFrame) -> DataFrame:
     if "direct_aliases" in loci.columns or "inferred_aliases" in loci.columns:
         empty = F.array().cast("array<string>")
         return loci.withColumns({c: F.coalesce(c, empty) if c in loci.columns else empty for c in ("direct_aliases", "inferred_aliases")})
-    one = lambda c: F.when(~is_blank(F.col(c)), F.array(F.trim(c))).otherwise(F.array().cast("array<string>")) if c in loci.columns else F.array().cast("array<string>")
+    one = lambda c: F.when(~is_blank(F.col(c)), F.array(stripped(F.col(c)))).otherwise(F.array().cast("array<string>")) if c in loci.columns else F.array().cast("array<string>")
     listed = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in loci.columns else F.array().cast("array<string>")
     direct = one("protein_id")
     return loci.withColumn("direct_aliases", direct).withColumn("inferred_aliases", F.array_except(F.concat(listed, one("locus_tag"), one("gff_id"), one("parent_id")), direct))
@@ -62,7 +62,7 @@ def keyed_hits(hits: DataFrame) -> DataFrame:
         hits = hits.withColumnRenamed("target_name", "protein_id")
     if "protein_id" not in hits.columns:
         raise LocusError("hits need target_protein, target_name or protein_id")
-    return hits.withColumn("protein_id", F.trim("protein_id")).filter(~is_blank(F.col("protein_id")))
+    return hits.withColumn("protein_id", stripped(F.col("protein_id"))).filter(~is_blank(F.col("protein_id")))
 
 
 def usable_aliases(loci: DataFrame, scope: list[str]) -> DataFrame:
@@ -88,7 +88,7 @@ def resolve_hits(hits: DataFrame, loci: DataFrame, scope: list[str]) -> DataFram
     aliases = usable_aliases(loci, scope).select(*scope, F.col("alias").alias("protein_id"), "locus_row")
     taken = {*hits.columns, *scope, "locus_row"}
     place = loci.select(*scope, "locus_row", *[F.col(c).alias(f"locus_{c}" if c in taken else c) for c in loci.columns if c not in (*scope, "locus_row")])
-    return hits.join(aliases, [*scope, "protein_id"]).join(place, [*scope, "locus_row"]).dropDuplicates([*scope, "hit_row", "locus_row"])
+    return hits.join(aliases, [*scope, "protein_id"]).dropDuplicates([*scope, "hit_row", "locus_row"]).join(place, [*scope, "locus_row"])
 
 
 def match_statistics(hits: DataFrame, loci: DataFrame, scope: list[str]) -> DataFrame:
@@ -106,6 +106,21 @@ def match_statistics(hits: DataFrame, loci: DataFrame, scope: list[str]) -> Data
     return stats.join(many, scope, "left").join(vague, scope, "left").fillna(0, ["multi_match_aliases", "ambiguous_aliases"])
 
 
+def match_lists(hits: DataFrame, loci: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, kind, name): the names behind `match_statistics`, one row each and whole.
+
+    ``unmatched_id`` are protein ids of hits that lead to no locus, ``ambiguous_alias`` inferred aliases of several loci
+    that no locus has as direct alias, ``multi_match_alias`` usable aliases that lead to several loci.
+    """
+    lost = unmatched_hits(hits, loci, scope).select(*scope, F.lit("unmatched_id").alias("kind"), F.col("protein_id").alias("name")).distinct()
+    many = usable_aliases(loci, scope).filter("n_loci > 1").select(*scope, F.lit("multi_match_alias").alias("kind"), F.col("alias").alias("name")).distinct()
+    own = with_alias_columns(loci)
+    direct = own.select(*scope, F.explode("direct_aliases").alias("alias")).distinct()
+    vague = own.select(*scope, "locus_row", F.explode("inferred_aliases").alias("alias")).filter(~is_blank(F.col("alias"))).distinct().join(direct, [*scope, "alias"], "left_anti")
+    vague = vague.groupBy(*scope, "alias").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*scope, F.lit("ambiguous_alias").alias("kind"), F.col("alias").alias("name"))
+    return lost.unionByName(many).unionByName(vague)
+
+
 def unmatched_hits(hits: DataFrame, loci: DataFrame, scope: list[str]) -> DataFrame:
     """Hits that resolve to no locus."""
     hits = keyed_hits(hits)

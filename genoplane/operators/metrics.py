@@ -29,6 +29,27 @@ def check_probabilities(predictions: DataFrame, probability: str) -> None:
         raise MetricError(f"{bad} rows without a probability in [0, 1]")
 
 
+def score_channels(predictions: DataFrame, model: str = "model_name", probability: str = "positive_probability", decision: str = "decision_score") -> dict[str, str]:
+    """The score column of each model: its probabilities, else its decision scores, else none of both (an absent key).
+
+    A model that has both raises, as their values cannot be compared, and so does one with a score on some rows only,
+    a probability outside [0, 1] or a decision score that is not finite. One aggregate; one row per model comes back.
+    """
+    p, d = F.col(probability), F.col(decision)
+    good = {probability: ~F.isnan(p) & (p >= 0) & (p <= 1), decision: ~F.isnan(d) & (F.abs(d) != float("inf"))}
+    seen = predictions.groupBy(model).agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"has_{c}") for c in good], *[F.count_if(F.coalesce(ok, F.lit(False))).alias(f"ok_{c}") for c, ok in good.items()])
+    out = {}
+    for r in seen.collect():
+        used = [c for c in good if r[f"has_{c}"]]
+        if len(used) > 1:
+            raise MetricError(f"{r[model]} mixes probabilities and decision scores")
+        if used and r[f"ok_{used[0]}"] < r["n"]:
+            raise MetricError(f"{r['n'] - r[f'ok_{used[0]}']} rows of {r[model]} without a valid {used[0]}")
+        if used:
+            out[r[model]] = used[0]
+    return out
+
+
 def confusion(predictions: DataFrame, by: Sequence[str], truth: Column, predicted: Column) -> DataFrame:
     """tn, fp, fn, tp and supports per group; `truth` and `predicted` are boolean (positive), rows with a null are left out."""
     p = predictions.withColumns({"_t": truth, "_p": predicted}).filter(F.col("_t").isNotNull() & F.col("_p").isNotNull())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from genoplane.functions.text import genome_key, word_key
 from genoplane.operators import folds as D
 from genoplane.operators import labeling as B
 from genoplane.operators import metrics as M
+from genoplane.operators.wording import read_words
 from genoplane.operators.models import cross_validate, load_model, round_trip_mismatches, save_model, train
+from genoplane.plans.reference_checks import genome_sql, visible_sql, word_sql
 from genoplane.plans.tables import table
 from genoplane.session import cut_lineage, shared_dir
 
@@ -85,8 +89,8 @@ def a15_exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records with genome and label in one writing each, null where blank."""
-    rows = table(spark, sf_dir, "grouped_training_dataset")
-    return rows.select(F.col("record_id").cast("string").alias("assembly_accession"), genome_key(F.col("source_genome_id")).alias("source_genome_id"), word_key(F.col("target_label")).alias("target_label"))
+    rows = read_words(table(spark, sf_dir, "grouped_training_dataset"), {"label": ("target_label", word_key)})
+    return rows.select(F.col("record_id").cast("string").alias("assembly_accession"), genome_key(F.col("source_genome_id")).alias("source_genome_id"), F.col("label").alias("target_label"))
 
 
 def _labelled(rows: DataFrame) -> DataFrame:
@@ -182,8 +186,18 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vec_id").cast("string").alias("assembly_accession"), F.concat_ws("-", F.lit("g"), "label", F.col("vec_id") % 4).alias("source_genome_id"), F.when(F.col("label") < 5, "positive").otherwise("negative").alias("target_label"), *elements)
 
 
+def _soundness(rows: DataFrame, aggregate: DataFrame) -> DataFrame:
+    """What any sound cross-validation of `rows` has, per metric: counts of folds, values within their bounds, and pooled supports that add up to all rows of each repeat."""
+    whole = rows.agg(F.count_if(F.col("target_label") == "positive").alias("p"), F.count_if(F.col("target_label") == "negative").alias("q")).first()
+    counts = aggregate.agg(*[F.max(F.when(F.col("metric") == m, F.col("pooled_value"))).alias(m) for m in M.COUNTS]).first()
+    adds_up = counts["positive_support"] == REPEATS * whole["p"] == counts["tp"] + counts["fn"] and counts["negative_support"] == REPEATS * whole["q"] == counts["tn"] + counts["fp"]
+    within = F.when(F.col("metric").isin(*M.SCORES), (F.col("fold_min") >= 0) & (F.col("fold_max") <= 1) & F.col("fold_mean").between(F.col("fold_min"), F.col("fold_max"))).otherwise((F.col("fold_min") >= 0) & F.lit(bool(adds_up)))
+    return aggregate.select("model_name", "metric", "valid_fold_count", "total_fold_count", within.alias("is_sound"))
+
+
 def _cv(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
-    return cross_validate(_vectors(spark, sf_dir), [model]).aggregate
+    rows = _vectors(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return _soundness(rows, cross_validate(rows, [model]).aggregate)
 
 
 def m3_logreg_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,20 +212,47 @@ def m5_svm_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cv(spark, sf_dir, "svc")
 
 
-def m10_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose prediction changes when the model is stored and loaded: none."""
-    rows = _vectors(spark, sf_dir)
+def m3_logreg_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the gradient of the weighted, penalised logistic loss vanishes at the fitted model: one row."""
+    rows = _vectors(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     model = train(rows, "logistic_regression")
-    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
-    save_model(model, path, "rows", "columns")
-    return round_trip_mismatches(model, load_model(path)[0], rows, "assembly_accession")
+    n, fitted = sum(model.classes.values()), model.pipeline.stages[-1]
+    y = F.when(F.col("target_label") == "positive", 1.0).otherwise(0.0)
+    weight = F.when(F.col("target_label") == "positive", n / (2.0 * model.classes["positive"])).otherwise(n / (2.0 * model.classes["negative"]))
+    scored = model.pipeline.transform(rows).select(vector_to_array("scaled").alias("x"), (weight * (vector_to_array("probability")[1] - y)).alias("e"))
+    slopes = [F.sum(F.col("e") * F.get("x", F.lit(i))) / n + float(fitted.getRegParam() * c) for i, c in enumerate(fitted.coefficients)]
+    steepest = F.greatest(F.abs(F.sum("e") / n), *[F.abs(s) for s in slopes])
+    moments = [F.abs(F.avg(F.get("x", F.lit(i)))) + F.abs(F.stddev_pop(F.get("x", F.lit(i))) - 1) for i in range(len(model.features))]
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(model.features)).alias("n_features"), (steepest < 1e-5).alias("is_optimal"), (F.greatest(*moments) < 1e-9).alias("is_scaled"))
+
+
+def m10_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose prediction changes when a model of any kind is stored and loaded: none."""
+    rows = _vectors(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = []
+    for name in ("logistic_regression", "random_forest", "svc"):
+        model = train(rows, name)
+        path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+        save_model(model, path, "rows", "columns")
+        parts.append(round_trip_mismatches(model, load_model(path)[0], rows, "assembly_accession").select(F.lit(name).alias("model_name"), "assembly_accession"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def m7_score_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per status by score channel: one has probabilities, the others scores without bounds, none both."""
+    rows = _predictions(spark, sf_dir)
+    has = F.col("model_name") == "none"
+    rows = rows.withColumns({"positive_probability": F.when(has, F.col("score")), "decision_score": F.when(~has, F.col("score") * 10 - 5)})
+    used = M.score_channels(rows)
+    channels = spark.createDataFrame(sorted(used.items()), "model_name string, channel string")
+    return rows.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(channels), "model_name")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         v4_manifest_report, v4_manifest_offenders, v6_feature_report, v6_feature_offenders, f9_invalid_values, a11_histograms, a14_duplicate_keys, u5_unmatched_keys, j8_labeled_join, f12_training_mask, f13_reference_warnings, a15_exclusion_reasons, a16_mixed_groups, v11_dataset_summary, w8_fold_manifest, v13_manifest_checks,
-        a19_fold_metadata, a21_confusion, a23_auc_ap, a25_metric_aggregate, w6_model_ranking, a20_oof_coverage, m3_logreg_cv, m4_forest_cv, m5_svm_cv, m10_roundtrip,
+        a19_fold_metadata, a21_confusion, a23_auc_ap, a25_metric_aggregate, w6_model_ranking, a20_oof_coverage, m3_logreg_cv, m3_logreg_optimum, m4_forest_cv, m5_svm_cv, m7_score_channels, m10_roundtrip,
     )
 }
 
@@ -232,11 +273,23 @@ held AS (SELECT * FROM f WHERE dropped_at IS NULL),
 fu AS (SELECT * FROM held WHERE {_ACC.format(c="accession_id")} AND accession_id IN (SELECT accession_id FROM held GROUP BY 1 HAVING count(*) = 1)),
 j AS (SELECT lu.*, feature_row_id, cluster_score, status AS notes_feature, target_label IN ('positive', 'negative') AS c1, evidence_tier IN ('A', 'B') AS c2, dataset_role = 'train_candidate' AS c3, evidence_reference <> '' AS c4, source_genome_id <> '' AS c5
   FROM fu JOIN lu ON accession_id = assembly_accession)"""
-_G = """g AS (SELECT record_id::VARCHAR AS assembly_accession, source_genome_id, target_label FROM grouped_training_dataset WHERE target_label IN ('positive', 'negative') AND regexp_matches(source_genome_id, '[^\\s\\p{Z}]'))"""
-_FOLDS = f"""{_G},
+_READ = f"""read AS (SELECT record_id::VARCHAR AS assembly_accession, {genome_sql("s")} AS source_genome_id, {word_sql("target_label")} AS target_label FROM (SELECT record_id, target_label, {visible_sql("source_genome_id")} AS s FROM grouped_training_dataset))"""
+_G = f"""{_READ},
+g AS (SELECT * FROM read WHERE target_label IN ('positive', 'negative') AND source_genome_id IS NOT NULL)"""
+# each class from its largest groups down: of the places that the next groups of a size could take in the folds, the lowest
+_FOLDS = f"""RECURSIVE {_G},
 pure AS (SELECT * FROM g WHERE source_genome_id IN (SELECT source_genome_id FROM g GROUP BY 1 HAVING count(DISTINCT target_label) = 1)),
 grp AS (SELECT source_genome_id, any_value(target_label) AS label, count(*) AS n FROM pure GROUP BY 1),
-dealt AS (SELECT repeat::INT AS repeat, source_genome_id, ((row_number() OVER (PARTITION BY repeat, label ORDER BY n DESC, md5((41 + repeat)::VARCHAR || '|' || source_genome_id), source_genome_id) - 1) % 5 + 1)::INT AS fold FROM grp, (SELECT unnest([1, 2, 3]) AS repeat)),
+hist AS (SELECT label, n, count(*) AS c, row_number() OVER (PARTITION BY label ORDER BY n DESC) AS step FROM grp GROUP BY label, n),
+level AS (
+  SELECT repeat::INT AS repeat, label, (label = 'positive')::INT AS i, 0::BIGINT AS step, 0::BIGINT AS n, [0, 0, 0, 0, 0]::BIGINT[] AS loads, [0, 0, 0, 0, 0]::BIGINT[] AS got FROM (SELECT unnest([1, 2, 3]) AS repeat), (SELECT DISTINCT label FROM grp)
+  UNION ALL
+  SELECT repeat, label, i, step, n, list_transform(range(1, 6), lambda f: loads[f] + n * got[f]), got FROM (
+    SELECT repeat, label, i, step, n, loads, list_transform(range(1, 6), lambda f: len(list_filter(taken, lambda s: s.f = f))::BIGINT) AS got FROM (
+      SELECT l.repeat, l.label, l.i, h.step, h.n, l.loads, list_sort(flatten(list_transform(range(1, 6), lambda f: list_transform(range(0, h.c), lambda j: {{'at': l.loads[f] + h.n * j, 'turn': (f + 4 - (l.repeat + l.i) % 5) % 5, 'f': f}}))))[1:h.c] AS taken
+      FROM level l JOIN hist h ON h.label = l.label AND h.step = l.step + 1))),
+placed AS (SELECT repeat::INT AS repeat, source_genome_id, label, n, row_number() OVER (PARTITION BY repeat, label, n ORDER BY md5((41 + repeat)::VARCHAR || '|' || source_genome_id), source_genome_id) AS place FROM grp, (SELECT unnest([1, 2, 3]) AS repeat)),
+dealt AS (SELECT p.repeat, p.source_genome_id, (1 + len(list_filter([got[1], got[1] + got[2], got[1] + got[2] + got[3], got[1] + got[2] + got[3] + got[4]], lambda u: u < place)))::INT AS fold FROM placed p JOIN level v ON v.repeat = p.repeat AND v.label = p.label AND v.n = p.n AND v.step > 0),
 manifest AS (SELECT repeat, fold, 'validation' AS split, assembly_accession, source_genome_id, target_label FROM pure JOIN dealt USING (source_genome_id))"""
 _P = """p AS (SELECT coalesce(status, 'none') AS model_name, 1 AS repeat, (feature_row_id % 5 + 1)::INT AS fold, nifh_count > 0 AS truth, cluster_score >= 0.5 AS guess, round(cluster_score, 2) AS score FROM feature_matrix WHERE nifh_count IS NOT NULL AND cluster_score IS NOT NULL)"""
 
@@ -278,7 +331,9 @@ SQL = {
     "a15_exclusion_reasons": f"WITH {_JOIN} " + " UNION ALL ".join(f"SELECT '{k}' AS reason, count(*) FILTER ({c}) AS n_rows FROM j" for k, c in (("target_label_not_binary", "NOT c1"), ("evidence_tier_not_allowed", "NOT c2"), ("dataset_role_not_train_candidate", "NOT c3"), ("missing_evidence_reference", "NOT c4"), ("missing_source_genome_id", "NOT c5"), ("excluded", "NOT (c1 AND c2 AND c3 AND c4 AND c5)"), ("training_ready", "c1 AND c2 AND c3 AND c4 AND c5"))),
     "a16_mixed_groups": f"WITH {_G} SELECT source_genome_id, count(DISTINCT target_label) AS n_labels FROM g GROUP BY 1 HAVING count(DISTINCT target_label) > 1",
     "v11_dataset_summary": f"""WITH {_G}, k AS (SELECT source_genome_id, count(*) FILTER (target_label = 'positive') AS p, count(*) FILTER (target_label = 'negative') AS q FROM g GROUP BY 1)
-SELECT (SELECT count(*) FROM g) AS n_rows, count(*) AS n_groups, sum(p)::BIGINT AS positive_rows, sum(q)::BIGINT AS negative_rows, count(*) FILTER (p > 0) AS positive_groups, count(*) FILTER (q > 0) AS negative_groups, count(*) FILTER (p > 0 AND q > 0) AS mixed_groups, (SELECT count(DISTINCT assembly_accession) FROM g) AS n_accessions FROM k""",
+SELECT (SELECT count(*) FROM g) AS n_rows, count(*) AS n_groups, sum(p)::BIGINT AS positive_rows, sum(q)::BIGINT AS negative_rows, count(*) FILTER (p > 0) AS positive_groups, count(*) FILTER (q > 0) AS negative_groups, count(*) FILTER (p > 0 AND q > 0) AS mixed_groups, (SELECT count(DISTINCT assembly_accession) FROM g) AS n_accessions,
+  (SELECT count(*) FROM read) AS all_rows, (SELECT count(*) FROM read WHERE coalesce(target_label NOT IN ('positive', 'negative'), true)) AS unlabelled_rows, (SELECT count(*) FROM read WHERE target_label IN ('positive', 'negative') AND source_genome_id IS NULL) AS blank_group_rows,
+  coalesce(sum(p + q) FILTER (p > 0 AND q > 0), 0)::BIGINT AS mixed_rows FROM k""",
     "w8_fold_manifest": f"WITH {_FOLDS} SELECT * FROM manifest",
     "v13_manifest_checks": """SELECT unnest(['not_validation', 'unexpected_fold', 'missing_row', 'unknown_row', 'repeated_row', 'split_group', 'changed_row', 'single_class_fold']) AS "check", 0::BIGINT AS n_violations""",
     "a19_fold_metadata": f"""WITH {_FOLDS}, t AS (SELECT count(*) AS n, count(DISTINCT source_genome_id) AS g, count(*) FILTER (target_label = 'positive') AS p FROM pure),
@@ -292,5 +347,12 @@ FROM folds f LEFT JOIN pooled p USING (model_name, metric) GROUP BY f.model_name
     "w6_model_ranking": f"""WITH {_P}, {_metric_sql("model_name, repeat, fold", "m")}, a AS (SELECT model_name, avg(average_precision) AS ap, avg(balanced_accuracy) AS ba, avg(f1) AS f1 FROM m GROUP BY 1),
 r AS (SELECT *, (row_number() OVER (ORDER BY ap DESC, ba DESC, f1 DESC, model_name))::INT AS rank FROM a), b AS (SELECT * FROM r WHERE rank = 1)
 SELECT r.rank, r.model_name, round(r.ap, 7) AS average_precision, round(r.ba, 7) AS balanced_accuracy, round(r.f1, 7) AS f1, abs(r.ap - b.ap) <= 1e-12 + 1e-12 * abs(b.ap) AND abs(r.ba - b.ba) <= 1e-12 + 1e-12 * abs(b.ba) AND abs(r.f1 - b.f1) <= 1e-12 + 1e-12 * abs(b.f1) AS tied_with_best FROM r, b""",
+    "m3_logreg_optimum": "SELECT count(*) AS n_rows, max(len(embedding))::INT AS n_features, true AS is_optimal, true AS is_scaled FROM embeddings",
+    "m7_score_channels": f"WITH {_P} SELECT model_name, count(*) AS n_rows, CASE WHEN model_name = 'none' THEN 'positive_probability' ELSE 'decision_score' END AS channel FROM p GROUP BY model_name",
+    "m10_roundtrip": "SELECT '' AS model_name, vec_id::VARCHAR AS assembly_accession FROM embeddings WHERE false",
     "a20_oof_coverage": "SELECT coalesce(status, 'none') AS model_name, accession_id AS assembly_accession, count(*) AS n FROM feature_matrix GROUP BY ALL HAVING count(*) <> 1",
 }
+SQL |= {
+    name: f"SELECT '{model}' AS model_name, unnest([{', '.join(repr(m) for m in M.SCORES + M.COUNTS)}]) AS metric, {SPLITS * REPEATS}::BIGINT AS valid_fold_count, {SPLITS * REPEATS}::BIGINT AS total_fold_count, true AS is_sound"
+    for name, model in (("m3_logreg_cv", "logistic_regression"), ("m4_forest_cv", "random_forest"), ("m5_svm_cv", "svc"))
+}

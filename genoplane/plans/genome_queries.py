@@ -7,16 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoplane.config import Synteny
+from genoplane.config import Alignment, Synteny
 from genoplane.functions.identifiers import attribute_map, direct_aliases, inferred_aliases, is_canonical_name, standard_name
 from genoplane.operators import clusters as C
 from genoplane.operators import features as X
 from genoplane.operators import loci as L
-from genoplane.operators.hits import resolve_overlaps
+from genoplane.operators.hits import passing_hits, resolve_overlaps, trusted_profiles, with_scores
 from genoplane.operators.predict import batch_summary, capability_scores, flat_report
 from genoplane.plans.tables import table
 from genoplane.session import shared_dir
-from genoplane.sources.readers import accession_list, best_files, distinct_in_order
+from genoplane.sources.readers import accession_list, best_files, distinct_in_order, missing_inputs, missing_triplets, move_plan, move_statistics, report_fields, runnable
 from genoplane.streaming.sessions import fixed_gap_sessions
 
 SYNTENY = Synteny(max_gap_bp=15000, max_divergent_gap_bp=5000)
@@ -70,7 +70,7 @@ def f7_valid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     pfam = F.create_map(*[F.lit(x) for s, p in X.CORE_MARKERS.items() for x in (s, p)])
-    clusters = _rolled(spark, sf_dir).filter("seqid % 3 <> 0 OR accession > 4").withColumn("gene_families", F.transform("gene_families", lambda f: F.coalesce(F.try_element_at(pfam, f), f)))
+    clusters = _rolled(spark, sf_dir).withColumn("gene_families", F.transform("gene_families", lambda f: F.coalesce(F.try_element_at(pfam, f), f)))
     genomes = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("accession")).distinct().unionAll(spark.range(10, 12).select(F.col("id").alias("accession")))
     return capability_scores(genomes.withColumn("status", F.when(F.col("accession") == 11, "FAILED").otherwise("SUCCESS")), clusters)
 
@@ -150,8 +150,8 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         """SELECT concat('/data', CAST(tax_id % 2 AS STRING), '/', CASE tax_id % 5 WHEN 0 THEN concat('up/', accession, '/') ELSE '' END,
   CASE tax_id % 5 WHEN 0 THEN 'file' ELSE accession END,
   CASE tax_id % 11 WHEN 0 THEN '_protein.faa' WHEN 1 THEN '_genomic.gff' WHEN 2 THEN '_genomic.fna' WHEN 3 THEN '.FASTA' WHEN 4 THEN '_cds_from_genomic.fna' WHEN 5 THEN '.gff3' WHEN 6 THEN '.zip' WHEN 7 THEN '_md5sum.txt' WHEN 8 THEN '.faa' WHEN 9 THEN '_assembly_report.jsonl' ELSE '_protein.faa.gz' END) AS path,
-  CAST(tax_id % 2 AS INT) AS root_priority, 1 AS length FROM {register} WHERE accession IS NOT NULL AND tax_id IS NOT NULL""",
-        register=table(spark, sf_dir, "assembly_metadata"),
+  CAST(tax_id % 2 AS INT) AS root_priority, 1 AS length FROM {register}""",
+        register=table(spark, sf_dir, "assembly_metadata").select(F.coalesce("accession", F.lit("none")).alias("accession"), F.coalesce("tax_id", F.lit(0)).alias("tax_id")),
     ).distinct()
 
 
@@ -169,18 +169,101 @@ def s1_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_in_order(accession_list(lines, strict=False)[0])
 
 
-def k9_md5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_doc"))
-    return docs.filter("n_copies > 1")
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The register's files with a digest that copies under both roots share, and the places that annotations already fill."""
+    files = _paths(spark, sf_dir).withColumn("md5", F.md5(F.regexp_replace("path", "^/data[01]", "").cast("binary")))
+    held = files.withColumn("to", standard_name(F.col("path"))).filter("to.name LIKE '%.gff'").select("to.folder", "to.name").distinct()
+    return files, held.withColumn("md5", F.md5(F.concat(F.lit("/"), F.regexp_replace("name", "_genomic", "")).cast("binary")))
+
+
+def k9_move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happens to each file: moved, dropped as a copy, a conflict, or skipped."""
+    return move_plan(*_placed(spark, sf_dir))
+
+
+def a31_move_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return move_statistics(move_plan(*_placed(spark, sf_dir)))
+
+
+def _report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as report files: a blank first line in some, fields that are missing, a second record that does not count."""
+    rows = table(spark, sf_dir, "label_manifest")
+    path = F.concat(F.lit("/reports/"), F.col("label_id").cast("string"), F.when(F.col("label_id") % 2 == 0, "/GCF_000000001.1").otherwise("/x"), F.lit("/report.jsonl"))
+    organism = F.struct(F.col("organism_name").alias("organismName"), F.when(F.col("label_id") % 7 != 0, (F.col("label_id") % 1000).cast("int")).alias("taxId"))
+    record = F.to_json(F.struct(F.col("assembly_accession").alias("accession"), organism.alias("organism"), F.struct(F.col("strain").alias("assemblyLevel")).alias("assemblyInfo")))
+    lines = F.concat(F.when(F.col("label_id") % 3 == 0, F.array(F.lit(" \t"))).otherwise(F.array().cast("array<string>")), F.array(record, F.lit('{"accession": "second"}')))
+    return rows.select(path.alias("path"), F.posexplode(lines).alias("n", "value")).select("path", (F.col("n") + 1).alias("line_no"), "value")
 
 
 def s9_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(0)).alias("k"))
+    return report_fields(_report_lines(spark, sf_dir))
+
+
+def _scored_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Order lines as search hits, with return flag and line status as profile file, and the models of each file."""
+    size = F.col("l_quantity").cast("int")
+    hits = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("accession"), F.col("l_linenumber").alias("hit_no"), F.concat("l_returnflag", "l_linestatus").alias("profile_file"), (F.col("l_extendedprice").cast("double") / 500).alias("raw_score"), F.col("l_tax").cast("double").alias("bias"), (F.col("l_discount").cast("double") * 2e-9).alias("seq_evalue"), (F.col("l_tax").cast("double") * 2e-9).alias("dom_evalue"),
+        F.lit(1).alias("hmm_from"), (size + 25).alias("hmm_to"), F.lit(70).alias("hmm_len"), F.lit(10).alias("env_from"), (size + 30).alias("env_to"), F.when(F.col("l_linenumber") == 7, 0).otherwise(75).alias("target_len"),
+    )
+    models = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("profile_file"), ((F.col("l_returnflag") == "A") | (F.col("l_linenumber") < 7)).alias("has_trusted_cutoff")).distinct()
+    return hits, models
+
+
+def pr5_hit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = with_scores(_scored_hits(spark, sf_dir)[0], bias_corrected=False)
+    return got.select("accession", "hit_no", F.round("effective_score", 6).alias("effective_score"), "query_cov", "target_cov")
+
+
+def f4_passing_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits within score, e-value and coverage thresholds, with trusted cutoffs where all models of a file have one."""
+    hits, models = _scored_hits(spark, sf_dir)
+    return passing_hits(with_scores(hits), Alignment(), models).select("accession", "hit_no", "profile_file")
+
+
+def f6_trusted_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trusted_profiles(_scored_hits(spark, sf_dir)[1])
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The accessions of the labels, and files of which every second label has a protein and every third an annotation file."""
+    rows = table(spark, sf_dir, "label_manifest").select("label_id", F.coalesce("assembly_accession", F.lit("")).alias("value"))
+    ends = F.array_compact(F.array(F.when(F.col("label_id") % 2 == 0, "_protein.faa"), F.when(F.col("label_id") % 3 == 0, "_genomic.gff"), F.when(F.col("label_id") % 5 == 0, ".zip")))
+    files = rows.select("value", F.explode(ends).alias("end")).select(F.concat(F.lit("/in/"), "value", "end").alias("path"), F.lit(0).alias("root_priority"))
+    return distinct_in_order(accession_list(rows.withColumnRenamed("label_id", "line_no"), strict=False)[0]), best_files(files)
+
+
+def f15_missing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_inputs(*_inputs(spark, sf_dir))
+
+
+def f14_runnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed, files = _inputs(spark, sf_dir)
+    return runnable(listed, files, missing_inputs(listed, files)).select("accession")
+
+
+def a30_missing_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_triplets(best_files(_paths(spark, sf_dir)))
+
+
+def a3_match_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names behind a3_match_stats, whole."""
+    return L.match_lists(*_alias_inputs(spark, sf_dir), ["accession"]).drop("accession")
+
+
+def t6_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table of `GenomeFeaturizer` per genome: some of each block."""
+    genomes, hits = _event_hits(spark, sf_dir)
+    kind = F.when(F.col("accession") % 4 == 0, "even").when(F.col("accession") % 4 == 1, None).otherwise("odd")
+    genomes = genomes.withColumns({"phylum": kind, "genome_size": F.col("accession").cast("double")})
+    got = X.GenomeFeaturizer(numeric_columns=("genome_size",)).fit_transform(genomes, hits, C.with_types(_rolled(spark, sf_dir)))
+    picked = ("pfam_tfidf_nifH", "tax_phylum_even", "tax_phylum_unknown", "tax_phylum_infrequent", "tax_genus_unknown", "meta_num_genome_size")
+    return got.select("accession", "status", "marker_core_nifH_count", "clusters_found", *[F.round(c, 6).alias(c) for c in picked], F.lit(len(got.columns)).alias("n_columns"))
 
 
 def _event_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    hits = event_loci(spark, sf_dir).select("accession", "gene_family", F.col("value").alias("effective_score"), (F.col("value") / 1000).alias("seq_evalue")).filter("accession <> 3")
-    return event_loci(spark, sf_dir).select("accession").distinct(), hits
+    hits = event_loci(spark, sf_dir).select("accession", "gene_family", F.col("value").alias("effective_score"), (F.col("value") / 1000).alias("seq_evalue"))
+    return event_loci(spark, sf_dir).select("accession").distinct().unionAll(spark.range(10, 12).select(F.col("id").alias("accession"))), hits
 
 
 def a6_marker_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +325,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         w1_gap_clusters, a4_cluster_rollup, a5_strand_switches, pr7_truncation_side, pr9_cluster_type, f7_valid_clusters, pr12_capability_score, a32_batch_summary, k6_report_projection, a13_overlap_resolution, j1_alias_resolution, j5_unmatched_hits, a3_match_stats,
-        s8_annotation_loci, f5_alias_builder, f3_attribute_parse, s5_best_candidate, pr19_classify, s1_list_scan, k9_md5_dedup, s9_json_report, a6_marker_pivot, a9_cluster_features, t1_tfidf, t1_tfidf_weights, t2_onehot_min_freq, t3_impute_scale, x_session_batches, x_stream_sessions,
+        s8_annotation_loci, f5_alias_builder, f3_attribute_parse, s5_best_candidate, pr19_classify, s1_list_scan, k9_move_plan, a31_move_statistics, s9_json_report, pr5_hit_scores, f4_passing_hits, f6_trusted_profiles, f14_runnable, f15_missing_inputs, a30_missing_triplets, a3_match_lists, t6_feature_matrix, a6_marker_pivot, a9_cluster_features, t1_tfidf, t1_tfidf_weights, t2_onehot_min_freq, t3_impute_scale, x_session_batches, x_stream_sessions,
     )
 }
 
@@ -269,7 +352,7 @@ _GENOMES = """genomes AS (SELECT DISTINCT user_id % 10 AS accession FROM events
 _SCORED = f"""{_CLUSTERS}, {_GENOMES},
 scored AS (SELECT g.accession, CASE WHEN g.accession = 11 THEN 'FAILED' ELSE 'SUCCESS' END AS status, count(c.no) AS clusters_found,
   coalesce(max(35.0 * list_contains(families, 'nifH')::INT + 35.0 * list_contains(families, 'nifD')::INT + 30.0 * list_contains(families, 'nifK')::INT), 0)::DOUBLE AS confidence_score_percent
-  FROM genomes g LEFT JOIN (SELECT * FROM clusters WHERE seqid % 3 <> 0 OR accession > 4) c USING (accession) GROUP BY ALL)"""
+  FROM genomes g LEFT JOIN clusters c USING (accession) GROUP BY ALL)"""
 _ALIASES = """
 hits AS (SELECT event_id, 'P' || (user_id % 100) AS p FROM events),
 direct AS (SELECT s_suppkey, 'P' || (s_suppkey % 30) AS p FROM supplier),
@@ -282,8 +365,23 @@ _PATHS = """
 paths AS (SELECT DISTINCT accession AS acc, tax_id % 2 AS root, tax_id % 5 = 0 AS up, tax_id % 11 AS kind,
   '/data' || (tax_id % 2) || '/' || CASE WHEN tax_id % 5 = 0 THEN 'up/' || accession || '/' ELSE '' END || CASE WHEN tax_id % 5 = 0 THEN 'file' ELSE accession END ||
   ['_protein.faa', '_genomic.gff', '_genomic.fna', '.FASTA', '_cds_from_genomic.fna', '.gff3', '.zip', '_md5sum.txt', '.faa', '_assembly_report.jsonl', '_protein.faa.gz'][tax_id % 11 + 1] AS path
-  FROM assembly_metadata WHERE accession IS NOT NULL AND tax_id IS NOT NULL),
+  FROM (SELECT coalesce(accession, 'none') AS accession, coalesce(tax_id, 0) AS tax_id FROM assembly_metadata)),
 found AS (SELECT *, nullif(regexp_extract(path, 'GC[AF]_[0-9]+\\.[0-9]+'), '') AS accession FROM paths)"""
+_PLAN = f"""{_PATHS}, f AS (SELECT *, string_split(path, '/')[-1] AS file FROM found),
+named AS (SELECT path, md5(path[7:]) AS digest, CASE WHEN kind = 6 THEN 'zip' WHEN accession IS NULL THEN NULL WHEN kind IN (7, 9) THEN 'metadata' ELSE 'genomes' END AS folder,
+  CASE WHEN kind = 6 THEN coalesce(accession || '.zip', file) WHEN accession IS NOT NULL THEN accession || ['_protein.faa', '_genomic.gff', '_genomic.fna', '_genomic.fna', '_genomic.fna', '_genomic.gff', '', '_md5sum.txt', '_protein.faa', '_assembly_report.jsonl', '_protein.faa.gz'][kind + 1] END AS name FROM f),
+held AS (SELECT DISTINCT folder, name, md5('/' || replace(name, '_genomic', '')) AS old FROM named WHERE name LIKE '%.gff'),
+plan AS (SELECT path, n.folder, n.name, CASE WHEN n.name IS NULL THEN 'skip' WHEN old IS NULL AND row_number() OVER w = 1 THEN 'move' WHEN coalesce(old, first(digest) OVER w) = digest THEN 'drop' ELSE 'conflict' END AS action
+  FROM named n LEFT JOIN held h ON h.folder = n.folder AND h.name = n.name WINDOW w AS (PARTITION BY n.folder, n.name ORDER BY path))"""
+_HITS = """
+hits AS (SELECT l_orderkey AS accession, l_linenumber AS hit_no, l_returnflag || l_linestatus AS profile_file, l_extendedprice::DOUBLE / 500 AS raw_score, l_tax::DOUBLE AS bias, l_discount::DOUBLE * 2e-9 AS seq_evalue, l_tax::DOUBLE * 2e-9 AS dom_evalue,
+  round((l_quantity::INT + 25) / 70.0::DOUBLE, 4) AS query_cov, CASE WHEN l_linenumber = 7 THEN 0.0::DOUBLE ELSE round((l_quantity::INT + 21) / 75.0::DOUBLE, 4) END AS target_cov FROM lineitem),
+trusted AS (SELECT l_returnflag || l_linestatus AS profile_file, bool_and(l_returnflag = 'A' OR l_linenumber < 7) AS use_trusted FROM lineitem GROUP BY 1)"""
+_TRIPLETS = f"""{_PATHS}, kinds AS (SELECT accession, bool_or(kind IN (0, 8)) AS faa, bool_or(kind IN (1, 5)) AS gff, bool_or(kind IN (2, 3)) AS fna FROM found WHERE accession IS NOT NULL AND kind IN (0, 8, 1, 5, 2, 3) GROUP BY accession)"""
+_INPUTS = f"""
+kinds AS (SELECT regexp_extract(assembly_accession, 'GC[AF]_[0-9]+\\.[0-9]+') AS accession, bool_or(label_id % 2 = 0) AS faa, bool_or(label_id % 3 = 0) AS gff FROM label_manifest WHERE regexp_matches(assembly_accession, 'GC[AF]_[0-9]+\\.[0-9]+') GROUP BY 1),
+v AS (SELECT regexp_replace(assembly_accession, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS accession FROM label_manifest),
+listed AS (SELECT DISTINCT accession FROM v WHERE regexp_full_match(accession, 'GC[AF]_[0-9]+\\.[0-9]+'))"""
 _WORDS = """
 n AS (SELECT count(*) AS docs FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS term FROM documents) GROUP BY ALL),
@@ -327,10 +425,31 @@ SELECT path, CASE WHEN kind = 6 THEN 'zip' WHEN accession IS NULL THEN NULL WHEN
   kind IN (0, 1, 2, 4) AS is_canonical FROM f""",
     "s1_list_scan": """WITH v AS (SELECT label_id, regexp_replace(assembly_accession, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS accession FROM label_manifest)
 SELECT accession, min(label_id) AS ordinal FROM v WHERE regexp_full_match(accession, 'GC[AF]_[0-9]+\\.[0-9]+') GROUP BY accession""",
-    "k9_md5_dedup": "SELECT md5(text) AS digest, count(*) AS n_copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
-    "s9_json_report": "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events",
-    "a6_marker_pivot": f"""WITH {_LOCI}, m AS (SELECT accession, {_MARK("nifH")}, {_MARK("nifD")}, {_MARK("nifK")}, count(*) FILTER (family = 'anfG') AS x_anfG, count(*) FILTER (family = 'vnfG') AS x_vnfG FROM loci WHERE accession <> 3 GROUP BY ALL),
-g AS (SELECT DISTINCT accession FROM loci)
+    "k9_move_plan": f"WITH {_PLAN} SELECT path, folder, name, action FROM plan",
+    "a31_move_statistics": f"WITH {_PLAN} SELECT action, coalesce(folder, '') AS folder, count(*) AS n_files FROM plan GROUP BY ALL",
+    "s9_json_report": f"""SELECT '/reports/' || label_id || CASE WHEN label_id % 2 = 0 THEN '/GCF_000000001.1' ELSE '/x' END || '/report.jsonl' AS path, CASE WHEN assembly_accession IS NOT NULL THEN assembly_accession WHEN label_id % 2 = 0 THEN 'GCF_000000001.1' END AS accession,
+  coalesce(organism_name, 'Unknown') AS organism_name, CASE WHEN label_id % 7 <> 0 THEN label_id % 1000 ELSE 0 END AS tax_id, coalesce(strain, 'Unknown') AS assembly_level FROM label_manifest""",
+    "pr5_hit_scores": f"WITH {_HITS} SELECT accession, hit_no, round(raw_score + bias, 6) AS effective_score, query_cov, target_cov FROM hits",
+    "f4_passing_hits": f"WITH {_HITS} SELECT accession, hit_no, profile_file FROM hits JOIN trusted USING (profile_file) WHERE (use_trusted OR raw_score >= 80) AND seq_evalue <= 1e-10 AND dom_evalue <= 1e-10 AND query_cov >= 0.7 AND target_cov >= 0.7",
+    "f6_trusted_profiles": f"WITH {_HITS} SELECT profile_file, use_trusted FROM trusted",
+    "f14_runnable": f"WITH {_INPUTS} SELECT accession FROM listed JOIN kinds USING (accession) WHERE faa AND gff",
+    "f15_missing_inputs": f"""WITH {_INPUTS} SELECT accession, concat_ws(' and ', CASE WHEN NOT coalesce(faa, false) THEN 'no protein file' END, CASE WHEN NOT coalesce(gff, false) THEN 'no annotation file' END) AS reason
+FROM listed LEFT JOIN kinds USING (accession) WHERE NOT coalesce(faa AND gff, false)""",
+    "a30_missing_triplets": f"WITH {_TRIPLETS} SELECT accession, faa, gff, fna FROM kinds WHERE NOT (faa AND gff AND fna)",
+    "a3_match_lists": f"""WITH {_ALIASES} SELECT DISTINCT 'unmatched_id' AS kind, p AS name FROM hits WHERE p NOT IN (SELECT p FROM usable)
+UNION ALL SELECT 'multi_match_alias', p FROM usable GROUP BY p HAVING count(*) > 1 UNION ALL SELECT 'ambiguous_alias', p FROM loose GROUP BY p HAVING count(*) > 1""",
+    "t6_feature_matrix": f"""WITH {_CLUSTERS}, g AS (SELECT DISTINCT accession FROM loci UNION ALL SELECT unnest([10, 11])),
+tf AS (SELECT accession, family, count(*) AS tf FROM loci WHERE family IS NOT NULL GROUP BY ALL),
+idf AS (SELECT family, ln((1 + (SELECT count(*) FROM g))::DOUBLE / (1 + count(*))) + 1 AS idf FROM tf GROUP BY family),
+w AS (SELECT accession, family, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (family)),
+x AS (SELECT accession, sum(w) FILTER (family = 'nifH') / sqrt(sum(w * w)) AS x FROM w GROUP BY accession),
+k AS (SELECT accession, CASE WHEN accession % 4 = 0 THEN 'even' WHEN accession % 4 = 1 THEN 'unknown' ELSE 'odd' END AS kind FROM g)
+SELECT g.accession, 'SUCCESS' AS status, (SELECT count(*) FROM loci l WHERE l.accession = g.accession AND family = 'nifH') AS "marker_core_nifH_count", (SELECT count(*) FROM clusters c WHERE c.accession = g.accession) AS clusters_found,
+  round(coalesce(x, 0), 6) AS "pfam_tfidf_nifH", (kind = 'even')::INT::DOUBLE AS tax_phylum_even, (kind = 'unknown')::INT::DOUBLE AS tax_phylum_unknown, 0.0::DOUBLE AS tax_phylum_infrequent, 1.0::DOUBLE AS tax_genus_unknown,
+  round((g.accession - avg(g.accession) OVER ()) / stddev_pop(g.accession) OVER (), 6) AS meta_num_genome_size,
+  2 + 25 + 8 + (SELECT count(*) FROM idf) + 4 + 4 * 2 + 1 AS n_columns FROM g LEFT JOIN x USING (accession) JOIN k USING (accession)""",
+    "a6_marker_pivot": f"""WITH {_LOCI}, m AS (SELECT accession, {_MARK("nifH")}, {_MARK("nifD")}, {_MARK("nifK")}, count(*) FILTER (family = 'anfG') AS x_anfG, count(*) FILTER (family = 'vnfG') AS x_vnfG FROM loci GROUP BY ALL),
+g AS (SELECT DISTINCT accession FROM loci UNION ALL SELECT unnest([10, 11]))
 SELECT accession, {_MARKS("nifH", "PF00142")}, {_MARKS("nifD", "PF00148")}, {_MARKS("nifK", "PF02826")}, coalesce(x_anfG, 0) AS marker_aux_anfG_count, coalesce(x_vnfG, 0) AS marker_aux_vnfG_count,
   0::BIGINT AS marker_aux_fixA_count, 0::BIGINT AS marker_aux_fixB_count, 0::BIGINT AS marker_aux_fixC_count, 0::BIGINT AS marker_aux_fixX_count,
   round(((coalesce(n_nifH, 0) > 0)::INT + (coalesce(n_nifD, 0) > 0)::INT + (coalesce(n_nifK, 0) > 0)::INT) / 3.0::DOUBLE, 6) AS completeness FROM g LEFT JOIN m USING (accession)""",

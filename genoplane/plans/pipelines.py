@@ -38,7 +38,8 @@ def annotate(genomes: DataFrame, hits: DataFrame, loci: DataFrame, settings: Set
     good = passing_hits(hits, settings.alignment, models)
     order = [("effective_score", True), ("dom_evalue", False), ("query_cov", True), ("env_from", False), ("env_to", False), ("gene_family", False)]
     kept = resolve_overlaps(good, ["accession", "profile_file", "target_protein"], "env_from", "env_to", order, settings.alignment.max_overlap_fraction)
-    row = F.xxhash64("accession", "profile_file", "target_protein", "gene_family", "env_from", "env_to", "effective_score")
+    # what names a hit of a genome: two with all of these equal are one
+    row = F.struct("profile_file", "target_protein", "gene_family", "env_from", "env_to", "effective_score")
     kept = kept.withColumn("hit_row", row)
     listed = genomes.select("accession").distinct()
     bare = listed.join(loci.select("accession").distinct(), "accession", "left_anti").select("accession", F.lit(NO_LOCI).alias("error"))

@@ -111,6 +111,28 @@ def word_sql(c: str) -> str:
     return rf"nullif(regexp_replace({s}, '[^\p{{L}}\p{{N}}]+', '', 'g'), '')"
 
 
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)).replace("＇", "")
+_PLAIN = "".join(chr(0x21 + i) for i in range(94)).replace("'", "")
+
+
+def visible_sql(c: str) -> str:
+    """DuckDB's form of `visible`."""
+    return rf"lower(translate(regexp_replace({c}, '\p{{Cf}}', '', 'g'), '{_WIDE}АВСЕНКМОРТХаеорсх', '{_PLAIN}ABCEHKMOPTXaeopcx'))"
+
+
+def genome_sql(c: str) -> str:
+    """DuckDB's form of `genome_key`, for one scalar `c` that is already made visible."""
+    number = rf"coalesce(nullif(regexp_extract({c}, '(?:gc[af]|assembly|accession)[^0-9a-z]*((?:[0-9o]{{1,3}}[^0-9a-z.]){{2}}[0-9o]{{3}})(?:$|[^0-9])', 1), ''), regexp_extract({c}, '(?:gc[af]|assembly|accession)[^0-9a-z]*([0-9o]+)', 1))"
+    named = rf"regexp_replace(regexp_replace({c}, '(\S)\s*[\(\[].*$', '\1'), '(^|[^a-z])(nr|no|num|number)($|[^a-z])', '\1\3', 'g')"
+    unzero = lambda x: f"CASE WHEN ltrim({x}, '0') = '' AND {x} <> '' THEN '0' ELSE ltrim({x}, '0') END"
+    digits = unzero(f"translate(regexp_replace({number}, '[^0-9o]', '', 'g'), 'o', '0')")
+    name, count = f"regexp_replace({named}, '[^a-z]', '', 'g')", f"regexp_extract({named}, '([0-9]+)', 1)"
+    return rf"""CASE WHEN {c} IS NULL OR NOT regexp_matches({c}, '[^\s\p{{Z}}]') THEN NULL
+  WHEN {number} <> '' THEN 'acc:' || ({digits})
+  WHEN {name} <> '' AND {count} <> '' THEN 'set:' || {name} || ':' || ({unzero(count)})
+  ELSE 'raw:' || regexp_replace({c}, '[^\p{{L}}\p{{N}}]+', '', 'g') END"""
+
+
 SQL = {
     "p2_found": f"WITH {_P2_REFS} SELECT table_name, row_id FROM orphans",
     "p2_orphans_by_month": f"""WITH {_P2_REFS},

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import io
+import os
+import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genoplane.functions.identifiers import ACCESSION, accession_in_path, file_kind, is_canonical_name
+from genoplane.functions.identifiers import ACCESSION, accession_in_path, file_kind, is_canonical_name, standard_name, stripped
 from genoplane.functions.text import is_blank
+from genoplane.operators.hits import MAX_PROFILE_BYTES
 from genoplane.operators.loci import annotation_loci
+from genoplane.session import cut_lineage
 
 REPORT_SCHEMA = T.StructType([
     T.StructField("accession", T.StringType()), T.StructField("organism", T.StructType([T.StructField("organismName", T.StringType()), T.StructField("taxId", T.IntegerType())])),
@@ -26,10 +31,34 @@ class SourceError(ValueError):
     """An input that cannot be used as a whole."""
 
 
+def _numbered(spark: SparkSession, path: str | Sequence[str], separator: str | None = None) -> DataFrame:
+    """(path, line_no, value) of text files, read in splits; bytes that are no UTF-8 are replaced.
+
+    Lines are numbered within a split as they are read; the splits of a file, of which there are few, are added up
+    to the number of lines before each, so a file of any size is read by many tasks.
+    """
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    name = F.regexp_replace("_metadata.file_path", "^file:/*", "file:/")
+    rows = reader.text(path if isinstance(path, str) else list(path)).select(name.alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.make_valid_utf8("value").alias("value"))
+    blocks = rows.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    numbered = rows.join(blocks, ["path", "_block"]).withColumn("line_no", F.col("_at") - F.col("_first") + F.col("_before") + 1)
+    return numbered.select("path", "line_no", "value")
+
+
 def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, line_no, value) of text files. Lines of a file keep their order; a file is one read unit (annotations are MBs)."""
-    files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path", F.decode("content", "UTF-8").alias("text"))
-    return files.select("path", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("n", "value")).select("path", (F.col("n") + 1).alias("line_no"), "value")
+    """(path, line_no, value) of text files, from 1; lines end with a line feed, a carriage return or both."""
+    return _numbered(spark, path)
+
+
+def list_argument(spark: SparkSession, given: str | Sequence[str]) -> DataFrame:
+    """(line_no, value) of a list given as one text with commas, blanks or line feeds between its items, or as a sequence.
+
+    The frame is made on the driver from what the caller typed. Nothing given is an empty list.
+    """
+    items = given.replace(",", " ").split() if isinstance(given, str) else list(given)
+    return spark.createDataFrame([(i, str(x)) for i, x in enumerate(items, 1)], "line_no bigint, value string")
 
 
 def accession_list(lines: DataFrame, comments: str = "anywhere", check: bool = True, strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +68,7 @@ def accession_list(lines: DataFrame, comments: str = "anywhere", check: bool = T
     after white space (``anywhere``) or in the first column (``first``). With `check`, a value that is no accession
     is a reject; `strict` then refuses the whole list, and also an empty one.
     """
-    value = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
+    value = stripped(F.col("value"))
     mark = F.col("v") if comments == "anywhere" else F.col("value")
     rows = lines.withColumn("v", value).filter((F.col("v") != "") & ~mark.startswith("#"))
     good = F.col("v").rlike(f"^(?:{ACCESSION})$") if check else F.lit(True)
@@ -107,20 +136,38 @@ def runnable(listed: DataFrame, files: DataFrame, failures: DataFrame) -> DataFr
 
 
 def protein_sequences(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, accession, record_no, protein_id, description, sequence) of FASTA files; letters upper case, gaps in lines dropped."""
-    files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
-    text = files.select("path", F.decode("content", "UTF-8").alias("text"))
-    parts = text.select("path", F.posexplode(F.slice(F.split(F.concat(F.lit("\n"), "text"), r"[\r\n]+>"), 2, 1_000_000_000)).alias("record_no", "body"))
+    """(path, accession, record_no, protein_id, description, sequence) of FASTA files; letters upper case, gaps in lines dropped.
+
+    Files are read in splits at the ``>`` of a line's beginning, so one file may be of any size and no task holds it.
+    Records are numbered in order, from 0 in a file that begins with one; a text before the first record is left out.
+    """
+    rows = _numbered(spark, path, "\n>")
+    opens = F.col("value").startswith(">")
+    parts = rows.filter((F.col("line_no") > 1) | opens).select("path", (F.col("line_no") - 1).alias("record_no"), F.when((F.col("line_no") == 1) & opens, F.regexp_replace("value", "^>", "")).otherwise(F.col("value")).alias("body"))
     head = F.regexp_extract("body", r"^([^\r\n]*)", 1)
     sequence = F.upper(F.regexp_replace(F.regexp_replace("body", r"^[^\r\n]*", ""), r"\s+", ""))
-    return parts.select("path", accession_in_path(F.col("path")).alias("accession"), "record_no", F.regexp_extract(head, r"^(\S*)", 1).alias("protein_id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), sequence.alias("sequence"))
+    return parts.select("path", accession_in_path(F.col("path")).alias("accession"), "record_no", F.regexp_extract(head, r"^(\S*)", 1).alias("protein_id"), stripped(F.regexp_replace(head, r"^\S*", "")).alias("description"), sequence.alias("sequence"))
 
 
 def valid_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, is_valid): the first record has an id and a sequence. The file source skips empty files: they have no row."""
-    files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path", "length")
-    first = protein_sequences(spark, path).filter("record_no = 0 AND protein_id <> '' AND sequence <> ''").select("path", F.lit(True).alias("has_record"))
-    return files.join(first, "path", "left").select("path", ((F.col("length") > 0) & F.coalesce("has_record", F.lit(False))).alias("is_valid"))
+    """(path, is_valid) of all files, empty ones included: the first record has an id and a sequence."""
+    files = _every_file(spark, path)
+    first = protein_sequences(spark, path).groupBy("path").agg(F.min_by(F.struct("protein_id", "sequence"), "record_no").alias("r")).filter("r.protein_id <> '' AND r.sequence <> ''")
+    return files.join(first.select("path", F.lit(True).alias("good")), "path", "left").select("path", F.coalesce("good", F.lit(False)).alias("is_valid"))
+
+
+def _every_file(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(path, length) of the files of a glob or folder, those without a byte too, which the file sources leave out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for one in [path] if isinstance(path, str) else path:
+        root = jvm.org.apache.hadoop.fs.Path(one)
+        fs = root.getFileSystem(conf)
+        for status in fs.globStatus(root) or []:
+            for s in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+                if s.isFile() and not s.getPath().getName().startswith((".", "_")):
+                    rows.append((s.getPath().toString(), s.getLen()))
+    return spark.createDataFrame(rows, "path string, length bigint").distinct()
 
 
 def annotation_files(spark: SparkSession, path: str | Sequence[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -132,6 +179,8 @@ def profile_files(spark: SparkSession, folder: str, exclude: str = "pfam-a") ->
     """Name and content of the *.hmm files of a folder by name, without full-library files; an error when there are none. Profiles are MBs."""
     name = F.substring_index("path", "/", -1)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.hmm").load(folder).filter(~F.lower(name).contains(exclude))
+    if (size := found.agg(F.sum("length")).first()[0] or 0) > MAX_PROFILE_BYTES:
+        raise SourceError(f"profiles of {size} bytes in {folder}")
     out = [(r["name"], bytes(r["content"])) for r in found.select(name.alias("name"), "content").orderBy("name").collect()]
     if not out:
         raise SourceError(f"no profile in {folder}")
@@ -190,8 +239,6 @@ def move_plan(files: DataFrame, existing: DataFrame) -> DataFrame:
     place. conflict: another content is; nothing is deleted then. Of several files for one free place the first
     by path moves and the others are compared with it.
     """
-    from genoplane.functions.identifiers import standard_name
-
     named = files.withColumn("to", standard_name(F.col("path"))).select("*", F.col("to.folder").alias("folder"), F.col("to.name").alias("name")).drop("to")
     there = existing.select("folder", "name", F.col("md5").alias("old_md5"))
     j = named.join(there, ["folder", "name"], "left")
@@ -207,3 +254,52 @@ def missing_triplets(files: DataFrame) -> DataFrame:
     """(accession, faa, gff, fna) of the accessions (accession, file_type) that lack one of the three kinds."""
     has = {k: F.bool_or(F.col("file_type") == k) for k in ("faa", "gff", "fna")}
     return files.groupBy("accession").agg(*[c.alias(k) for k, c in has.items()]).filter("NOT (faa AND gff AND fna)")
+
+
+def move_statistics(plan: DataFrame) -> DataFrame:
+    """(action, folder, n_files) of a plan; files of no known kind have an empty folder."""
+    return plan.groupBy("action", F.coalesce("folder", F.lit("")).alias("folder")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def carry_out(spark: SparkSession, plan: DataFrame, root: str, copy: bool = False, dry_run: bool = False) -> DataFrame:
+    """Do what a plan says under `root` and return (path, folder, name, action, status), as written by the tasks that did it.
+
+    ``move`` renames a file, or with `copy` copies its bytes; ``drop`` deletes a copy whose content is in place (kept with
+    `copy`); conflicts and unknown files are left alone. A place that is taken meanwhile is not overwritten: its status
+    is ``taken``; an error of one file is its status. With `dry_run` nothing is touched and the status is ``planned``.
+    Files are local or on a mounted share, as the tools are that read them.
+    """
+    base = root.removeprefix("file://")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(status=[_one_file(*row, base, copy, dry_run) for row in zip(batch["path"], batch["folder"], batch["name"], batch["action"], strict=True)])
+
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "folder", "name", "action", "status")])
+    return cut_lineage(plan.select("path", "folder", "name", "action").repartition("path").mapInPandas(run, schema), "moved")
+
+
+def _one_file(path: str, folder: str | None, name: str | None, action: str, base: str, copy: bool, dry_run: bool) -> str:
+    if action not in ("move", "drop"):
+        return "left"
+    if dry_run:
+        return "planned"
+    source = Path(path.removeprefix("file://").removeprefix("file:"))
+    try:
+        if action == "drop":
+            if not copy:
+                source.unlink(missing_ok=True)
+            return "kept" if copy else "deleted"
+        target = Path(base, folder, name)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        if target.exists():  # a task that runs again finds its own work
+            return "done" if not source.exists() else "taken"
+        if copy:
+            part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+            shutil.copyfile(source, part)
+            os.replace(part, target)
+        else:
+            os.replace(source, target)
+        return "done"
+    except OSError as e:
+        return f"{type(e).__name__}: {e.strerror}"

@@ -6,6 +6,7 @@ import json
 import os
 import tempfile
 from collections.abc import Mapping
+from datetime import datetime, timezone
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame
@@ -66,8 +67,12 @@ def write_report(report: Mapping, path: str, rows: Mapping[str, DataFrame] | Non
 
 
 def run_metadata(features: DataFrame, requested: int, failures: DataFrame, path: str) -> dict:
-    """Counts of a feature run, returned and written as JSON with all its failures."""
-    report = {"requested": requested, "rows": features.count(), "columns": len(features.columns), "failed": failures.count()}
+    """Counts, names of the features and time of a feature run, returned and written as JSON with all its failures."""
+    names = [c for c in features.columns if c not in ("accession_id", "accession", "status")]
+    report = {
+        "requested": requested, "rows": features.count(), "columns": len(features.columns), "failed": failures.count(), "num_features": len(names), "feature_names": names,
+        "generated_at": datetime.now(timezone.utc).isoformat(),
+    }
     write_report(report, path, {"failures": failures.orderBy("accession")})
     return report
 

@@ -1,11 +1,17 @@
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
+from genoplane.functions.text import word_key
 from genoplane.operators.hotkeys import frequent_keys, hot_buckets, key_bucket, per_key_states, salted_join
 from genoplane.operators.orphans import apply_deltas, current_orphans, existence_deltas, orphans_as_of
 from genoplane.operators.ranking import distributed_rank
+from genoplane.operators.wording import read_words
+from genoplane.session import cut_lineage, release, shared_dir
 
 
 def test_rank_and_running_totals_match_a_plain_sort(spark):
@@ -57,7 +63,7 @@ def brute_orphans(refs, held):
     return out
 
 
-def test_orphans_match_brute_force_with_hot_keys_cut_by_day(spark):
+def test_orphans_match_brute_force_with_hot_keys_spread_over_ranges(spark):
     rng = random.Random(5)
     day = lambda: T0 + timedelta(hours=rng.randint(0, 24 * 20))
     key = lambda: rng.choice(["hot", "hot", "a", "b", "c", None])
@@ -84,3 +90,26 @@ def test_state_of_signed_counts_merges_in_any_order(spark):
     assert rows(current_orphans(two)) == rows(current_orphans(other)) == {("b", 1)}
     gone = apply_deltas(two, d(("b", -1)), none)
     assert rows(current_orphans(gone)) == set()
+
+
+def test_words_are_read_by_their_writings_or_row_by_row(spark):
+    rows = spark.createDataFrame([(i, ["A b", " a-B", "(ab)", None, ""][i % 5], "x") for i in range(50)], "id int, w string, c string").repartition(3)
+    for limit in (100, 2):
+        got = read_words(rows, {"key": ("w", word_key), "w": ("w", F.upper), "d": ("c", F.upper)}, limit).collect()
+        assert {(r["id"], r["key"], r["w"], r["d"]) for r in got} == {(i, ["ab", "ab", "ab", None, None][i % 5], ["A B", " A-B", "(AB)", None, ""][i % 5], "X") for i in range(50)}
+    assert read_words(rows.filter("false"), {"key": ("w", word_key)}).collect() == []
+
+
+def test_a_cluster_has_to_name_its_shared_folder(spark, monkeypatch):
+    conf = SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None)
+    context = SimpleNamespace(master="local-cluster[2,1,1024]", getConf=lambda: SimpleNamespace(get=lambda k: None))
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_cut_tables_can_be_released(spark):
+    df = cut_lineage(spark.range(5))
+    path = df._genoplane_path.removeprefix("file://")
+    assert Path(path).exists() and df.count() == 5
+    release(df, None, spark.range(1))
+    assert not Path(path).exists()

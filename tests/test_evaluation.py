@@ -71,6 +71,36 @@ def test_folds_are_sound_and_repeatable(spark):
     assert (counts["training_rows"], counts["validation_rows"]) == (training.count(), validation.count())
 
 
+def test_groups_are_dealt_to_the_fold_with_the_fewest_rows(spark):
+    rng = random.Random(6)
+    for _ in range(200):
+        k, n, c, first = rng.randint(2, 6), rng.randint(1, 9), rng.randint(0, 40), rng.randint(0, 5)
+        loads = [rng.randint(0, 60) for _ in range(k)]
+        got, level = [0] * k, list(loads)
+        for _ in range(c):
+            f = min(range(k), key=lambda f: (level[f], (f - first) % k))
+            got[f], level[f] = got[f] + 1, level[f] + n
+        assert D.level_loads(loads, n, c, first % k) == got
+    rows = [(f"a{g}-{i}", f"g{g}", "positive" if g % 2 else "negative") for g in range(60) for i in range(200 if g < 2 else 90 if g < 6 else g % 5 + 1)]
+    df = spark.createDataFrame(rows, "acc string, grp string, label string")
+    m = D.fold_manifest(df, *COLUMNS, 4, 3)
+    assert all(r["n_violations"] == 0 for r in D.manifest_violations(df, m, *COLUMNS, 4, 3).collect())
+    for r in m.groupBy("repeat", "label").pivot("fold").count().collect():
+        sizes = sorted(r[2:])
+        assert sizes[-1] == 200 or sizes[-1] - sizes[0] <= 90
+    largest = {tuple(r) for r in m.filter("grp IN ('g0', 'g1')").select("repeat", "fold").distinct().collect()}
+    assert len({f for _, f in largest}) > 1
+    assert [tuple(r)[:2] for r in D.sorted_manifest(m, "acc").select("repeat", "fold").collect()] == sorted(tuple(r) for r in m.select("repeat", "fold").collect())
+
+
+def test_sides_of_a_fold_need_rows_of_both_classes(spark):
+    df = grouped(spark)
+    D.check_fold(df.filter("grp <> 'g0'"), df.filter("grp IN ('g0')").unionAll(df.filter("grp = 'g9'").withColumn("grp", F.lit("new"))), "grp", "label")
+    for training, validation in ((df, df.filter("false")), (df, df.filter("label = 'positive'")), (df, df)):
+        with pytest.raises(D.LeakageError):
+            D.check_fold(training, validation, "grp", "label")
+
+
 def test_manifest_checks_find_each_breach(spark):
     df = grouped(spark)
     m = D.fold_manifest(df, *COLUMNS, 4, 1)

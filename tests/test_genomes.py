@@ -146,3 +146,10 @@ def test_settings(tmp_path):
 def test_word_tokens(spark):
     got = spark.createDataFrame([("PF00142.25 b_c É2",), (None,)], "t string").select(X.tokens(F.col("t"))).collect()
     assert got[0][0] == ["PF00142", "25", "b_c", "É2"] and got[1][0] == []
+
+
+def test_keys_lose_white_space_of_any_kind(spark):
+    loci = spark.createDataFrame([("g", 1, ["A"], ["x"]), ("g", 2, ["A"], ["x"])], "accession string, locus_row int, direct_aliases array<string>, inferred_aliases array<string>")
+    hits = spark.createDataFrame([("g", 1, "\tA\n"), ("g", 2, " \r\n"), ("g", 3, "B"), ("g", 4, "B ")], "accession string, hit_row int, target_protein string")
+    assert {(r["hit_row"], r["locus_row"]) for r in L.resolve_hits(hits, loci, ["accession"]).collect()} == {(1, 1), (1, 2)}
+    assert {tuple(r)[1:] for r in L.match_lists(hits, loci, ["accession"]).collect()} == {("unmatched_id", "B"), ("ambiguous_alias", "x"), ("multi_match_alias", "A")}

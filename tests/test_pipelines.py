@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from genoplane.__main__ import main
 from genoplane.config import Alignment, Settings
 from genoplane.operators.features import GenomeFeaturizer
-from genoplane.operators.hits import HIT_SCHEMA, search_proteins
+from genoplane.operators.hits import HIT_SCHEMA, search_genomes, search_proteins
 from genoplane.plans.pipelines import annotate, feature_matrix, predictions
 
 LOCI = "accession string, locus_row int, seqid string, start bigint, end bigint, strand string, protein_id string, locus_tag string, direct_aliases array<string>, inferred_aliases array<string>"
@@ -43,6 +43,28 @@ def test_search_plug_in_keeps_its_columns(spark):
     assert none.columns == HIT_SCHEMA.names and none.count() == 0
 
 
+def test_a_genome_on_which_the_tool_fails_fails_alone(spark):
+    proteins = spark.createDataFrame([("g", "p1", "MKK"), ("bad", "p2", "K"), ("bad", "p3", "!"), (None, "p4", "K")], "accession string, protein_id string, sequence string")
+
+    def opened():
+        def search(sequences, profile):
+            for name, s in sequences:
+                if s == "!":
+                    raise RuntimeError("no protein")
+                yield (name, 9, "fam", 9, 0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 1.0, 1, 9, 1, 9)
+
+        return search
+
+    hits, failures = search_genomes(proteins, [("x.hmm", b"K")], opened)
+    assert {(r["accession"], r["target_protein"]) for r in hits.collect()} == {("g", "p1"), (None, "p4")}
+    assert [tuple(r) for r in failures.collect()] == [("bad", "RuntimeError: no protein")]
+
+
+def test_unusable_inputs_give_exit_code_2(tmp_path):
+    assert main(["label", "--features", f"{tmp_path}/none.parquet", "--labels", f"{tmp_path}/none.csv", "--output", f"{tmp_path}/o.parquet", "--training-output", f"{tmp_path}/t.parquet", "--report", f"{tmp_path}/r.json"]) == 2
+    assert main(["predict", "--accessions", f"file://{tmp_path}/none.txt", "--hits", "x", "--annotations", "y", "--output", f"{tmp_path}/out"]) == 2
+
+
 def test_command_line(spark, tmp_path):
     spark.createDataFrame([("GCF_000000001.1", 1.0)], "accession_id string, f double").write.parquet(f"{tmp_path}/f.parquet")
     bad = tmp_path / "l.csv"
@@ -55,3 +77,7 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([hit("GCF_1.1", "A", "PF00142")], HIT_SCHEMA).withColumn("accession", F.col("accession")).coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{tmp_path}/hits")
     assert main(["predict", "--accessions", f"file://{tmp_path}/acc.txt", "--hits", f"{tmp_path}/hits", "--annotations", f"file://{tmp_path}/GCF_1.1.gff", "--output", f"{tmp_path}/out"]) == 1
     assert sorted(json.loads(x)["status"] for p in (tmp_path / "out" / "predictions.json").glob("*.json") for x in p.read_text().splitlines()) == ["FAILED", "SUCCESS"]
+    assert main(["features", "--accessions", f"file://{tmp_path}/acc.txt", "--hits", f"{tmp_path}/hits", "--annotations", f"file://{tmp_path}/GCF_1.1.gff", "--output", f"{tmp_path}/m.parquet", "--metadata", f"{tmp_path}/m.json"]) == 1
+    meta = json.loads((tmp_path / "m.json").read_text())
+    assert (meta["rows"], meta["failed"], meta["requested"]) == (1, 1, 2) and "tax_phylum_unknown" in meta["feature_names"] and meta["generated_at"]
+    assert spark.read.parquet(f"{tmp_path}/m.parquet").first()["tax_genus_unknown"] == 1.0

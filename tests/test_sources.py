@@ -46,13 +46,64 @@ def test_sequences_annotations_and_reports(spark, tmp_path):
     (d / "report.jsonl").write_text('\n{"accession": "GCF_000000007.1", "organism": {"organismName": "O"}}\n{"accession": "other"}\n')
     got = R.protein_sequences(spark, f"file://{d}/protein.faa").orderBy("record_no").collect()
     assert [(r["protein_id"], r["description"], r["sequence"], r["accession"]) for r in got] == [("WP_1.1", "nitrogenase [X]", "MKALL", "GCF_000000007.1"), ("WP_2.1", "", "MM", "GCF_000000007.1")]
-    assert {r["path"].split("/")[-1]: r["is_valid"] for r in R.valid_fasta(spark, f"file://{d}/*.faa").collect()} == {"protein.faa": True, "odd.faa": False}
+    assert {r["path"].split("/")[-1]: r["is_valid"] for r in R.valid_fasta(spark, f"file://{d}/*.faa").collect()} == {"protein.faa": True, "odd.faa": False, "empty.faa": False}
     loci, rejects = R.annotation_files(spark, f"file://{d}/genomic.gff")
     assert [(r["accession"], r["protein_id"], r["end"]) for r in loci.collect()] == [("GCF_000000007.1", "WP_1.1", 30)] and rejects.count() == 0
     report = R.report_fields(R.numbered_lines(spark, f"file://{d}/report.jsonl")).first()
     assert (report["organism_name"], report["tax_id"], report["assembly_level"]) == ("O", 0, "Unknown")
 
 
+def test_large_files_are_read_in_splits(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(4000)]
+    (tmp_path / "a.txt").write_text("\r\n".join(lines))
+    (tmp_path / "b.txt").write_text("\n".join(reversed(lines)) + "\n")
+    (tmp_path / "p.faa").write_text("preamble\n" + "".join(f">P{i} d\r\nMK\r\nL{'A' * (i % 40)}\n" for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = R.numbered_lines(spark, [f"file://{tmp_path}/a.txt", f"file://{tmp_path}/b.txt"])
+        assert got.rdd.getNumPartitions() > 1
+        for name, expected in (("a.txt", lines), ("b.txt", lines[::-1])):
+            rows = sorted((r["line_no"], r["value"]) for r in got.filter(F.col("path").endswith(name)).collect())
+            assert rows == list(enumerate(expected, 1))
+        proteins = R.protein_sequences(spark, f"file://{tmp_path}/p.faa").orderBy("record_no").collect()
+        assert [(r["record_no"], r["protein_id"], r["sequence"]) for r in proteins] == [(i + 1, f"P{i}", "MKL" + "A" * (i % 40)) for i in range(2000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_bytes_that_are_no_text_are_replaced(spark, tmp_path):
+    (tmp_path / "GCF_1.1.gff").write_bytes(b"c\tRefSeq\tCDS\t1\t30\t.\t+\t0\tID=cds-A;protein_id=A;Note=\xff\n")
+    (tmp_path / "GCF_2.1.faa").write_bytes(b">A \xfe\nMK\n")
+    assert R.annotation_files(spark, f"file://{tmp_path}/GCF_1.1.gff")[0].first()["protein_id"] == "A"
+    r = R.protein_sequences(spark, f"file://{tmp_path}/GCF_2.1.faa").first()
+    assert (r["protein_id"], r["description"], r["sequence"]) == ("A", "\ufffd", "MK")
+
+
+def test_lists_may_be_typed(spark):
+    rows = lambda x: [tuple(r) for r in R.list_argument(spark, x).collect()]
+    assert rows("GCF_1.1, GCA_2.1\nx") == [(1, "GCF_1.1"), (2, "GCA_2.1"), (3, "x")] == rows(["GCF_1.1", "GCA_2.1", "x"]) and rows("") == []
+
+
+def test_files_are_moved_copied_or_left(spark, tmp_path):
+    for name, text in (("in/GCF_1.1.faa", "a"), ("in/b/GCF_1.1.faa", "a"), ("in/GCF_2.1.gff", "new"), ("genomes/GCF_2.1_genomic.gff", "old"), ("in/x.txt", "q")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    files = R.file_digests(spark, f"file://{tmp_path}/in")
+    there = spark.createDataFrame([("genomes", "GCF_2.1_genomic.gff", "other")], "folder string, name string, md5 string")
+    plan = R.move_plan(files, there)
+    run = lambda **k: {r["path"].split("/in/")[1]: (r["action"], r["status"]) for r in R.carry_out(spark, plan, f"file://{tmp_path}", **k).collect()}
+    expected = {"GCF_1.1.faa": ("move", "planned"), "b/GCF_1.1.faa": ("drop", "planned"), "GCF_2.1.gff": ("conflict", "left"), "x.txt": ("skip", "left")}
+    assert run(dry_run=True) == expected and not (tmp_path / "genomes" / "GCF_1.1_protein.faa").exists()
+    plan = spark.createDataFrame(plan.collect(), plan.schema)
+    assert run(copy=True)["GCF_1.1.faa"] == ("move", "done") and (tmp_path / "in" / "b" / "GCF_1.1.faa").exists()
+    assert run()["GCF_1.1.faa"] == ("move", "taken")
+    (tmp_path / "genomes" / "GCF_1.1_protein.faa").unlink()
+    assert run() == expected | {"GCF_1.1.faa": ("move", "done"), "b/GCF_1.1.faa": ("drop", "deleted")}
+    assert (tmp_path / "genomes" / "GCF_1.1_protein.faa").read_text() == "a" and (tmp_path / "genomes" / "GCF_2.1_genomic.gff").read_text() == "old"
+    assert run()["GCF_1.1.faa"] == ("move", "done")
+    assert {(r["action"], r["n_files"]) for r in R.move_statistics(plan).collect()} == {("move", 1), ("drop", 1), ("conflict", 1), ("skip", 1)}
+
+
 def test_archives_and_profiles(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "GCF_000000001.1.zip", "w") as z:
         z.writestr("d/a_protein.faa", ">a\nM")

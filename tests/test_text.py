@@ -48,6 +48,16 @@ def test_attribute_map_keeps_the_last_of_repeated_keys(spark):
     assert got == [{"a": "2=3", "b": "x,y+z", "c": "%zz"}, {}, {}]
 
 
+def test_escapes_are_decoded_one_by_one(spark):
+    values = ["a%2Zb%2C", "100%", "%41%", "x+y%20z", "caf%C3%A9", "%FFz", "plain"]
+    assert evaluate(spark, I.percent_decoded, values) == ["a%2Zb,", "100%", "A%", "x+y z", "café", "\ufffdz", "plain"]
+
+
+def test_long_remarks_are_dropped_at_any_distance(spark):
+    long = "word" + " " * 400 + "(remark)"
+    assert evaluate(spark, T.word_key, [long, "(a) (b)", "(only)", "x" * 300 + " [y] z"]) == ["word", "ab", "only", "x" * 300 + "z"]
+
+
 def test_aliases(spark):
     a = "ID=cds-X1;locus_tag=L1,L2;protein_id=WP_1.1;Dbxref=GenBank:AB1,Other:q,refseq: NP_2;Name=AB_12.1"
     assert evaluate(spark, lambda c: I.direct_aliases(I.attribute_map(c)), [a, "Name=free text", "Name=WP_9"]) == [["AB1", "AB_12.1", "NP_2", "WP_1.1"], [], ["WP_9"]]
