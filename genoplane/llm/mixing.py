@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoplane.llm.sampling import hashed_number
 from genoplane.operators.ranking import distributed_rank
 from genoplane.session import cut_lineage
 
@@ -172,7 +173,7 @@ def mix_sources(docs: DataFrame, doc: str, source: str, tokens: str, spec: DataF
         "source string, weight double, exponent double, goal_tokens double, source_tokens bigint, cap_tokens bigint, budget_tokens double, blocks int, last bigint, limited boolean",
     )
     spread = F.broadcast(plan.select("source", "blocks", "last"))
-    ticket = lambda block: F.xxhash64(F.lit(seed), block, F.col(doc))
+    ticket = lambda block: hashed_number(15, F.lit(seed), block, F.col(doc))
     whole = used.join(spread, "source").filter("blocks > 0").select(doc, "source", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     whole = whole.withColumn("ticket", ticket(F.col("block")))
     order = used.join(spread, "source").filter("last > 0").withColumn("ticket", ticket(F.col("blocks")))

@@ -108,7 +108,8 @@ def near_vectors(training: DataFrame, evaluation: DataFrame, exact: str, feature
     rarity = bytes(rarity)
     best = F.least(*[_ranked(F.col(f"_t{p}"), rarity) for p in positions]) if len(positions) > 1 else _ranked(F.col("_t0"), rarity)
     keyed = lambda token: F.xxhash64(token, present).alias("token")
-    probe = probe.select(keyed(best["t"]), *columns)
+    # written once for both readers: its expressions are the dearest of all
+    probe = cut_lineage(probe.select(keyed(best["t"]), *columns), "probe")
 
     alternatives = [F.array(exact_code)] + [F.when(_single(F.col(f)), F.array(_cell(F.col(f), width))).otherwise(F.sequence(_cell(F.col(f), width, -reach), _cell(F.col(f), width, reach), F.lit(4).cast("bigint"))) for f in features]
     every = F.struct(*[a.alias(f"a{i}") for i, a in enumerate(alternatives)])

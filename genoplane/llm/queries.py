@@ -14,6 +14,7 @@ from genoplane.llm.splits import assign_splits, component_states, mixed_componen
 from genoplane.llm.splitting import split_texts
 from genoplane.operators.wording import read_words
 from genoplane.plans.tables import table
+from genoplane.session import cut_lineage
 
 FEATURES = ("feature_a", "feature_c", "feature_d", "feature_e", "feature_f", "feature_g", "feature_h")
 EVALUATION = ("externaltest", "acceptancetest", "edgecase")
@@ -55,7 +56,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark, sf_dir)[1]
+    """Units available, wanted, given as quota and drawn per listed combination."""
+    return _sample(spark, sf_dir)[1].drop("held")
 
 
 def p3_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,17 +137,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)[0].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
 
 
-def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir)[0]
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its pieces and tokens as they lie in the containers, and whether none of these is overfull."""
+    packed, capacity = _packed(spark, sf_dir)
+    packed = cut_lineage(packed, "packed")
+    filled = packed.groupBy("container").agg((F.sum("size") <= capacity).alias("fits"))
+    return packed.join(filled, "container").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("size").alias("n_tokens"), F.bool_and("fits").alias("all_fit"))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers used, the least number that could do, the fullest container, and the share of space that is filled."""
+    """Tokens, the least number of containers that could hold them, and whether the packing is within 2 percent of it without overfull or unused numbers."""
     packed, capacity = _packed(spark, sf_dir)
-    filled = packed.groupBy("container").agg(F.sum("size").alias("tokens"))
-    total = F.sum("tokens").alias("n_tokens")
-    out = filled.agg(F.count(F.lit(1)).alias("n_containers"), total, F.max("tokens").alias("fullest"))
-    return out.select("*", F.ceil(F.col("n_tokens") / capacity).alias("n_least"), (F.col("n_tokens") / (F.col("n_containers") * capacity)).alias("filled_share"))
+    filled = packed.groupBy("container").agg(F.sum("size").alias("tokens")).filter("tokens > 0")
+    out = filled.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("n_tokens"), F.max("tokens").alias("fullest"), F.max("container").alias("last"))
+    least = F.ceil(F.col("n_tokens") / capacity)
+    return out.select("n_tokens", least.alias("n_least"), (F.col("fullest") <= capacity).alias("none_overfull"), (F.col("n") <= least * 1.02 + 1).alias("well_filled"), (F.col("last") == F.col("n") - 1).alias("numbered_through"))
 
 
 def _mixed(spark: SparkSession, sf_dir: str, weighting: str) -> tuple[DataFrame, DataFrame]:
@@ -165,16 +171,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir, "given")[1]
+    """Per source goal, limit, exponent, budget and the share that the realised mix reaches."""
+    out = _mixed(spark, sf_dir, "given")[1]
+    return out.select("source", "weight", F.round("exponent", 6).alias("exponent"), F.round("goal_tokens", 3).alias("goal_tokens"), "source_tokens", "cap_tokens", F.round("budget_tokens", 3).alias("budget_tokens"), "mix_tokens", F.round("mix_share", 9).alias("mix_share"), "short")
 
 
-def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir, "given")[0]
+def p8_mix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole blocks of the mix: documents and tokens of each, and documents that come twice in one (none)."""
+    mix, report = _mixed(spark, sf_dir, "given")
+    blocks = mix.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("tokens").alias("n_tokens"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("n_repeated"))
+    return blocks.join(report.select("source", F.col("source_tokens").alias("n_tokens")), ["source", "n_tokens"]).select("source", "block", "n_documents", "n_tokens", "n_repeated")
 
 
 def p8_tempered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights by temperature: token shares flattened to the entropy of the given weights, or as far as repetition allows."""
-    return _mixed(spark, sf_dir, "tempered")[1]
+    return _mixed(spark, sf_dir, "tempered")[1].select("source", F.round("weight", 6).alias("weight"), "source_tokens", "cap_tokens", F.round("budget_tokens", 3).alias("budget_tokens"), (F.col("mix_tokens") <= F.col("budget_tokens") + 1).alias("within_budget"))
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,18 +197,28 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(spark, sf_dir)
+    """Per document the digest of its pieces joined without what they share, and whether sizes and overlaps are as specified."""
+    most, overlap = _limit(spark, sf_dir, "piece")
+    core = F.decode(F.substring(F.encode("body", "UTF-8"), F.col("overlap").cast("int") + 1, F.col("tokens").cast("int")), "UTF-8")
+    before = F.lag("tokens").over(Window.partitionBy("doc_id").orderBy("piece"))  # the pieces of one document
+    room = F.least(F.lit(overlap), most - (F.col("tokens") - F.col("overlap")), before)
+    shares = (F.col("piece") == 0) & (F.col("overlap") == 0) | (F.col("overlap") <= overlap) & (F.col("overlap") > room - 4)
+    pieces = _pieces(spark, sf_dir).select("doc_id", "piece", "cut", (F.col("tokens") <= most).alias("fits"), shares.alias("shares"), core.alias("core"), (F.col("tokens") - F.col("overlap")).alias("own"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("piece", "core"))), lambda x: x["core"])
+    out = pieces.groupBy("doc_id", "cut").agg(F.md5(F.array_join(ordered, "").cast("binary")).alias("text_md5"), F.sum("own").alias("n_tokens"), F.bool_and("fits").alias("all_fit"), F.bool_and("shares").alias("all_share"))
+    return out.select("doc_id", "cut", "text_md5", "n_tokens", "all_fit", "all_share")
 
 
 def p9_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces, their tokens, the shared tokens and the largest piece per kind of cut."""
-    return _pieces(spark, sf_dir).groupBy("cut").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("tokens").alias("n_tokens"), F.sum("overlap").alias("n_shared"), F.max("tokens").alias("largest"))
+    """Documents that are cut, their tokens without what pieces share, and whether every piece is within the limit, per kind of cut."""
+    most, _ = _limit(spark, sf_dir, "piece")
+    return _pieces(spark, sf_dir).groupBy("cut").agg(F.count_if(F.col("piece") == 0).alias("n_documents"), F.sum(F.col("tokens") - F.col("overlap")).alias("n_tokens"), (F.max("tokens") <= most).alias("all_fit"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_overlap_report, p3_found, p3_report, p3_shortfalls, p3_sample, p4_found, p4_kept_by_group, p4_weighted_draw, p5_found, p5_splits, p5_split_report, p5_component_sizes,
-        p7_found, p7_containers, p7_fill, p8_found, p8_report, p8_mix, p8_tempered_report, p9_found, p9_pieces, p9_sizes,
+        p7_found, p7_documents, p7_fill, p8_found, p8_report, p8_mix_blocks, p8_tempered_report, p9_found, p9_pieces, p9_sizes,
     )
 }

@@ -16,9 +16,15 @@ MAX_TARGETS = 100_000
 _MANY = 1 << 62
 
 
+def hashed_number(digits: int, *parts: Column) -> Column:
+    """A number of so many hexadecimal digits (at most 15) that depends on the parts alone: the first of their digest."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
+
+
 def hashed_uniform(*parts: Column) -> Column:
     """A number in (0, 1) that depends on the parts alone."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return (hashed_number(13, *parts).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def feasible_quotas(targets: list[dict], total: int) -> dict[int, int]:
@@ -76,12 +82,12 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, category: list[str]
     wanted = {i: float(max(r["min_rows"] or 0, (r["target_share"] or 0.0) * size)) for i, r in enumerate(spec)}
     listed = spark.createDataFrame([(i, *[r[c] for c in category]) for i, r in enumerate(spec)], f"slot int, {fields}")
     found = rows.select(*category, F.col(unit).alias("unit"), F.col(row_id).alias("row_id")).filter(F.col("unit").isNotNull())
-    found = found.join(F.broadcast(listed), category).select("slot", *[F.xxhash64(F.lit(seed + i), "slot", "unit").alias(f"key{i}") for i in (0, 1)], "unit", "row_id")
-    order = ["key0", "key1", "unit"]
+    found = found.join(F.broadcast(listed), category).select("slot", hashed_number(15, F.lit(seed), *map(F.col, category), F.col("unit")).alias("key"), "unit", "row_id")
+    order = ["key", "unit"]
 
     def fill(capacity: dict[int, int]) -> DataFrame:
         own = found if len(capacity) == len(spec) else found.filter(F.col("slot").isin(list(capacity)))
-        states = partial_reservoirs(own, "slot", [*order, "row_id"], capacity, 3, state_rows)
+        states = partial_reservoirs(own, "slot", [*order, "row_id"], capacity, 2, state_rows)
         return cut_lineage(states.groupBy("slot", *order).agg(F.min("row_id").alias("row_id")), "reservoirs")
 
     capacity = {i: math.ceil(slack * w) + 1 for i, w in wanted.items()}

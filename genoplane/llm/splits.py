@@ -160,13 +160,13 @@ def assign_splits(nodes: DataFrame, rows: DataFrame, hot: list[int], shares: Map
     record; no records give no rows.
     """
     names = list(shares)
-    free = rows.filter(F.col("node").isNull()).select(F.concat(F.lit("record:"), F.col("record").cast("string")).alias("component"), F.lit(1).cast("bigint").alias("n"), F.when(F.col("label") == "positive", 1).otherwise(0).cast("bigint").alias("positives"))
-    sets = component_states(nodes).select("component", "n", "positives").unionByName(free)
-    sets = sets.withColumn("stratum", F.floor(F.least(F.col("positives") / F.col("n") * 5, F.lit(4))).cast("int")).withColumn("ticket", F.xxhash64(F.lit(seed), "component"))
-    sets = cut_lineage(sets.select("component", "n", "stratum", "ticket"), "sets")
+    free = rows.filter(F.col("node").isNull()).select(F.concat(F.lit("record:"), F.col("record").cast("string")).alias("component"), F.col("record").alias("first_record"), F.lit(1).cast("bigint").alias("n"), F.when(F.col("label") == "positive", 1).otherwise(0).cast("bigint").alias("positives"))
+    sets = component_states(nodes).select("component", "first_record", "n", "positives").unionByName(free)
+    sets = sets.withColumn("stratum", F.floor(F.least(F.col("positives") / F.col("n") * 5, F.lit(4))).cast("int")).withColumn("ticket", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("first_record").cast("string")).cast("binary")))
+    sets = cut_lineage(sets.select("component", "first_record", "n", "stratum", "ticket"), "sets")
     sizes = [(r["stratum"], r["n"], r["c"]) for r in sets.groupBy("stratum", "n").agg(F.count(F.lit(1)).alias("c")).collect()]
     plan = sets.sparkSession.createDataFrame([(s, n, *accumulate(got)) for s, n, got in deal_sets(sizes, shares)], "stratum int, n bigint, " + ", ".join(f"upto{i} bigint" for i in range(len(names))))
-    ranked = distributed_rank(sets, ["stratum", "n"], [F.col("ticket"), F.col("component")]).withColumn("kind", F.col("n") * 8 + F.col("stratum"))
+    ranked = distributed_rank(sets, ["stratum", "n"], [F.col("ticket"), F.col("first_record")]).withColumn("kind", F.col("n") * 8 + F.col("stratum"))
     plan = plan.select((F.col("n") * 8 + F.col("stratum")).alias("kind"), *[f"upto{i}" for i in range(len(names))])
     # most sets have one of the smallest sizes
     ranked = ranked.join(F.broadcast(plan), "kind") if len(sizes) <= MAX_BROADCAST else salted_join(ranked, plan, "kind", "component")
