@@ -96,8 +96,9 @@ def p4_weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _connected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[int]]:
     rows = read_words(table(spark, sf_dir, "grouped_training_dataset"), {"label": ("target_label", word_key)})
     text = F.col("source_genome_id")
-    seen = visible(text)
-    rows = rows.select("record_id", genome_key(text).alias("a"), genome_key(F.col("assembly_accession")).alias("b"), F.when(~is_blank(seen), text).alias("text"), "label")
+    # a text that begins with a plain visible character is not blank
+    named = F.when(text.rlike("^[!-~]"), text).when(~is_blank(visible(text)), text)
+    rows = rows.select("record_id", genome_key(text).alias("a"), genome_key(F.col("assembly_accession")).alias("b"), named.alias("text"), "label")
     return record_components(rows, "record_id", "a", "b", "text", "label")
 
 

@@ -47,24 +47,23 @@ def connected_components(edges: DataFrame, seed: int = 3, max_rounds: int = 500,
     live = cut_lineage(named.filter(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "edges")
     steps: list[DataFrame] = []
     for turn in range(max_rounds):
-        n = live.count()
-        if not n:
+        if live.isEmpty():
             break
         sides = _both_ways(live).groupBy("x").agg(F.count(F.lit(1)).alias("degree"), F.min("y").alias("y")).filter("degree = 1")
         pairs = sides.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.max("x").alias("child"))
         # where both ends are pendant the greater one folds
         folded = cut_lineage(pairs.select("u", "v", "child", F.when(F.col("child") == u, v).otherwise(u).alias("parent")), "folded")
-        core = live.join(folded.select("u", "v"), ["u", "v"], "left_anti")
+        core = cut_lineage(live.join(folded.select("u", "v"), ["u", "v"], "left_anti"), "core")
         mates = _both_ways(core).filter(~_heads(F.col("x"), seed, turn) & _heads(F.col("y"), seed, turn))
         mates = cut_lineage(mates.groupBy(F.col("x").alias("child")).agg(F.min("y").alias("parent")), "mates")
         steps += [folded.select("child", "parent"), mates]
-        hot = hot_buckets(_both_ways(core).select("x"), "x") if n >= salt_from else []
+        hot = hot_buckets(_both_ways(core).select("x"), "x") if core.count() >= salt_from else []
         renamed = core
         for end, other in (("u", "v"), ("v", "u")):
             renamed = salted_join(renamed, mates.select(F.col("child").alias(end), F.col("parent").alias(f"p{end}")), end, other, "left", hot)
         renamed = renamed.select(F.coalesce("pu", "u").alias("a"), F.coalesce("pv", "v").alias("b")).filter("a <> b")
         after = cut_lineage(renamed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
-        release(live)
+        release(live, core)
         live = after
     else:
         raise RuntimeError(f"edges left after {max_rounds} rounds")
