@@ -153,7 +153,8 @@ def cap_contributors(rows: DataFrame, limits: DataFrame, contributor: str, row_i
     slots = F.broadcast(spark.createDataFrame([(i, *s) for i, s in enumerate(spec)], f"slot int, who {kind['who']}, most bigint"))
     limited = named.join(slots, "who")
     capacity = {i: most for i, (_, most) in enumerate(spec)}
-    states = partial_reservoirs(limited.drop("most"), "slot", order, capacity, 0, state_rows)
+    # written: the range sort reads its input twice
+    states = cut_lineage(partial_reservoirs(limited.drop("most"), "slot", order, capacity, 0, state_rows), "reservoirs")
     ranked = distributed_rank(states.join(slots.select("slot", "most"), "slot"), ["slot"], [F.col(c) for c in order]).filter(F.col("rank") <= F.col("most"))
     kept = ranked.select("id", "who", "rank", F.lit(True).alias("kept"))
     # one row per contributor: the key of its last kept row, and how many kept rows have that very key
@@ -161,10 +162,11 @@ def cap_contributors(rows: DataFrame, limits: DataFrame, contributor: str, row_i
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"e_{c}") for c in order])
     beyond = reduce(lambda tail, c: (F.col(c) > F.col(f"e_{c}")) | ((F.col(c) == F.col(f"e_{c}")) & tail), order[::-1][1:], F.col(order[-1]) > F.col(f"e_{order[-1]}"))
     out = [F.col("id"), F.col("who"), F.lit(None).cast("bigint").alias("rank"), F.lit(False).alias("kept")]
-    met = limited.join(F.broadcast(edge), "slot", "left")
-    later = met.filter((F.col("most") == 0) | beyond).select(*out)
+    met = limited.join(F.broadcast(edge), "slot", "left").select("slot", "id", "who", same.alias("is_same"), ((F.col("most") == 0) | beyond).alias("is_beyond"))
+    met = cut_lineage(met.filter("is_same OR is_beyond"), "beyond")
+    later = met.filter("is_beyond").select(*out)
     taken = ranked.join(F.broadcast(edge), "slot").filter(same).groupBy("slot").agg(F.count(F.lit(1)).alias("taken"))
-    copies = met.filter(same).groupBy("slot", "id", "who").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(taken), "slot").filter("n > taken")
+    copies = met.filter("is_same").groupBy("slot", "id", "who").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(taken), "slot").filter("n > taken")
     copies = copies.select("id", "who", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("taken")))).select(*out)
     free = named.join(slots, "who", "left_anti").select("id", "who", F.lit(None).cast("bigint").alias("rank"), F.lit(True).alias("kept"))
     every = reduce(DataFrame.unionByName, [kept, later, copies, free])
