@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from genoplane.llm import packing
+from genoplane.llm import packing, splitting
 from genoplane.llm.mixing import entropy, flattening_exponent, limited_weights, mix_sources, tempered
 from genoplane.llm.packing import LocalSweep, deal, pack_items
 from genoplane.llm.splitting import inside_stretch, longest_stretch, split_bytes, split_texts
@@ -117,6 +117,19 @@ def test_forced_pieces_tell_of_a_stretch_above_the_limit(parts, limit, overlap):
     assert any(inside_stretch(data, c) for _, c, _ in pieces) == (longest_stretch(data) > limit and len(data) > limit)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(ALPHABET, max_size=400), st.integers(12, 60), st.integers(0, 8))
+def test_parts_that_fit_need_not_be_divided_into_atoms(parts, limit, overlap):
+    data = "".join(parts).encode()
+    whole = splitting._segments
+    try:
+        splitting._segments = lambda data, start, end, level, room, hard: whole(data, start, end, level, 0, hard)
+        atomic = split_bytes(data, limit, overlap)
+    finally:
+        splitting._segments = whole
+    assert split_bytes(data, limit, overlap) == atomic
+
+
 def test_strong_boundaries_survive():
     text = ("word " * 30 + "end.\n" + "other " * 20 + "stop.\n\n") * 3
     cuts = [c for _, c, _ in split_bytes(text.encode(), 320, 10)]
