@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 ENV_PREFIX = "GENOPLANE_"
@@ -58,11 +58,42 @@ class SplitShares:
         _check(round(self.train + self.validation + self.test, 5) == 1.0, "shares have to add up to 1")
 
 
+@dataclass(frozen=True)
+class Paths:
+    """Folders; relative ones are under `base_dir`, and that under the working folder. Profiles fall back to their default folder."""
+
+    base_dir: str = "."
+    genomes_dir: str = "data/raw/genomes"
+    metadata_dir: str = "data/raw/metadata"
+    zip_dir: str = "data/raw/zip"
+    annotation_dir: str = "data/interim/annotation"
+    output_dir: str = "data/processed"
+    models_dir: str = "models"
+    log_dir: str = "logs"
+    hmm_profiles: str = "data/hmm_profiles"
+
+    def __post_init__(self) -> None:
+        base = Path(self.base_dir).resolve()
+        default = base / "data" / "hmm_profiles"
+        for f in fields(self):
+            value = getattr(self, f.name)
+            object.__setattr__(self, f.name, str(base) if f.name == "base_dir" else value if "://" in value else str((base / value).resolve()))
+        if "://" not in self.hmm_profiles and not Path(self.hmm_profiles).exists() and default.exists():
+            object.__setattr__(self, "hmm_profiles", str(default))
+
+    def create(self) -> None:
+        """Make the folders that are local and not there yet."""
+        for f in fields(self):
+            if "://" not in getattr(self, f.name):
+                Path(getattr(self, f.name)).mkdir(parents=True, exist_ok=True)
+
+
 @dataclass(frozen=True)
 class Settings:
     alignment: Alignment = field(default_factory=Alignment)
     synteny: Synteny = field(default_factory=Synteny)
     shares: SplitShares = field(default_factory=SplitShares)
+    paths: Paths = field(default_factory=Paths)
 
 
 # Names that older settings files use.
@@ -78,11 +109,31 @@ def _section(kind: type, given: dict, env: dict[str, str]) -> object:
         if raw is not None:
             default = f.default
             values[name] = raw.lower() in ("1", "true", "yes") if isinstance(default, bool) else type(default)(raw)
-    return replace(kind(), **values)
+    return kind(**values)
+
+
+def _parsed(path: Path) -> dict:
+    text = path.read_text(encoding="utf-8")
+    try:
+        if path.suffix.lower() in (".yaml", ".yml"):
+            try:
+                import yaml
+            except ModuleNotFoundError as e:
+                raise ConfigError("settings in YAML need the package yaml; write them as JSON") from e
+            given = yaml.safe_load(text)
+        else:
+            given = json.loads(text)
+    except ConfigError:
+        raise
+    except Exception as e:
+        raise ConfigError(f"{path} cannot be read: {e}") from e
+    if not isinstance(given, dict) or not all(isinstance(v, dict) for v in given.values()):
+        raise ConfigError(f"{path} has to hold sections")
+    return given
 
 
 def load_settings(path: str | None = None, env: dict[str, str] | None = None) -> Settings:
-    """Settings from a JSON file with sections alignment, synteny and shares; environment variables override them."""
-    given = json.loads(Path(path).read_text(encoding="utf-8")) if path else {}
+    """Settings from a JSON or YAML file with sections alignment, synteny, shares and paths; environment variables override them."""
+    given = _parsed(Path(path)) if path else {}
     env = dict(os.environ) if env is None else env
-    return Settings(*(_section(kind, given.get(name, {}), env) for name, kind in (("alignment", Alignment), ("synteny", Synteny), ("shares", SplitShares))))
+    return Settings(*(_section(kind, given.get(name, {}), env) for name, kind in (("alignment", Alignment), ("synteny", Synteny), ("shares", SplitShares), ("paths", Paths))))

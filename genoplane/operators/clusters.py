@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoplane.config import Synteny
+from genoplane.operators.ranking import distributed_rank, fits_one_task
+from genoplane.session import cut_lineage
 
 # Gene symbols of protein families, and the families of each kind of cluster.
 FAMILY_SYMBOLS = {"PF00142": "nifH", "PF00148": "nifD", "PF02826": "nifK", "PF05910": "anfG", "PF05911": "vnfG", "PF01202": "fixA", "PF02525": "fixB", "PF02526": "fixC", "PF01802": "fixX"}
@@ -20,21 +22,46 @@ ANF_FAMILIES = ("anfG", "anfH", "anfD", "anfK", "PF05910")
 TIES = ("hit_row", "locus_row")
 
 
-def number_gap_clusters(loci: DataFrame, synteny: Synteny, genome: str = "accession", contig: str = "seqid", ties: Sequence[str] = TIES) -> DataFrame:
+def _begins(reach: Column, before: Column, synteny: Synteny) -> Column:
+    """1 where a locus lies beyond the limit after the furthest end so far (null: none) and the strand before it."""
+    divergent = (before == "-") & (F.col("strand") == "+")
+    limit = F.when(divergent, synteny.max_divergent_gap_bp).otherwise(synteny.max_gap_bp)
+    return F.when(reach.isNull() | (F.col("start") - reach - 1 > limit), 1).otherwise(0)
+
+
+def number_gap_clusters(loci: DataFrame, synteny: Synteny, genome: str = "accession", contig: str = "seqid", ties: Sequence[str] = TIES, one_task: bool | None = None) -> DataFrame:
     """Add ``contig_cluster`` (1, 2, ... per genome and contig): loci of a contig whose gaps are small enough.
 
     In order of (start, end, *ties) a locus begins a new cluster if the bases between it and the furthest end so
     far exceed the limit: max_divergent_gap_bp where a minus strand is followed by a plus strand, else
     max_gap_bp. The furthest end of the contig equals that of the running cluster, since ends are not before
-    starts and limits are not negative. One window per contig; numbers over genomes are given to clusters, not
-    rows (see `roll_up`), so no task holds a genome.
+    starts and limits are not negative.
+
+    A table that fits one task (`one_task`, by default the planner's estimate) takes one window per contig. A larger one is
+    range-partitioned by contig and position, so a contig of any size spans many tasks: each part hands on its furthest
+    end, its last strand and its number of clusters, one row per part and contig, and the parts after it go on from there.
     """
-    w = Window.partitionBy(genome, contig).orderBy("start", "end", *ties)
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    divergent = (F.lag("strand").over(w) == "-") & (F.col("strand") == "+")
-    limit = F.when(divergent, synteny.max_divergent_gap_bp).otherwise(synteny.max_gap_bp)
-    marked = loci.withColumn("_begins", F.when(reach.isNull() | (F.col("start") - reach - 1 > limit), 1).otherwise(0))
-    return marked.withColumn("contig_cluster", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_begins")
+    keys, order = [genome, contig], ["start", "end", *ties]
+    if fits_one_task(loci) if one_task is None else one_task:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        marked = loci.withColumn("_begins", _begins(reach, F.lag("strand").over(w), synteny))
+        return marked.withColumn("contig_cluster", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_begins")
+    ranged = loci.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    rows = cut_lineage(ranged.withColumn("_part", F.shiftright("_at", 33)), "loci")
+    part = ["_part", *keys]
+    earlier = Window.partitionBy(*keys).orderBy("_part")
+    sofar = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*part).agg(F.max("end").alias("_end"), F.max_by("strand", "_at").alias("_strand"))
+    ends = ends.select(*part, F.max("_end").over(sofar).alias("_reach"), F.lag("_strand").over(earlier).alias("_last"))
+    inside = Window.partitionBy(*part).orderBy("_at")
+    reach = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    before = F.when(F.row_number().over(inside) == 1, F.col("_last")).otherwise(F.lag("strand").over(inside))
+    marked = rows.join(ends, part).withColumn("_begins", _begins(reach, before, synteny))
+    marked = cut_lineage(marked.withColumn("_own", F.sum("_begins").over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("_reach", "_last", "_begins"), "marked")
+    counts = marked.groupBy(*part).agg(F.max("_own").alias("_n"))
+    counts = counts.select(*part, F.coalesce(F.sum("_n").over(sofar), F.lit(0)).alias("_clusters"))
+    return marked.join(counts, part).withColumn("contig_cluster", F.col("_own") + F.col("_clusters")).drop("_at", "_part", "_own", "_clusters")
 
 
 def roll_up(numbered: DataFrame, genome: str = "accession", contig: str = "seqid", ties: Sequence[str] = TIES) -> DataFrame:
@@ -54,8 +81,12 @@ def roll_up(numbered: DataFrame, genome: str = "accession", contig: str = "seqid
     )
     n = F.size("strands")
     changes = F.filter(F.sequence(F.lit(1), n), lambda i: (i < n) & (F.get("strands", i) != F.get("strands", i - 1)))
-    number = F.row_number().over(Window.partitionBy(genome).orderBy(contig, "contig_cluster"))
-    return out.withColumn("strand_switches", F.size(changes)).withColumn("cluster_no", number).withColumn("cluster_id", F.format_string("cluster_%04d", "cluster_no")).drop("contig_cluster")
+    out = out.withColumn("strand_switches", F.size(changes))
+    if fits_one_task(numbered):
+        out = out.withColumn("cluster_no", F.row_number().over(Window.partitionBy(genome).orderBy(contig, "contig_cluster")))
+    else:
+        out = distributed_rank(out, [genome], [F.col(contig), F.col("contig_cluster")]).withColumn("cluster_no", F.col("rank").cast("int")).drop("rank")
+    return out.withColumn("cluster_id", F.format_string("cluster_%04d", "cluster_no")).drop("contig_cluster")
 
 
 def _shared(families: Column, names: Sequence[str]) -> Column:

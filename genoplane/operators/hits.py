@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,13 +56,17 @@ def resolve_overlaps(hits: DataFrame, keys: Sequence[str], start: str, end: str,
 
     `order` lists (column, descending) from the most important; it has to be total for a defined result. An
     interval is dropped if its overlap with any kept one, divided by the shorter length, exceeds `max_overlap`.
-    A key's candidates are folded as one array, so a key should be one protein and one profile file (tens of
-    domains). All columns of `hits` are kept.
+    Only intervals of one chain of overlaps can clash: a window cuts a key's intervals into chains, and each chain is
+    folded as one array, so the cost grows with what overlaps and not with the key. All columns of `hits` are kept.
     """
     sign = lambda c, down: -F.col(c) if down else F.col(c)
     fields = [sign(c, down).alias(f"_o{i}") for i, (c, down) in enumerate(order)]
     item = F.struct(*fields, F.struct(*hits.columns).alias("row"))
-    gathered = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    along = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
+    chained = hits.withColumn("_begins", begins).withColumn("_chain", F.sum("_begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    gathered = chained.groupBy(*keys, "_chain").agg(F.sort_array(F.collect_list(item)).alias("_all"))
     s, e = lambda x: x["row"][start], lambda x: x["row"][end]
 
     def clashes(kept, x):
@@ -79,38 +83,62 @@ Search = Callable[[Iterable[tuple[str, str]], bytes], Iterable[tuple]]
 MAX_PROFILE_BYTES = 512 << 20
 
 
-def search_genomes(proteins: DataFrame, profiles: Sequence[tuple[str, bytes]], open_search: Callable[[], Search]) -> tuple[DataFrame, DataFrame]:
-    """Run a search tool over protein batches: (hits of HIT_SCHEMA, failures (accession, error)).
+def per_genome(rows: DataFrame, columns: Sequence[str], schema: T.StructType, open_tool: Callable[[], Callable[[list[tuple]], Iterable[tuple]]]) -> tuple[DataFrame, DataFrame]:
+    """Run a tool over the rows of each genome: (its rows of `schema`, which begins with accession; failures (accession, error)).
 
-    `open_search` is called once per task and gives the tool: `search(sequences, profile)` gets the (protein id,
-    sequence) pairs of a genome in a batch and a profile's bytes, and yields hit tuples from target_protein on.
-    Profiles (public models, MBs; at most MAX_PROFILE_BYTES, checked) are broadcast. A genome on which the tool fails
-    is a failure with the error's text and has no hits at all; the others are not affected. A tool that cannot be
-    opened fails the job. Rows without accession are searched under null. No tool is bundled.
+    `open_tool` is called once per task; the tool gets the `columns` of a genome's rows in a batch and yields rows without
+    the accession. A genome on which it fails is a failure with the error's text and gives no rows at all; the others
+    are not affected. A tool that cannot be opened fails the job. Rows without accession are one genome, null.
     """
-    if (size := sum(len(p) for _, p in profiles)) > MAX_PROFILE_BYTES:
-        raise ValueError(f"profiles of {size} bytes")
-    shared = proteins.sparkSession.sparkContext.broadcast(list(profiles))
-    schema = T.StructType([*HIT_SCHEMA.fields, T.StructField("error", T.StringType())])
+    marked = T.StructType([*schema.fields, T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search = None
+        tool = None
         for batch in batches:
-            search = search or open_search()
-            rows = []
+            tool = tool or open_tool()
+            out: list[tuple] = []
             for accession, group in batch.groupby("accession", sort=False, dropna=False):
-                sequences = list(zip(group["protein_id"], group["sequence"], strict=True))
                 accession = None if pd.isna(accession) else accession
                 try:
-                    rows += [(accession, name, *hit, None) for name, profile in shared.value for hit in search(sequences, profile)]
+                    out += [(accession, *row, None) for row in list(tool(list(zip(*(group[c] for c in columns), strict=True))))]
                 except Exception as e:
-                    rows.append((accession, *[None] * (len(HIT_SCHEMA) - 1), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=schema.names)
+                    out.append((accession, *[None] * (len(schema) - 1), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=marked.names)
 
-    found = cut_lineage(proteins.select("accession", "protein_id", "sequence").mapInPandas(run, schema), "searched")
+    found = cut_lineage(rows.select("accession", *columns).mapInPandas(run, marked), "found")
     failures = found.filter("error IS NOT NULL").groupBy("accession").agg(F.min("error").alias("error"))
-    hits = found.filter("error IS NULL").join(failures, found["accession"].eqNullSafe(failures["accession"]), "left_anti")
-    return hits.select(*HIT_SCHEMA.names), failures
+    good = found.filter("error IS NULL").join(failures, found["accession"].eqNullSafe(failures["accession"]), "left_anti")
+    return good.select(*schema.names), failures
+
+
+def search_genomes(proteins: DataFrame, profiles: Sequence[tuple[str, bytes]], open_search: Callable[[], Search]) -> tuple[DataFrame, DataFrame]:
+    """Run a search tool over protein batches: (hits of HIT_SCHEMA, failures (accession, error)); see `per_genome`.
+
+    The tool that `open_search` gives, `search(sequences, profile)`, gets the (protein id, sequence) pairs of a genome in a
+    batch and a profile's bytes, and yields hit tuples from target_protein on. Profiles (public models, MBs; at most
+    MAX_PROFILE_BYTES, checked) are broadcast. No tool is bundled.
+    """
+    if (size := sum(len(p) for _, p in profiles)) > MAX_PROFILE_BYTES:
+        raise ValueError(f"profiles of {size} bytes")
+    shared = proteins.sparkSession.sparkContext.broadcast(list(profiles))
+
+    def opened() -> Callable[[list[tuple]], Iterable[tuple]]:
+        search = open_search()
+        return lambda sequences: ((name, *hit) for name, profile in shared.value for hit in search(sequences, profile))
+
+    return per_genome(proteins, ["protein_id", "sequence"], HIT_SCHEMA, opened)
+
+
+GENE_SCHEMA = T.StructType([T.StructField("accession", T.StringType()), T.StructField("seqid", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("strand", T.StringType()), T.StructField("protein_id", T.StringType()), T.StructField("sequence", T.StringType())])
+
+
+def call_genes(contigs: DataFrame, open_caller: Callable[[], Callable[[list[tuple]], Iterable[tuple]]]) -> tuple[DataFrame, DataFrame]:
+    """Run a gene caller over contigs (accession, seqid, sequence): (genes of GENE_SCHEMA, failures); see `per_genome`.
+
+    The caller gets the (seqid, sequence) pairs of a genome in a batch and yields seqid, start, end, strand, protein id and
+    translation of each gene: for genomes that come without annotation. No tool is bundled.
+    """
+    return per_genome(contigs, ["seqid", "sequence"], GENE_SCHEMA, open_caller)
 
 
 def search_proteins(proteins: DataFrame, profiles: Sequence[tuple[str, bytes]], search: Search) -> DataFrame:

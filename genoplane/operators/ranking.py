@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from genoplane.session import cut_lineage
 
 
+ONE_TASK_BYTES = 256 << 20
+
+
+def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
+    """Whether the planner's estimate of a table is so small that one task may sort any group of it; an unknown size is large.
+
+    A choice between two plans with the same result.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def distributed_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], weight: str | Sequence[str] | None = None) -> DataFrame:
     """Add ``rank`` (1, 2, ...) per group by `order`, and running totals if asked.
 

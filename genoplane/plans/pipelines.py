@@ -4,28 +4,34 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoplane.config import Settings
 from genoplane.operators.clusters import find_clusters
 from genoplane.operators.features import GenomeFeaturizer
 from genoplane.operators.hits import passing_hits, resolve_overlaps
-from genoplane.operators.loci import match_statistics, resolve_hits
+from genoplane.operators.loci import match_statistics, resolve_hits, unmatched_hits
 from genoplane.operators.predict import capability_scores
 from genoplane.sources.readers import in_list_order
 
 NO_LOCI = "no annotated locus"
 UNMATCHED = "no hit leads to a locus"
+EXAMPLES = 5
 
 
 @dataclass(frozen=True)
 class Annotated:
-    """Hits within the thresholds and without overlaps, the valid clusters, and the genomes that failed (accession, error)."""
+    """Hits within the thresholds and without overlaps, the valid clusters, and the genomes that failed (accession, error).
+
+    `warnings` (accession, unmatched_ids, examples) has the genomes of which some hits lead to no locus, with at most
+    EXAMPLES protein ids each; the whole list is `match_lists`.
+    """
 
     hits: DataFrame
     clusters: DataFrame
     failures: DataFrame
+    warnings: DataFrame
 
 
 def annotate(genomes: DataFrame, hits: DataFrame, loci: DataFrame, settings: Settings = Settings(), models: DataFrame | None = None, contig_lengths: DataFrame | None = None) -> Annotated:
@@ -47,7 +53,12 @@ def annotate(genomes: DataFrame, hits: DataFrame, loci: DataFrame, settings: Set
     failures = bare.unionByName(lost.join(bare, "accession", "left_anti"))
     usable = listed.join(failures, "accession", "left_anti")
     resolved = resolve_hits(kept.join(usable, "accession", "left_semi"), loci, ["accession"])
-    return Annotated(kept, find_clusters(resolved, settings.synteny, contig_lengths), failures)
+    # one row per unmatched id: the first few of a genome are kept as its ids are counted
+    ids = unmatched_hits(kept, loci, ["accession"]).select("accession", F.col("protein_id").alias("id")).distinct().join(usable, "accession", "left_semi")
+    place = F.row_number().over(Window.partitionBy("accession").orderBy("id"))
+    few = ids.withColumn("place", place).filter(F.col("place") <= EXAMPLES).groupBy("accession").agg(F.array_sort(F.collect_list("id")).alias("examples"))
+    warnings = ids.groupBy("accession").agg(F.count(F.lit(1)).alias("unmatched_ids")).join(few, "accession")
+    return Annotated(kept, find_clusters(resolved, settings.synteny, contig_lengths), failures, warnings)
 
 
 def feature_matrix(listed: DataFrame, genomes: DataFrame, annotated: Annotated, featurizer: GenomeFeaturizer, fit_on: DataFrame | None = None) -> DataFrame:

@@ -58,7 +58,8 @@ def fold_into_state(path: str):
     """A foreachBatch function that folds signed changes (key, side, delta) into versions of the state under `path`.
 
     side is ``reference`` or ``existence``. Each batch writes its own version, so a batch that runs again after a
-    failure gives the same state.
+    failure gives the same state; versions before the last one are removed, as no batch goes further back. Only keys
+    with counts are in a version, so it grows with the live keys, not with the changes.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -66,5 +67,7 @@ def fold_into_state(path: str):
         before = spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id > 0 else None
         side = lambda s: batch.filter(F.col("side") == s).select("key", "delta")
         apply_deltas(before, side("reference"), side("existence")).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return fold

@@ -11,7 +11,7 @@ from genoplane.operators.hotkeys import frequent_keys, hot_buckets, key_bucket,
 from genoplane.operators.orphans import apply_deltas, current_orphans, existence_deltas, orphans_as_of
 from genoplane.operators.ranking import distributed_rank
 from genoplane.operators.wording import read_words
-from genoplane.session import cut_lineage, release, shared_dir
+from genoplane.session import cut_lineage, release, scratch_tables, shared_dir
 
 
 def test_rank_and_running_totals_match_a_plain_sort(spark):
@@ -113,3 +113,13 @@ def test_cut_tables_can_be_released(spark):
     assert Path(path).exists() and df.count() == 5
     release(df, None, spark.range(1))
     assert not Path(path).exists()
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    with scratch_tables():
+        outer = cut_lineage(spark.range(3))
+        with scratch_tables():
+            inner = cut_lineage(spark.range(4))
+            assert inner.count() == 4
+        assert not Path(inner._genoplane_path.removeprefix("file://")).exists() and outer.count() == 3
+    assert not Path(outer._genoplane_path.removeprefix("file://")).exists()

@@ -153,3 +153,31 @@ def test_keys_lose_white_space_of_any_kind(spark):
     hits = spark.createDataFrame([("g", 1, "\tA\n"), ("g", 2, " \r\n"), ("g", 3, "B"), ("g", 4, "B ")], "accession string, hit_row int, target_protein string")
     assert {(r["hit_row"], r["locus_row"]) for r in L.resolve_hits(hits, loci, ["accession"]).collect()} == {(1, 1), (1, 2)}
     assert {tuple(r)[1:] for r in L.match_lists(hits, loci, ["accession"]).collect()} == {("unmatched_id", "B"), ("ambiguous_alias", "x"), ("multi_match_alias", "A")}
+
+
+def test_settings_from_yaml_and_paths(tmp_path):
+    yaml = pytest.importorskip("yaml")
+    f = tmp_path / "s.yaml"
+    f.write_text(yaml.safe_dump({"alignment": {"min_bitscore": 5.0}, "paths": {"base_dir": str(tmp_path), "log_dir": "l", "output_dir": "hdfs://host/x", "hmm_profiles": "none"}}))
+    (tmp_path / "data" / "hmm_profiles").mkdir(parents=True)
+    got = load_settings(str(f), {})
+    assert (got.alignment.min_bitscore, got.paths.log_dir, got.paths.output_dir, got.paths.hmm_profiles) == (5.0, f"{tmp_path}/l", "hdfs://host/x", f"{tmp_path}/data/hmm_profiles")
+    got.paths.create()
+    assert (tmp_path / "l").is_dir() and (tmp_path / "models").is_dir()
+    for bad in ("[1, 2]", "alignment: [", "alignment: 3"):
+        f.write_text(bad)
+        with pytest.raises(ConfigError):
+            load_settings(str(f), {})
+
+
+def test_a_contig_over_many_tasks_has_the_same_clusters(spark):
+    rng = random.Random(12)
+    rows, at = [], 1
+    for i in range(900):
+        at += rng.choice([10, 40, 60, 200])
+        rows.append(("g", "hot" if i % 9 else f"c{i}", at, at + rng.randint(1, 90), rng.choice("+-"), i, i))
+    df = spark.createDataFrame(rows, "accession string, seqid string, start bigint, end bigint, strand string, hit_row int, locus_row int").repartition(5)
+    synteny = Synteny(max_gap_bp=50, max_divergent_gap_bp=20)
+    one, many = ({(r["hit_row"], r["contig_cluster"]) for r in C.number_gap_clusters(df, synteny, one_task=x).collect()} for x in (True, False))
+    assert one == many and len(many) == 900 and max(n for _, n in many) > 20
+    assert C.number_gap_clusters(df.filter("false"), synteny, one_task=False).count() == 0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from genoplane.__main__ import main
 from genoplane.config import Alignment, Settings
 from genoplane.operators.features import GenomeFeaturizer
-from genoplane.operators.hits import HIT_SCHEMA, search_genomes, search_proteins
+from genoplane.operators.hits import GENE_SCHEMA, HIT_SCHEMA, call_genes, search_genomes, search_proteins
 from genoplane.plans.pipelines import annotate, feature_matrix, predictions
 
 LOCI = "accession string, locus_row int, seqid string, start bigint, end bigint, strand string, protein_id string, locus_tag string, direct_aliases array<string>, inferred_aliases array<string>"
@@ -26,6 +26,9 @@ def test_from_hits_to_predictions(spark):
     genomes, hits, loci = inputs(spark)
     done = annotate(genomes, hits, loci, Settings(alignment=Alignment(use_trusted_cutoffs=False, min_bitscore=40.0)))
     assert {r["accession"]: r["error"] for r in done.failures.collect()} == {"g2": "no hit leads to a locus", "g4": "no annotated locus"}
+    assert done.warnings.collect() == []
+    more = hits.unionByName(spark.createDataFrame([hit("g1", f"Z{i}", "PF00142") for i in range(7)], HIT_SCHEMA))
+    assert [tuple(r) for r in annotate(genomes, more, loci, Settings(alignment=Alignment(use_trusted_cutoffs=False, min_bitscore=40.0))).warnings.collect()] == [("g1", 7, ["Z0", "Z1", "Z2", "Z3", "Z4"])]
     assert "PF99999" not in {r["gene_family"] for r in done.hits.collect()}
     got = {r["accession"]: (r["status"], r["clusters_found"], r["confidence_score_percent"], r["bnf_capable"]) for r in predictions(genomes, done).collect()}
     assert got == {"g1": ("SUCCESS", 1, 100.0, True), "g2": ("FAILED", 0, 0.0, False), "g3": ("SUCCESS", 0, 0.0, False), "g4": ("FAILED", 0, 0.0, False)}
@@ -60,6 +63,13 @@ def test_a_genome_on_which_the_tool_fails_fails_alone(spark):
     assert [tuple(r) for r in failures.collect()] == [("bad", "RuntimeError: no protein")]
 
 
+def test_genes_are_called_by_a_plug_in(spark):
+    contigs = spark.createDataFrame([("g", "c1", "ATGAAA"), ("g", "c2", "A"), ("h", "c1", "")], "accession string, seqid string, sequence string")
+    genes, failures = call_genes(contigs, lambda: lambda rows: [(c, 1, len(s), "+", f"{c}_1", s[:2]) for c, s in rows if len(s) > 1 or 1 // len(s)])
+    assert genes.columns == GENE_SCHEMA.names and {(r["accession"], r["protein_id"], r["end"]) for r in genes.collect()} == {("g", "c1_1", 6), ("g", "c2_1", 1)}
+    assert [r["accession"] for r in failures.collect()] == ["h"]
+
+
 def test_unusable_inputs_give_exit_code_2(tmp_path):
     assert main(["label", "--features", f"{tmp_path}/none.parquet", "--labels", f"{tmp_path}/none.csv", "--output", f"{tmp_path}/o.parquet", "--training-output", f"{tmp_path}/t.parquet", "--report", f"{tmp_path}/r.json"]) == 2
     assert main(["predict", "--accessions", f"file://{tmp_path}/none.txt", "--hits", "x", "--annotations", "y", "--output", f"{tmp_path}/out"]) == 2

@@ -1,9 +1,14 @@
+import gzip
 import json
+import os
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from genoplane.functions.identifiers import accession_in_path
+from genoplane.sources import profiles as P
 from genoplane.sources import readers as R
 from genoplane.sources import sinks as S
 from genoplane.streaming.sessions import directed_gap_clusters, fixed_gap_sessions, fold_into_state
@@ -104,6 +109,34 @@ def test_files_are_moved_copied_or_left(spark, tmp_path):
     assert {(r["action"], r["n_files"]) for r in R.move_statistics(plan).collect()} == {("move", 1), ("drop", 1), ("conflict", 1), ("skip", 1)}
 
 
+def test_profiles_are_unpacked_verified_and_indexed(spark, tmp_path):
+    with gzip.open(tmp_path / "a.hmm.gz", "wb") as f:
+        f.write(b"HMMER3")
+    digest = P.sha256_of(tmp_path / "a.hmm.gz")
+    target = P.unpack_profile(tmp_path / "a.hmm.gz", tmp_path / "d" / "a.hmm", digest.upper())
+    assert target.read_bytes() == b"HMMER3"
+    (tmp_path / "bad.gz").write_bytes(b"no gzip")
+    for call in (lambda: P.unpack_profile(tmp_path / "a.hmm.gz", target, "0" * 64), lambda: P.unpack_profile(tmp_path / "bad.gz", tmp_path / "x")):
+        with pytest.raises(R.SourceError):
+            call()
+    assert not P.index_is_fresh(target) and not P.index_is_fresh(tmp_path / "none.hmm")
+    for i, ending in enumerate(P.INDEX_ENDINGS):
+        (tmp_path / "d" / (("a.hmm" if i % 2 else "a") + ending)).write_text("i")
+    assert P.index_is_fresh(target)
+    os.utime(tmp_path / "d" / "a.h3f", (1, 1))
+    assert not P.index_is_fresh(target)
+    out = json.loads(P.profile_manifest({"A": {"filename": "a.hmm", "url": "u"}}, tmp_path / "d").read_text())
+    assert out == {"A": {"filename": "a.hmm", "url": "u", "path": str(target.resolve())}}
+    files = spark.createDataFrame([("/d/GCF_1.1/GCF_1.1.faa", 3), ("/d/GCF_1.1/other.faa", 3), ("/d/GCF_2.1_x.gff", 1), ("/d/GCF_2.1.jsonl", 0), ("/d/GCF_1.1.txt", 1)], "path string, length bigint")
+    got = {r["accession"]: (r["n_valid"], r["n_empty"], r["is_complete"]) for r in P.downloaded_files(files, accession_in_path(F.col("path"))).collect()}
+    assert got == {"GCF_1.1": (1, 0, True), "GCF_2.1": (1, 1, False)}
+    assert P.data_pointer("outs:\n- md5: ab.dir\n  size: 12\n  nfiles: 3\n  hash: md5\n  path: raw\n") == {"md5": "ab.dir", "size": 12, "nfiles": 3, "hash": "md5", "path": "raw"}
+    with pytest.raises(R.SourceError):
+        P.data_pointer("outs:\n- size: 1\n")
+    (tmp_path / "e" / "f" / "g").mkdir(parents=True)
+    assert [Path(x).name for x in P.remove_empty_folders([tmp_path])] == ["e", "f", "g"] and target.exists()
+
+
 def test_archives_and_profiles(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "GCF_000000001.1.zip", "w") as z:
         z.writestr("d/a_protein.faa", ">a\nM")
@@ -174,3 +207,5 @@ def test_state_from_change_batches(spark, tmp_path):
     fold(d(("a", "existence", 1), ("b", "existence", -1)), 1)
     got = {r["key"]: (r["refs"], r["held"]) for r in spark.read.parquet(f"{tmp_path}/state/version=1").collect()}
     assert got == {"a": (1, 1), "b": (1, 0)}
+    fold(d(("a", "reference", 1)), 2)
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["version=1", "version=2"]
