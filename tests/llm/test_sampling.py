@@ -119,6 +119,16 @@ def test_cap_keeps_the_best_and_breaks_ties(spark):
         cap_contributors(df, limits.unionAll(limits), "who", "id", None)
 
 
+def test_what_is_left_out_follows_from_the_reservoirs(spark, monkeypatch):
+    df = spark.range(100).select("id", F.lit("w").alias("who"))
+    limits = spark.createDataFrame([("w", 60)], "who string, max_rows bigint")
+    left = lambda: {r["id"] for r in cap_contributors(df, limits, "who", "id", None, [(F.col("id"), False)]).filter(~F.col("kept")).collect()}
+    assert left() == set(range(60, 100))
+    whole = sampling.partial_reservoirs
+    monkeypatch.setattr(sampling, "partial_reservoirs", lambda *x, **k: whole(*x, **k).filter("id % 2 = 0 OR id < 20"))
+    assert left() != set(range(60, 100))
+
+
 def test_cap_counts_repeated_rows_and_zero_limits(spark):
     df = spark.createDataFrame([(1, "w", 2)] * 7 + [(2, "w", 3), (3, "z", 1), (3, "z", 1)], "id int, who string, at int").repartition(3)
     limits = spark.createDataFrame([("w", 4), ("z", 0)], "who string, max_rows bigint")
