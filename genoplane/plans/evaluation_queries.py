@@ -98,8 +98,9 @@ def _labelled(rows: DataFrame) -> DataFrame:
 
 
 def _pure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut_lineage(_labelled(_read(spark, sf_dir)), "grouped")
-    return rows.join(D.mixed_groups(rows, "source_genome_id", "target_label").select("source_genome_id"), "source_genome_id", "left_anti")
+    rows = _labelled(_read(spark, sf_dir))
+    pure = rows.join(D.mixed_groups(rows, "source_genome_id", "target_label").select("source_genome_id"), "source_genome_id", "left_anti")
+    return cut_lineage(pure, "pure")
 
 
 _KEYS = ("assembly_accession", "source_genome_id", "target_label")
