@@ -11,6 +11,7 @@ from genoplane.functions.text import is_blank
 
 BUCKETS = 4096
 MIN_SLICES, MAX_SLICES = 32, 512
+PAIRS_PER_SLICE, PAIRS_PER_TASK = 2_000_000, 16_000_000
 
 
 def per_key_states(df: DataFrame, keys: Sequence[str], states: Sequence[Column]) -> DataFrame:
@@ -75,3 +76,31 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
     every = F.when(is_hot, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.withColumn("_slice", F.explode(every)) if hot else right.withColumn("_slice", F.lit(0))
     return salted.join(repeated, [key, "_slice"], how).drop("_slice")
+
+
+def many_to_many_join(left: DataFrame, right: DataFrame, key: Sequence[str], spread: str, counted: DataFrame | None = None) -> DataFrame:
+    """Inner equi-join in which keys repeat on both sides, dealt by the pairs it makes and not by the bytes it reads.
+
+    A small table of few keys can make billions of pairs, which adaptive execution would leave to a handful of tasks.
+    The pairs per key are counted first (in `counted`, where that holds the keys of `left` and is cheaper to read), and
+    summed up in BUCKETS. Left rows of buckets with more than PAIRS_PER_SLICE are dealt to slices by the hash of column
+    `spread` and the right rows repeated for each, unless these would be more rows than the bucket has pairs. There is a
+    task per PAIRS_PER_TASK, and as many as shuffle partitions at least; below one such task it is a plain join.
+    Columns of `right` besides the key must not clash with those of `left`.
+    """
+    bucket = key_bucket(F.struct(*key))
+    one = F.count(F.lit(1))
+    per_key = (left if counted is None else counted).groupBy(*key).agg(one.alias("n")).join(right.groupBy(*key).agg(one.alias("m")), list(key))
+    made = per_key.groupBy(bucket.alias("b")).agg(F.sum(F.col("n") * F.col("m")).alias("pairs"), F.sum("m").alias("m")).collect()
+    total = sum(r["pairs"] for r in made)
+    if total <= PAIRS_PER_TASK:
+        return left.join(right, list(key))
+    slices = min(-(-max(r["pairs"] for r in made) // PAIRS_PER_SLICE), MAX_SLICES)
+    is_hot = bucket.isin(sorted(r["b"] for r in made if r["pairs"] > max(PAIRS_PER_SLICE, r["m"] * slices)))
+    tasks = max(-(-total // PAIRS_PER_TASK), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # one key column: a key that is a constant would be folded out of the partitioning, and the join would shuffle again into fewer tasks
+    at = lambda slice_: F.struct(*key, slice_.alias("_slice"))
+    dealt = left.dropna(subset=list(key)).withColumn("_at", at(F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int")).otherwise(0)))
+    repeated = right.dropna(subset=list(key)).withColumn("_slice", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))))
+    repeated = repeated.withColumn("_at", at(F.col("_slice"))).drop(*key, "_slice")
+    return dealt.repartition(tasks, "_at").join(repeated.repartition(tasks, "_at"), "_at").drop("_at")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from genoplane.functions.identifiers import attribute_map, direct_aliases, inferred_aliases, locus_protein_id, stripped
 from genoplane.functions.text import is_blank
+from genoplane.operators.hotkeys import many_to_many_join
 
 
 class LocusError(ValueError):
@@ -83,12 +84,22 @@ def usable_aliases(loci: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def resolve_hits(hits: DataFrame, loci: DataFrame, scope: list[str]) -> DataFrame:
-    """One row per hit and locus it resolves to. Locus columns that clash with hit columns get the prefix ``locus_``."""
+    """One row per hit and locus it resolves to. Locus columns that clash with hit columns get the prefix ``locus_``.
+
+    Pairs may be many times the input, so they are made once and not moved: aliases bring the columns of their locus,
+    and since an alias leads to a locus once, only a hit_row that occurs repeatedly can reach one twice. The pairs of
+    those hits alone are reduced.
+    """
     hits = keyed_hits(hits)
+    key = [*scope, "protein_id"]
     aliases = usable_aliases(loci, scope).select(*scope, F.col("alias").alias("protein_id"), "locus_row")
     taken = {*hits.columns, *scope, "locus_row"}
     place = loci.select(*scope, "locus_row", *[F.col(c).alias(f"locus_{c}" if c in taken else c) for c in loci.columns if c not in (*scope, "locus_row")])
-    return hits.join(aliases, [*scope, "protein_id"]).dropDuplicates([*scope, "hit_row", "locus_row"]).join(place, [*scope, "locus_row"])
+    marked = hits.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*scope, "hit_row")))
+    single, repeated = (marked.filter(c).drop("_rows") for c in ("_rows = 1", "_rows > 1"))
+    once = many_to_many_join(single, aliases.join(place, [*scope, "locus_row"]), key, "hit_row", hits)
+    reduced = repeated.join(aliases, key).dropDuplicates([*scope, "hit_row", "locus_row"]).join(place, [*scope, "locus_row"])
+    return reduced.unionByName(once)
 
 
 def match_statistics(hits: DataFrame, loci: DataFrame, scope: list[str]) -> DataFrame:

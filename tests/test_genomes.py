@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from genoplane.config import Alignment, ConfigError, SplitShares, Synteny, load_settings
 from genoplane.operators import clusters as C
 from genoplane.operators import features as X
+from genoplane.operators import hotkeys as H
 from genoplane.operators import loci as L
 from genoplane.operators.hits import passing_hits, resolve_overlaps
 from genoplane.operators.predict import capability_scores, flat_report
@@ -155,6 +156,22 @@ def test_keys_lose_white_space_of_any_kind(spark):
     assert {tuple(r)[1:] for r in L.match_lists(hits, loci, ["accession"]).collect()} == {("unmatched_id", "B"), ("ambiguous_alias", "x"), ("multi_match_alias", "A")}
 
 
+def test_pairs_of_a_few_aliases_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(H, "PAIRS_PER_SLICE", 500, raising=False)
+    monkeypatch.setattr(H, "PAIRS_PER_TASK", 2000, raising=False)
+    loci = spark.createDataFrame([("g", i, ["D"] + ["E"] * (i < 3), ["x"]) for i in range(8)] + [("h", 0, ["D"], ["y"])], "accession string, locus_row int, direct_aliases array<string>, inferred_aliases array<string>")
+    hits = [("g", i, "D") for i in range(3000)] + [("g", i, "E") for i in range(2900, 3100)] + [("h", 1, "D"), ("h", 1, "y"), ("h", 1, "D"), (None, 2, "D"), ("g", None, "E"), ("g", None, "D")]
+    got = L.resolve_hits(spark.createDataFrame(hits, "accession string, hit_row int, target_protein string"), loci, ["accession"])
+    rows = [tuple(r) for r in got.select("accession", "hit_row", "locus_row", F.spark_partition_id()).collect()]
+    expected = {("g", i, k) for i in [*range(3000), None] for k in range(8)} | {("g", i, k) for i in range(3000, 3100) for k in range(3)} | {("h", 1, 0)}
+    assert len(rows) == len(expected) and {r[:3] for r in rows} == expected
+    tasks = [r[3] for r in rows]
+    assert max(tasks.count(t) for t in set(tasks)) < len(rows) / 4
+    one = spark.range(3000).select(F.lit("g").alias("accession"), F.col("id").alias("hit_row"), F.concat(F.lit("D"), F.lit("")).alias("protein_id"))
+    got = L.resolve_hits(one, loci.filter("accession = 'g'").withColumn("accession", F.lit("g")), ["accession"])
+    assert got.count() == 24000 and got.select(F.spark_partition_id()).distinct().count() > 6
+
+
 def test_settings_from_yaml_and_paths(tmp_path):
     yaml = pytest.importorskip("yaml")
     f = tmp_path / "s.yaml"
