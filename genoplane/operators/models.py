@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import time
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 
 from genoplane.operators.folds import check_dataset, check_fold_counts, fold_manifest, manifest_violations, sorted_manifest
 from genoplane.operators.metrics import MetricError, aggregate_folds, binary_metrics, prediction_coverage, rank_models, score_channels
+from genoplane.session import cut_lineage, release
 
 # Columns that are never features, and the version of stored models.
 METADATA_COLUMNS = ("accession_id", "status", "assembly_accession", "organism_name", "strain", "evidence_tier", "evidence_source", "evidence_reference", "taxonomy_group", "source_genome_id", "dataset_role", "label_curator", "label_date", "notes")
@@ -213,8 +216,8 @@ def cross_validate(
 ) -> CrossValidation:
     """Repeated grouped cross-validation; every model sees the same folds, each fold fits its own scaler.
 
-    A given manifest is checked first. Fits run in a small thread pool over the cached table; predictions stay
-    distributed. Each row has to be predicted once per model and repeat. The curve metrics of a model come from its one
+    A given manifest is checked first. Fits run in a small thread pool over a written table, and the predictions of a fit
+    are written as soon as it ends, so that the driver holds the models being fitted and no others. Each row has to be predicted once per model and repeat. The curve metrics of a model come from its one
     score channel, which is checked (`score_channels`). Predictions and fold metrics are sorted by model, repeat, fold
     (and accession), the aggregate by model and metric.
     """
@@ -222,17 +225,17 @@ def cross_validate(
         raise TrainingDataError("models have to be named, each once")
     check_dataset(df, accession, group, target, n_splits, n_repeats)
     prepare(df, target, metadata)
-    df = df.cache()
+    df = cut_lineage(df, "rows")
     if manifest is None:
         manifest = fold_manifest(df, accession, group, target, n_splits, n_repeats, seed)
-    manifest = manifest.cache()
+    manifest = cut_lineage(manifest, "folds")
     broken = {r["check"]: r["n_violations"] for r in manifest_violations(df, manifest, accession, group, target, n_splits, n_repeats).collect() if r["n_violations"]}
     if broken:
         raise MetricError(f"the fold manifest is not sound: {broken}")
 
     # a row has its folds beside it, so a fold is a filter; that no group is in two folds of a repeat has been checked
     tags = [F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"_fold{r}") for r in range(1, n_repeats + 1)]
-    tagged = df.join(manifest.groupBy(accession).agg(*tags), accession).persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = cut_lineage(df.join(manifest.groupBy(accession).agg(*tags), accession), "tagged")
     for r in range(1, n_repeats + 1):
         check_fold_counts({(x[0], x[1]): x[2] for x in tagged.groupBy(f"_fold{r}", target).count().collect()}, range(1, n_splits + 1))
 
@@ -241,17 +244,21 @@ def cross_validate(
         training, validation = (tagged.filter(c).select(*df.columns) for c in (F.col(f"_fold{repeat}") != fold, F.col(f"_fold{repeat}") == fold))
         fitted = train(training, name, seed + (repeat - 1) * n_splits + fold - 1, target=target, metadata=metadata, **options)
         scored = fitted.score(validation, channel)
-        return scored.select(F.lit(name).alias("model_name"), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), accession, group, F.col(target).alias("true_label"), "predicted_label", "positive_probability", "decision_score")
+        scored = scored.select(F.lit(name).alias("model_name"), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), accession, group, F.col(target).alias("true_label"), "predicted_label", "positive_probability", "decision_score")
+        written = cut_lineage(scored, "scored")
+        # the model, its broadcasts and its tasks' closures stay on the driver until both sides collect their garbage
+        del fitted, scored
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        return written
 
     jobs = [(m, r, f) for m in models for r in range(1, n_repeats + 1) for f in range(1, n_splits + 1)]
     with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(one, jobs))
-    predictions = parts[0]
-    for p in parts[1:]:
-        predictions = predictions.unionByName(p)
-    predictions = predictions.cache()
+        parts = list(pool.map(lambda context, job: context.run(one, job), [copy_context() for _ in jobs], jobs))
+    predictions = cut_lineage(reduce(DataFrame.unionByName, parts), "predictions")
     if not prediction_coverage(predictions, ("model_name", "repeat", accession)).isEmpty() or predictions.count() != df.count() * n_repeats * len(models):
         raise MetricError("rows were not predicted exactly once per model and repeat")
+    release(df, tagged, *parts)
     score_channels(predictions)
     truth, guess, score = F.col("true_label") == CLASSES[1], F.col("predicted_label") == CLASSES[1], F.coalesce("positive_probability", "decision_score")
     folds = binary_metrics(predictions, ["model_name", "repeat", "fold"], truth, guess, score)

@@ -70,6 +70,13 @@ def test_grouped_cross_validation(rows):
         M.cross_validate(rows, ["logistic_regression"], n_splits=2, n_repeats=1, manifest=got.manifest.filter("repeat = 1 AND assembly_accession <> 'a0'"))
 
 
+def test_predictions_do_not_hold_the_fitted_models(rows):
+    got = M.cross_validate(rows, ["random_forest"], n_splits=2, n_repeats=1, trees=3, max_depth=3)
+    plan = got.predictions._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "UDF" not in plan and "InMemoryRelation" not in plan
+    assert got.predictions.count() == 80 and got.predictions.select("assembly_accession").distinct().count() == 80
+
+
 def test_stored_models_keep_their_contract(rows, tmp_path):
     model = M.train(rows, "logistic_regression")
     path = f"file://{tmp_path}/m"
